@@ -1,49 +1,22 @@
-"""Helpers shared by the corpus operators: scratch tables, names, sizes."""
+"""Helpers shared by the corpus operators: names, sizes, tables."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.plans.scratch import drop_path, materialise, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and set, once per session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["blocks_for", "drop_path", "free_name", "materialise", "new_path", "read_table", "scratch_dir"]
 
 
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: later failures reread the files. The path comes
-    back too, so that loops can drop tables they are done with.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet (names match without case)."""
     taken = {c.lower() for c in df.columns}

@@ -7,18 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm.common import read_table
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.sharding import shard
+from skein.llm.simhash import simhash_components
 
 
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_jump_sharding": op3_jump_sharding,
+    "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
