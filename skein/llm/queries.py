@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import read_table
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.packing import pack
 from skein.llm.sharding import shard
 from skein.llm.simhash import simhash_components
 
 
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -23,6 +28,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_vector_packing": op2_vector_packing,
     "op3_jump_sharding": op3_jump_sharding,
     "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
