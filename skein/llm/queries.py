@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm.bpe import encode_decode
 from skein.llm.common import read_table
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.packing import pack
@@ -11,6 +12,10 @@ from skein.llm.sharding import shard
 from skein.llm.simhash import simhash_components
 
 
+def op1_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe_words": op1_bpe_words,
     "op2_vector_packing": op2_vector_packing,
     "op3_jump_sharding": op3_jump_sharding,
     "op9_simhash_ball": op9_simhash_ball,
