@@ -10,6 +10,7 @@ from skein.llm.exact_dedup import exact_dedup
 from skein.llm.packing import pack
 from skein.llm.sharding import shard
 from skein.llm.simhash import simhash_components
+from skein.llm.warc import pages_through_warc
 
 
 def op1_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_through_warc(read_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_bpe_words": op1_bpe_words,
     "op2_vector_packing": op2_vector_packing,
     "op3_jump_sharding": op3_jump_sharding,
+    "op4_warc_transactions": op4_warc_transactions,
     "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
 }
