@@ -8,6 +8,7 @@ from skein.llm.bpe import encode_decode
 from skein.llm.common import read_table
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.packing import pack
+from skein.llm.quality import quality_scores
 from skein.llm.sharding import shard
 from skein.llm.simhash import simhash_components
 from skein.llm.warc import pages_through_warc
@@ -29,6 +30,10 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_warc(read_table(spark, sf_dir, "pages"))
 
 
+def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_warc_transactions": op4_warc_transactions,
+    "op7_quality_cotraining": op7_quality_cotraining,
     "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
 }
