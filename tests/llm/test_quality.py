@@ -47,7 +47,7 @@ def test_the_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = (rng.random(2000) < 0.5).astype(float)
     strong = np.column_stack([y * 6 + rng.normal(size=2000), rng.normal(size=2000)])
-    weak = np.column_stack([y + rng.normal(size=2000) * 0.5, rng.normal(size=(2000, 20))])
+    weak = np.column_stack([y * 3 + rng.normal(size=2000), rng.normal(size=(2000, 5))])
     known = np.arange(2000) < 24
     held = np.arange(24) % 3 == 0
     alone = Logistic.fit(weak[:24][~held], y[:24][~held])
