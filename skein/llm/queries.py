@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm.bpe import encode_decode
 from skein.llm.common import read_table
@@ -11,6 +12,7 @@ from skein.llm.packing import pack
 from skein.llm.quality import quality_scores
 from skein.llm.sharding import shard
 from skein.llm.simhash import simhash_components
+from skein.llm.suffix_dedup import substring_dedup
 from skein.llm.warc import pages_through_warc
 
 
@@ -30,6 +32,11 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_warc(read_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -47,6 +54,7 @@ QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_warc_transactions": op4_warc_transactions,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_quality_cotraining": op7_quality_cotraining,
     "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
