@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import blocks_for
 from skein.llm.gsaca import suffix_array
@@ -328,6 +329,7 @@ def _cut(rows: pa.Table, found: pa.Table, length: int) -> pa.Table:
             begins[t].append(runs[:, 0] + start)
             lasts[t].append(runs[:, 1] + start)
     ids = rows.column("id").to_pylist()
+    order: list[int] = []
     out: list[list] = [[] for _ in range(5)]
     for text, where, b, e in zip(texts, own, begins, lasts):
         spans: list[int] = []
@@ -344,9 +346,15 @@ def _cut(rows: pa.Table, found: pa.Table, length: int) -> pa.Table:
             at = end
         kept.append(text[at:])
         rest = b"".join(kept)
+        order += where
         for i in where:
             for column, value in zip(out, (ids[i], len(text), len(text) - len(rest), spans, rest)):
                 column.append(value)
+    if "carry" in rows.column_names:
+        # A null text that loses nothing stays null.
+        known = rows.column("text").take(pa.array(order, pa.int64())).is_valid().to_pylist()
+        new = [b.decode("utf-8", "ignore") if k else None for b, k in zip(out[4], known)]
+        return pa.table({"carry": rows.column("carry").take(pa.array(order, pa.int64())), "text": pa.array(new, pa.string())})
     return pa.table({"id": pa.array(out[0], pa.int64()), "n_bytes": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "n_spans": pa.array([len(s) // 2 for s in out[3]], pa.int64()), "spans": pa.array(out[3], pa.list_(pa.int64())), "kept": pa.array(out[4], pa.binary())})
 
 
@@ -360,10 +368,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more nothing stays. Null ids and repeated rows stay; an empty table gives
     none; further columns are ignored.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return _cut_rows(rows, length, block_bytes).withColumnRenamed("id", id_col)
+
+
+def substring_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all its columns and what ``substring_dedup`` keeps as the text.
+
+    Where a cut goes through a character, the rest of that character goes too.
+    """
+    carry = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("carry")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), carry)
+    cut = _cut_rows(rows, length, block_bytes)
+    return cut.select([F.col("text").alias(c) if c == text_col else F.col("carry")[c].alias(c) for c in docs.columns])
+
+
+def _cut_rows(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """The cuts of rows with ``id`` and ``text``; with ``carry``, that and the new texts."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    blocks = blocks_for(docs, text_col, block_bytes)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    blocks = blocks_for(rows, "text", block_bytes)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")
     by_block = rows.groupBy("block")
     asked = by_block.applyInArrow(lambda t: _ask(t, blocks, length), "block long, range long, hashes binary, twice binary")
@@ -372,7 +396,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda left, right: _segments(left, right, 8 * blocks, length), "block long, range long, anchor long, segment binary, middle long, n long, places binary"
     )
     found = segments.groupBy("range").applyInArrow(lambda t: _sort_range(t, length), "block long, places binary, spans binary")
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        lambda left, right: _cut(left, right, length), "id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary"
-    )
-    return out.withColumnRenamed("id", id_col)
+    schema = T.StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    if "carry" in rows.columns:
+        schema = T.StructType([rows.schema["carry"], T.StructField("text", T.StringType())])
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda left, right: _cut(left, right, length), schema)
