@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.bpe import encode_decode
 from skein.llm.common import read_table
+from skein.llm.embedding_dedup import embedding_dedup
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.packing import pack
 from skein.llm.quality import quality_scores
@@ -41,6 +42,10 @@ def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -56,11 +61,36 @@ QUERIES = {
     "op4_warc_transactions": op4_warc_transactions,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_quality_cotraining": op7_quality_cotraining,
+    "op8_embedding_multi_index": op8_embedding_multi_index,
     "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op8_embedding_multi_index": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+         coalesce(label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS usable
+  FROM embeddings
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE usable
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.98
+), reach AS (
+  SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), c AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id,
+       v.vec_id IS NOT DISTINCT FROM coalesce(c.component_id, v.vec_id) AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+""",
     "op10_exact_dedup": """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
