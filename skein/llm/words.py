@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 500_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CACHED_WORDS = 2_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -32,10 +32,26 @@ def encode_words(path: str, words: list[bytes]) -> list[bytes]:
     """Each word's ids as little-endian unsigned 32-bit integers.
 
     A word is a run without ASCII white space. The tokenizer drops white space
-    and nothing in it looks across, so a text's ids are those of its words.
+    and nothing in it looks across, so a text's ids are those of its words. It
+    also lowers letters and splits them from punctuation, so words of ASCII letters
+    with punctuation behind go to its BPE model straight away.
     """
-    texts = [w.decode("utf-8", "replace") for w in words]
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    out: list[bytes] = [b""] * len(words)
+    rest = []
+    bpe = tokenizer(path).model.tokenize
+    for i, w in enumerate(words):
+        core = w.rstrip(PUNCTUATION)
+        if core.isalpha():
+            ids = [t.id for t in bpe(core.lower().decode())]
+            if len(core) < len(w):
+                ids += [t.id for t in bpe(w[len(core) :].decode())]
+            out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            rest.append(i)
+    texts = [words[i].decode("utf-8", "replace") for i in rest]
+    for i, e in zip(rest, tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)):
+        out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    return out
 
 
 class WordCache:
@@ -51,7 +67,10 @@ class WordCache:
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
+        text = text or b""
+        if text.isascii() and b"<|" not in text:
+            text = text.lower()  # as the tokenizer does; upper case is then no word of its own
+        words = text.split()
         young = self.young
         try:
             return b"".join([young[w] for w in words])

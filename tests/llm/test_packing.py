@@ -23,6 +23,17 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(cache.encode((t or "").encode()), "<u4").tolist() == ids_of(t)
 
 
+def test_odd_words_encode_like_the_library():
+    rng = random.Random(5)
+    pieces = ["a", "Zy", "the", "'s", "'", "''", "*", "&&&", "<|", "|>", ".", ",", "!?", "9", "é", "É", "_", "\\", "\"", "<|endoftext|>", "İ", "H\u0331", "\x1f", "\x00"]
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    cache = WordCache(vocabulary_path())
+    text = " ".join(words)
+    assert np.frombuffer(cache.encode(text.encode()), "<u4").tolist() == ids_of(text)
+    plain = " ".join(w for w in words if w.isascii() and "<|" not in w)
+    assert np.frombuffer(cache.encode(plain.encode()), "<u4").tolist() == ids_of(plain)
+
+
 def check(rows, out, max_segments=128):
     want = {i: [*ids_of(t), 1] for i, t in rows}
     pieces, seqs = defaultdict(list), defaultdict(list)
