@@ -1,0 +1 @@
+"""Column functions: oriented ids and sequences."""

@@ -1,0 +1 @@
+"""Readers and writers: GFA, FASTA, FASTQ, reports."""
