@@ -1,0 +1 @@
+"""Incremental reading of graph files."""
