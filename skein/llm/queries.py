@@ -71,8 +71,8 @@ ORACLE_SQL = {
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e,
          coalesce(label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-           AND len(list_filter(embedding, x -> x <> 0)) > 0, false) AS usable
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
   FROM embeddings
 ), u AS (
   SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE usable
