@@ -9,6 +9,7 @@ from skein.llm.bpe import encode_decode
 from skein.llm.common import read_table
 from skein.llm.embedding_dedup import embedding_dedup
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.line_dedup import line_dedup
 from skein.llm.packing import pack
 from skein.llm.quality import quality_scores
 from skein.llm.sharding import shard
@@ -38,6 +39,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op3_jump_sharding": op3_jump_sharding,
     "op4_warc_transactions": op4_warc_transactions,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_line_set_similarity": op6_line_set_similarity,
     "op7_quality_cotraining": op7_quality_cotraining,
     "op8_embedding_multi_index": op8_embedding_multi_index,
     "op9_simhash_ball": op9_simhash_ball,
