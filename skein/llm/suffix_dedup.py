@@ -37,7 +37,7 @@ from skein.llm.gsaca import suffix_array
 
 LENGTH = 200
 GRAM = 50
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 _BATCH = 1 << 20
 _SORT_BATCH = 200_000
 
