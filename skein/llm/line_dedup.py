@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import blocks_for
+from skein.llm.common import blocks_for, drop_path, materialise
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 18
@@ -279,15 +280,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(rows, counters))
     rows = rows.withColumn("mark", F.xxhash64("id", "text")).withColumn("block", F.pmod("mark", F.lit(blocks))).repartition(blocks, "block")
-    by_block = rows.groupBy("block")
-    owns = by_block.applyInArrow(lambda t: _claim(t, blocks), "block long, range long, claims binary").groupBy("range").applyInArrow(_award, "block long, range long, owns binary")
+    # Four passes go over the blocks. What a lost executor held is dealt again from the input.
+    by_block = rows.persist(StorageLevel.DISK_ONLY).groupBy("block")
+    claims = by_block.applyInArrow(lambda t: _claim(t, blocks), "block long, range long, claims binary")
+    owns, _ = materialise(claims.groupBy("range").applyInArrow(_award, "block long, range long, owns binary"), "line-owners")
     entries = by_block.cogroup(owns.groupBy("block")).applyInArrow(lambda r, a: _entries(r, a, counts.value, blocks, spans, threshold), "range long, entries binary").groupBy("range")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """``later_block, later, ok`` of candidate pairs."""
+        """``block, lost``: the later sets of those candidate pairs that are similar."""
         ends = [pairs.select(F.col(f"{e}_block").alias("block"), F.col(e).alias("set")) for e in ("later", "earlier")]
         wanted = ends[0].unionByName(ends[1]).distinct()
-        tokens = by_block.cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "block long, set long, tokens binary")
+        tokens, path = materialise(by_block.cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "block long, set long, tokens binary"), "line-tokens")
         both = pairs.select("later_block", "later", "earlier_block", "earlier").distinct()
         for end in ("later", "earlier"):
             both = both.join(tokens.select(F.col("block").alias(f"{end}_block"), F.col("set").alias(end), F.col("tokens").alias(f"{end}_tokens")), [f"{end}_block", end])
@@ -295,16 +298,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sides = [[set(x.split(b" ")) for x in batch.column(f"{e}_tokens").to_pylist()] for e in ("later", "earlier")]
-                yield pa.RecordBatch.from_arrays([batch.column("later_block"), batch.column("later"), pa.array([similar(a, b, threshold) for a, b in zip(*sides)], pa.bool_())], ["later_block", "later", "ok"])
-
-        return both.mapInArrow(run, "later_block long, later long, ok boolean")
-
-    pairs = entries.applyInArrow(lambda t: _suggest(t, None, threshold), _PAIR)
-    settled = verified(pairs).where("ok").select("later_block", "later").distinct()
-    open_ = pairs.where("more").select("later_block", "later", "range").distinct().join(settled, ["later_block", "later"], "left_anti")
-    rest = entries.cogroup(open_.groupBy("range")).applyInArrow(lambda t, w: _suggest(t, w, threshold), _PAIR)
-    lost = settled.unionByName(verified(rest).where("ok").select("later_block", "later").distinct())
+                ok = pa.array([similar(a, b, threshold) for a, b in zip(*sides)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("later_block").filter(ok), batch.column("later").filter(ok)], ["block", "lost"])
+
+        found, _ = materialise(both.mapInArrow(run, "block long, lost long").distinct(), "lost-sets")
+        drop_path(docs.sparkSession, path)
+        return found
+
+    pairs, _ = materialise(entries.applyInArrow(lambda t: _suggest(t, None, threshold), _PAIR), "line-pairs")
+    lost = verified(pairs)
+    settled = lost.select(F.col("block").alias("later_block"), F.col("lost").alias("later"))
+    open_, _ = materialise(pairs.where("more").select("later_block", "later", "range").distinct().join(settled, ["later_block", "later"], "left_anti"), "open-sets")
+    if not open_.isEmpty():
+        rest, _ = materialise(entries.cogroup(open_.groupBy("range")).applyInArrow(lambda t, w: _suggest(t, w, threshold), _PAIR), "line-pairs")
+        lost = lost.unionByName(verified(rest)).distinct()
     nothing = F.lit(None)
-    told = owns.withColumn("lost", nothing.cast("long")).unionByName(lost.select(F.col("later_block").alias("block"), nothing.cast("long").alias("range"), nothing.cast("binary").alias("owns"), F.col("later").alias("lost")))
+    told = owns.withColumn("lost", nothing.cast("long")).unionByName(lost.select("block", nothing.cast("long").alias("range"), nothing.cast("binary").alias("owns"), "lost"))
     out = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda r, a: _cut(r, a, blocks), "id long, n_lines long, n_removed long, removed array<long>, kept binary")
     return out.withColumnRenamed("id", id_col)
