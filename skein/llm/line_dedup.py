@@ -1,318 +1,282 @@
 """Line deduplication by an exact set-similarity join.
 
-Lines are sets of tokens. Tokens are ordered by rarity; two sets of Jaccard
-similarity t or more share one of their rarest tokens (the prefix filter), have
-sizes within t of each other (length), and the places of a shared prefix token
-leave room for the overlap (position). A bit sketch of each set bounds the
-overlap once more. What is left is verified on the tokens themselves.
+Lines are sets of words. Words are ordered by rarity; two sets of Jaccard
+similarity t or more share one of their rarest words (the prefix filter), have
+sizes within t of each other (length), and the places of a shared prefix word
+leave room for the overlap (position). 128 parities of each set bound the
+difference once more. What is left is verified on all words.
 
 A line goes if any earlier line is similar. So a line needs one partner, not all:
-it is first verified against the one candidate that each prefix token suggests;
-only lines that this does not settle are verified against all their candidates.
+each prefix word suggests its nearest earlier candidates, and only lines that
+these do not settle are verified against all their candidates.
 
-Texts are dealt into blocks, and sets travel as packed rows for each block and
-range. A set is named by its block and its number there, which every pass over
-the block's texts finds again.
+Words are named by 64-bit hashes, sets by 128 bits and the place of their first line.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import blocks_for, drop_path, materialise
+from skein.llm.common import drop_path, materialise
+from skein.llm.line_sets import Sets, Words, slices
 
 THRESHOLD = 0.8
-COUNTERS = 1 << 18
-BLOCK_BYTES = 16_000_000
-PAIRS_AT_ONCE = 2_000_000
-_CLAIM = np.dtype([("key", "S16"), ("doc", "<i8"), ("number", "<i8"), ("mark", "<i8")])
-_ENTRY = np.dtype([("token", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("number", "<i4"), ("block", "<i4"), ("set", "<i4"), ("place", "<i4"), ("size", "<i4")])
-_PAIR = "later_block long, later long, earlier_block long, earlier long, more boolean, range long"
+COUNTERS = 1 << 20
+COUNT_PARTS = 32
+WANTED_BITS = 1 << 22
+NEAREST = 2
+ROWS_AT_ONCE = 400_000
+PAIRS_AT_ONCE = 1_000_000
 _FIRST_ID = -(2**63)
+_SET = ["id", "number", "key"]
+_ENTRY = [*_SET, "token", "size", "place", "low", "high"]
+_PAIR = "later_id long, later_number long, later_key long, id long, number long, key long, more boolean"
 
 
-def prefix_size(n: int, threshold: float) -> int:
-    """How many of its rarest tokens a set of n shares one of with any similar set."""
-    return n - math.ceil(threshold * n - 1e-9) + 1
+def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of its rarest words a set of n shares one of with any similar set."""
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def similar(a: set[bytes], b: set[bytes], threshold: float) -> bool:
+def similar(a: set, b: set, threshold: float) -> bool:
     both = len(a & b)
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
-def _pack(rows: np.ndarray) -> bytes:
-    """Rows by column, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(rows[c].tobytes() for c in rows.dtype.names))
-
+def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """How often the words of each of ``counters`` hash classes occur, over all texts."""
+    width = -(-counters // COUNT_PARTS)
 
-def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    rows = np.empty(len(raw) // kind.itemsize, dtype=kind)
-    at = 0
-    for c in kind.names:
-        size = kind[c].itemsize * len(rows)
-        rows[c] = np.frombuffer(raw, dtype=kind[c], count=len(rows), offset=at)
-        at += size
-    return rows
-
-
-def _lines(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """Row, line number and the sorted distinct tokens, joined, of lines that have any."""
-    for row, text in enumerate(table.column("text")):
-        for number, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
-            if tokens := set(line.split()):
-                yield row, number, b" ".join(sorted(tokens))
-
-
-def _key(tokens: bytes) -> bytes:
-    return hashlib.blake2b(tokens, digest_size=16).digest()
-
-
-def _block_sets(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """The block's distinct sets by key: first line's (doc, number, mark), and tokens."""
-    ids = [_FIRST_ID if i is None else i for i in table.column("id").to_pylist()]
-    marks = table.column("mark").to_pylist()
-    found: dict[bytes, tuple[int, int, int]] = {}
-    for row, number, tokens in _lines(table):
-        first = ids[row], number, marks[row]
-        if tokens not in found or first < found[tokens]:
-            found[tokens] = first
-    order = sorted((_key(tokens), tokens) for tokens in found)
-    claims = np.array([(key, *found[tokens]) for key, tokens in order], dtype=_CLAIM)
-    return claims, [tokens for _, tokens in order]
-
-
-def _homes(claims: np.ndarray, ranges: int) -> np.ndarray:
-    return np.array([int.from_bytes(k.ljust(16, b"\0")[:8], "little") % ranges for k in claims["key"].tolist()], dtype=np.int64)
-
-
-def _pieces(rows: np.ndarray, home: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(home, kind="stable")
-    cuts = np.flatnonzero(np.diff(home[order])) + 1
-    return [(int(home[part[0]]), rows[part]) for part in np.split(order, cuts) if len(part)]
-
-
-def _claim(table: pa.Table, ranges: int) -> pa.Table:
-    """The block's sets, asking each range whether it holds the first line of any."""
-    claims, _ = _block_sets(table)
-    parts = _pieces(claims, _homes(claims, ranges))
-    block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(parts), pa.int64()), "range": pa.array([r for r, _ in parts], pa.int64()), "claims": pa.array([_pack(p) for _, p in parts], pa.binary())})
-
-
-def _award(table: pa.Table) -> pa.Table:
-    """For each block's sets in order, whether it owns them: the very first line decides."""
-    claims = [_unpack(x.as_py(), _CLAIM) for x in table.column("claims")]
-    blocks = np.repeat(np.array(table.column("block").to_pylist()), [len(c) for c in claims])
-    rows = np.concatenate(claims)
-    order = np.lexsort((blocks, rows["mark"], rows["number"], rows["doc"], rows["key"]))
-    keys = rows["key"][order]
-    owns = np.zeros(len(rows), dtype=bool)
-    owns[order[np.concatenate([[True], keys[1:] != keys[:-1]])]] = True
-    cuts = np.cumsum([len(c) for c in claims])[:-1]
-    return pa.table({"block": table.column("block"), "range": table.column("range"), "owns": pa.array([np.packbits(x).tobytes() for x in np.split(owns, cuts)], pa.binary())})
-
-
-def _owned(claims: np.ndarray, answers: pa.Table, ranges: int) -> np.ndarray:
-    out = np.zeros(len(claims), dtype=bool)
-    home = _homes(claims, ranges)
-    for r, bits in zip(answers.column("range").to_pylist(), answers.column("owns").to_pylist()):
-        own = np.flatnonzero(home == r)
-        out[own] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(own)).astype(bool)
-    return out
-
-
-def _token_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], dtype=np.uint64)
-
-
-def _entries(rows: pa.Table, answers: pa.Table, counts: np.ndarray, ranges: int, spans: int, threshold: float) -> pa.Table:
-    """The prefix entries of the sets that the block owns, packed by range of tokens."""
-    claims, texts = _block_sets(rows)
-    block = rows.column("block")[0].as_py() if rows.num_rows else 0
-    parts = []
-    for i in np.flatnonzero(_owned(claims, answers, ranges)).tolist():
-        hashes = np.unique(_token_hashes(texts[i].split(b" ")))
-        n = len(hashes)
-        order = np.lexsort((hashes, counts[hashes % np.uint64(len(counts))]))[: prefix_size(n, threshold)]
-        part = np.zeros(len(order), dtype=_ENTRY)
-        part["token"] = hashes[order]
-        part["sketch"] = np.bitwise_or.reduce(np.uint64(1) << (hashes >> np.uint64(58)))
-        part["doc"], part["number"], part["block"], part["set"], part["place"], part["size"] = claims["doc"][i], claims["number"][i], block, i, np.arange(len(order)), n
-        parts.append(part)
-    found = np.concatenate([*parts, np.zeros(0, _ENTRY)])
-    pieces = _pieces(found, (found["token"] % np.uint64(spans)).astype(np.int64)) if len(found) else []
-    return pa.table({"range": pa.array([r for r, _ in pieces], pa.int64()), "entries": pa.array([_pack(p) for _, p in pieces], pa.binary())})
-
-
-def _passes(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """The length, position and sketch filters for entries of one token."""
-    total = (a["size"] + b["size"]).astype(np.float32)
-    need = np.ceil(threshold / (1 + threshold) * total - 1e-4)
-    near = np.minimum(a["size"], b["size"]) >= threshold * np.maximum(a["size"], b["size"]) - 1e-4
-    # Tokens before the shared one are common at most up to the smaller place.
-    rest = np.minimum(a["size"] - a["place"], b["size"] - b["place"]) + np.minimum(a["place"], b["place"])
-    apart = np.bitwise_count(a["sketch"] ^ b["sketch"])
-    return near & (rest >= need) & (total - apart >= 2 * need)
-
-
-def _suggest(table: pa.Table, wanted: pa.Table | None, threshold: float) -> pa.Table:
-    """Candidate pairs of a range's tokens, the later set first.
-
-    For each token and set the first earlier candidate; for the ``wanted`` sets,
-    if given, all of them.
-    """
-    names = [c.split()[0] for c in _PAIR.split(", ")]
-    if not table.num_rows or (wanted is not None and not wanted.num_rows):
-        return pa.table({n: pa.array([], pa.bool_() if n == "more" else pa.int64()) for n in names})
-    rows = np.concatenate([_unpack(x.as_py(), _ENTRY) for x in table.column("entries")])
-    rows = rows[np.lexsort((rows["set"], rows["block"], rows["number"], rows["doc"], rows["token"]))]
-    sought = None
-    if wanted is not None:
-        pairs = np.array(wanted.column("later_block").to_pylist(), dtype=np.int64) << 32 | np.array(wanted.column("later").to_pylist(), dtype=np.int64)
-        sought = np.isin(rows["block"].astype(np.int64) << 32 | rows["set"], pairs)
-    starts = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
-    sizes = np.diff(np.append(starts, len(rows)))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-        group = rows[start : start + size]
-        own = np.arange(1, size) if sought is None else np.flatnonzero(sought[start : start + size])
-        step = max(1, PAIRS_AT_ONCE // size)
-        for at in range(0, len(own), step):
-            part = own[at : at + step]
-            before = group[: part[-1]]
-            ok = _passes(group[part][:, None], before[None], threshold) & (np.arange(len(before))[None] < part[:, None])
-            if sought is None:
-                i = np.flatnonzero(ok.any(axis=1))
-                found.append((start + part[i], start + ok[i].argmax(axis=1), ok[i].sum(axis=1) > 1))
-            else:
-                i, j = np.nonzero(ok)
-                found.append((start + part[i], start + j, np.zeros(len(i), bool)))
-    later, earlier = (np.concatenate([*[x[k] for x in found], np.zeros(0, np.int64)]) for k in (0, 1))
-    more = np.concatenate([*[x[2] for x in found], np.zeros(0, bool)])
-    here = table.column("range")[0].as_py()
-    columns = [rows["block"][later], rows["set"][later], rows["block"][earlier], rows["set"][earlier]]
-    return pa.table(dict(zip(names, [*[pa.array(c.astype(np.int64)) for c in columns], pa.array(more), pa.array(np.full(len(later), here, dtype=np.int64))])))
-
-
-def _fetch(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-    """The tokens of those sets of the block that pairs name."""
-    sets = sorted(set(wanted.column("set").to_pylist()))
-    texts = _block_sets(rows)[1] if sets else []
-    block = wanted.column("block")[0].as_py() if sets else 0
-    return pa.table({"block": pa.array([block] * len(sets), pa.int64()), "set": pa.array(sets, pa.int64()), "tokens": pa.array([texts[i] for i in sets], pa.binary())})
-
-
-def _cut(rows: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
-    """Each row without the lines that go; ``answers`` holds ownership and lost sets."""
-    claims, texts = _block_sets(rows)
-    is_lost = answers.column("lost").is_valid().to_pylist()
-    lost = {x for x in answers.column("lost").to_pylist() if x is not None}
-    owned = _owned(claims, answers.filter(pa.array([not x for x in is_lost], pa.bool_())), ranges)
-    stays = {t: (int(c["doc"]), int(c["number"]), int(c["mark"])) for i, (t, c) in enumerate(zip(texts, claims)) if owned[i] and i not in lost}
-    ids = [_FIRST_ID if i is None else i for i in rows.column("id").to_pylist()]
-    marks = rows.column("mark").to_pylist()
-    gone: dict[int, list[int]] = {}
-    for row, number, tokens in _lines(rows):
-        if stays.get(tokens) == (ids[row], number, marks[row]):
-            del stays[tokens]  # of rows repeated in full, one keeps the line
-        else:
-            gone.setdefault(row, []).append(number)
-    out: list[list] = [[] for _ in range(4)]
-    for row, text in enumerate(rows.column("text")):
-        text = text.as_py()
-        lines = text.split(b"\n") if text else []
-        drop = gone.get(row, [])
-        without = set(drop)
-        for column, value in zip(out, (len(lines), len(drop), drop, b"\n".join([x for k, x in enumerate(lines) if k not in without]))):
-            column.append(value)
-    return pa.table({"id": rows.column("id"), "n_lines": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "removed": pa.array(out[2], pa.list_(pa.int64())), "kept": pa.array(out[3], pa.binary())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * COUNT_PARTS, dtype=np.int64)
+        for batch in batches:
+            for _, texts, _ in slices(batch.column("id"), batch.column("text"), batch.column("mark")):
+                total += np.bincount((Words.of(texts).hashes % np.uint64(counters)).astype(np.int64), minlength=len(total))
+        yield packed(total.reshape(COUNT_PARTS, width), range(COUNT_PARTS))
 
+    def packed(parts: np.ndarray, names) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), pa.array([zstandard.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
 
-def token_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How often the tokens of each of ``counters`` hash classes occur, over all texts."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(zstandard.decompress(counts.as_py()), np.int64)
+                total[part] = total[part] + found if part in total else found
+        yield packed(np.array(list(total.values())).reshape(len(total), width), total)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, dtype=np.int64)
+    schema = "part long, counts binary"
+    found = rows.mapInArrow(count, schema).repartition(COUNT_PARTS, "part").mapInArrow(merge, schema).toArrow()
+    out = np.zeros((COUNT_PARTS, width), dtype=np.int64)
+    for part, counts in zip(found.column(0).to_pylist(), found.column(1)):
+        out[part] = np.frombuffer(zstandard.decompress(counts.as_py()), np.int64)
+    return np.minimum(out.reshape(-1)[:counters], 2**31 - 1).astype(np.int32)
+
+
+def _positions(ids: np.ndarray, numbers: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    return (ids ^ (numbers << 3) ^ keys) & (bits - 1)
+
+
+def _passes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of entries of one word that the filters leave."""
+    for step in ("length", "sketch", "position"):
+        a, b = c["size"][i], c["size"][j]
+        if step == "length":
+            ok = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+        else:
+            need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+            if step == "sketch":
+                apart = np.bitwise_count(c["low"][i] ^ c["low"][j]).astype(np.int64) + np.bitwise_count(c["high"][i] ^ c["high"][j])
+                ok = a + b - apart >= 2 * need
+            else:
+                # Words before the shared one are common at most up to the smaller place.
+                ok = np.minimum(a - c["place"][i], b - c["place"][j]) + np.minimum(c["place"][i], c["place"][j]) >= need
+        i, j = i[ok], j[ok]
+    return i, j
+
+
+def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int | None, is_wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs among entries in order of word, id, number and key."""
+    n = len(c["token"])
+    new = np.ones(n, dtype=bool)
+    new[1:] = c["token"][1:] != c["token"][:-1]
+    rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    found = np.zeros(n, dtype=np.int64)
+    active = np.flatnonzero(rank > 0 if is_wanted is None else (rank > 0) & is_wanted)
+    away = 1
+    while len(active):
+        for at in range(0, len(active), PAIRS_AT_ONCE):
+            part = active[at : at + PAIRS_AT_ONCE]
+            i, j = _passes(c, part, part - away, threshold)
+            if len(i):
+                found[i] += 1
+                more = np.zeros(len(i), bool) if nearest is None else (found[i] >= nearest) & (rank[i] > away)
+                ends = [pa.array(c[name][k]) for k in (i, j) for name in _SET]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], [x.split()[0] for x in _PAIR.split(", ")])
+        away += 1
+        stays = rank[active] >= away
+        active = active[stays if nearest is None else stays & (found[active] < nearest)]
+
+
+def _candidates(entries: DataFrame, threshold: float, nearest: int | None) -> DataFrame:
+    """Pairs from entries that are dealt by word and sorted within it; whole words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def columns(table: pa.Table) -> dict[str, np.ndarray]:
+            return {name: table.column(name).to_numpy() for name in table.column_names}
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            c = columns(pa.Table.from_batches(held))
+            cut = len(c["token"])
+            if not last:
+                cut = int(np.searchsorted(c["token"], c["token"][-1]))
+            tail = pa.Table.from_batches(held).slice(cut).to_batches()
+            held[:] = tail
+            c = {name: x[:cut] for name, x in c.items()}
+            yield from _suggest(c, threshold, nearest, c.get("sought"))
+
+        n = 0
         for batch in batches:
-            for text in batch.column(0):
-                words = (text.as_py() or b"").lower().split()
-                if words:
-                    np.add.at(total, (_token_hashes(words) % np.uint64(counters)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield from flush(last=False)
+                # A word with very many lines is cut off only once it has doubled what is held.
+                n = -sum(b.num_rows for b in held)
+        if held:
+            yield from flush(last=True)
 
-    found = rows.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(counters, dtype=np.int64)
-    out[np.array(found.column("slot").to_pylist(), dtype=np.int64)] = found.column("n").to_pylist()
-    return out
+    return entries.mapInArrow(run, _PAIR)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counters: int = COUNTERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counters: int = COUNTERS, nearest: int = NEAREST, wanted_bits: int = WANTED_BITS) -> DataFrame:
     """Remove every line that is similar to an earlier one; one row for each document.
 
     Lines end at line feeds. A line is the set of its words (split at ASCII white
     space, A-Z lowered); lines without words always stay. Similar: Jaccard
     similarity of ``threshold`` or more. Earlier: by id (nulls first), line number,
-    then a hash of the row; lines that go themselves count as earlier ones too.
+    then a hash of the row or set; lines that go themselves count as earlier ones too.
     Returns id, ``n_lines``, ``n_removed``, ``removed`` (line numbers) and ``kept``
     (the other lines in UTF-8). Null and empty texts have no lines; of rows repeated
     in full one keeps what stays; an empty table gives none; further columns are
     ignored.
 
     Rarity is counted over all texts, by hash class: ``counters`` numbers, a bounded
-    table that is sent to the tasks. The order of tokens only has to be the same
-    everywhere for the result to be exact.
+    table that is sent to the tasks; a class that occurs once joins nothing. The order
+    of words only has to be the same everywhere for the result to be exact.
+    ``nearest`` bounds what a prefix word suggests at first; lines that this leaves
+    open meet all their candidates. ``wanted_bits`` (a power of two) sizes the table
+    that spares most unwanted sets the way to verification.
     """
-    blocks = blocks_for(docs, text_col, block_bytes)
-    spans = 4 * blocks
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(token_counts(rows, counters))
-    rows = rows.withColumn("mark", F.xxhash64("id", "text")).withColumn("block", F.pmod("mark", F.lit(blocks))).repartition(blocks, "block")
-    # Four passes go over the blocks. What a lost executor held is dealt again from the input.
-    by_block = rows.persist(StorageLevel.DISK_ONLY).groupBy("block")
-    claims = by_block.applyInArrow(lambda t: _claim(t, blocks), "block long, range long, claims binary")
-    owns, _ = materialise(claims.groupBy("range").applyInArrow(_award, "block long, range long, owns binary"), "line-owners")
-    entries = by_block.cogroup(owns.groupBy("block")).applyInArrow(lambda r, a: _entries(r, a, counts.value, blocks, spans, threshold), "range long, entries binary").groupBy("range")
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
+    own = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("text"))
+    rows = own.select(F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
+    counts = share(word_counts(rows, counters))
+
+    def find_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, marks in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
+                found = Sets.of(texts, counts.value)
+                if not len(found.starts):
+                    continue
+                key, key2 = found.names()
+                low, high = found.sketches()
+                row_id, mark = (np.array(x, dtype=np.int64)[found.rows] for x in (ids, marks))
+                order = np.lexsort((mark, found.numbers, row_id, key2, key))
+                k, k2 = key[order], key2[order]
+                first = np.sort(order[np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])])
+                place = np.arange(len(found.hashes)) - np.repeat(found.starts, found.sizes)
+                prefix = prefix_sizes(found.sizes, threshold)
+                held = np.zeros(len(found.starts), dtype=bool)
+                held[first] = True
+                inside = np.repeat(held, found.sizes) & (place < np.repeat(prefix, found.sizes))
+                h = found.hashes[inside]
+                token = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32).view(np.int32)
+                token = np.where(counts.value[(h % np.uint64(counters)).astype(np.int64)] > 1, token, 0).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(prefix[first])]).astype(np.int32)
+                columns = [x[first] for x in (key, key2, row_id, found.numbers, mark, found.sizes, low, high)]
+                names = ["key", "key2", "id", "number", "mark", "size", "low", "high", "prefix"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))], names)
+
+    schema = "key long, key2 long, id long, number long, mark long, size long, low long, high long, prefix array<int>"
+    first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", "low", "high", "prefix")).alias("s"))
+    sets, sets_path = materialise(first.select("key", "s.*"), "line-sets")
+
+    def entries(wanted: DataFrame | None = None) -> DataFrame:
+        found = sets.select(*_SET, "size", "low", "high", F.posexplode("prefix").alias("place", "token")).where("token <> 0").withColumn("place", F.col("place").cast("long"))
+        found = found.select(_ENTRY)
+        if wanted is not None:
+            tokens = found.join(wanted, _SET, "left_semi").select("token").distinct()
+            sought = wanted.withColumn("sought", F.lit(True))
+            found = found.join(tokens, "token", "left_semi").join(sought, _SET, "left").withColumn("sought", F.coalesce("sought", F.lit(False)))
+        return found.repartition("token").sortWithinPartitions("token", *_SET)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """``block, lost``: the later sets of those candidate pairs that are similar."""
-        ends = [pairs.select(F.col(f"{e}_block").alias("block"), F.col(e).alias("set")) for e in ("later", "earlier")]
-        wanted = ends[0].unionByName(ends[1]).distinct()
-        tokens, path = materialise(by_block.cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "block long, set long, tokens binary"), "line-tokens")
-        both = pairs.select("later_block", "later", "earlier_block", "earlier").distinct()
-        for end in ("later", "earlier"):
-            both = both.join(tokens.select(F.col("block").alias(f"{end}_block"), F.col("set").alias(end), F.col("tokens").alias(f"{end}_tokens")), [f"{end}_block", end])
+        """The later sets of those candidate pairs that are similar."""
+        both = pairs.select("later_id", "later_number", "later_key", *_SET).distinct()
+        ends = both.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).unionByName(both.select(_SET))
+        place = F.col("id").bitwiseXOR(F.shiftleft("number", 3)).bitwiseXOR(F.col("key")).bitwiseAND(F.lit(wanted_bits - 1))
+        bits = np.zeros(wanted_bits, dtype=bool)
+        bits[ends.select(place.alias("at")).distinct().toArrow().column(0).to_numpy()] = True
+        shared = share(np.packbits(bits))
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                for ids, texts, _ in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
+                    found = Sets.of(texts)
+                    row_id = np.array(ids, dtype=np.int64)[found.rows]
+                    key = found.names()[0]
+                    take = np.flatnonzero(wanted[_positions(row_id, found.numbers, key, wanted_bits)])
+                    yield pa.RecordBatch.from_arrays([pa.array(row_id[take]), pa.array(found.numbers[take]), pa.array(key[take]), pa.array([found.words_of(i) for i in take], pa.binary())], [*_SET, "words"])
+
+        fetched = rows.mapInArrow(fetch, "id long, number long, key long, words binary").groupBy(_SET).agg(F.first("words").alias("words"))
+        words, path = materialise(fetched, "line-words")
+        for end, keys in (("words", _SET), ("later_words", [f"later_{c}" for c in _SET])):
+            both = both.join(words.select(*(F.col(c).alias(k) for c, k in zip(_SET, keys)), F.col("words").alias(end)), keys)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sides = [[set(x.split(b" ")) for x in batch.column(f"{e}_tokens").to_pylist()] for e in ("later", "earlier")]
+                sides = [[set(np.frombuffer(x.as_py(), np.uint64).tolist()) for x in batch.column(e)] for e in ("later_words", "words")]
                 ok = pa.array([similar(a, b, threshold) for a, b in zip(*sides)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("later_block").filter(ok), batch.column("later").filter(ok)], ["block", "lost"])
+                yield pa.RecordBatch.from_arrays([batch.column(f"later_{c}").filter(ok) for c in _SET], _SET)
 
-        found, _ = materialise(both.mapInArrow(run, "block long, lost long").distinct(), "lost-sets")
-        drop_path(docs.sparkSession, path)
+        found, _ = materialise(both.mapInArrow(run, "id long, number long, key long").distinct(), "lost-lines")
+        drop_path(spark, path)
         return found
 
-    pairs, _ = materialise(entries.applyInArrow(lambda t: _suggest(t, None, threshold), _PAIR), "line-pairs")
+    pairs, _ = materialise(_candidates(entries(), threshold, nearest), "line-pairs")
     lost = verified(pairs)
-    settled = lost.select(F.col("block").alias("later_block"), F.col("lost").alias("later"))
-    open_, _ = materialise(pairs.where("more").select("later_block", "later", "range").distinct().join(settled, ["later_block", "later"], "left_anti"), "open-sets")
-    if not open_.isEmpty():
-        rest, _ = materialise(entries.cogroup(open_.groupBy("range")).applyInArrow(lambda t, w: _suggest(t, w, threshold), _PAIR), "line-pairs")
-        lost = lost.unionByName(verified(rest)).distinct()
-    nothing = F.lit(None)
-    told = owns.withColumn("lost", nothing.cast("long")).unionByName(lost.select("block", nothing.cast("long").alias("range"), nothing.cast("binary").alias("owns"), "lost"))
-    out = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda r, a: _cut(r, a, blocks), "id long, n_lines long, n_removed long, removed array<long>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    unsettled = pairs.where("more").select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct().join(lost, _SET, "left_anti")
+    unsettled, _ = materialise(unsettled, "open-lines")
+    if not unsettled.isEmpty():
+        rest, _ = materialise(_candidates(entries(unsettled), threshold, None), "line-pairs")
+        lost = lost.unionByName(verified(rest))
+    stays = sets.select(*_SET, "mark").join(lost, _SET, "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
+    copies = own.select("own", F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
+    copies = copies.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, mark ORDER BY mark)"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for text, copy, stays in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("stays")):
+                text = text.as_py() or b""
+                lines = text.split(b"\n") if text else []
+                keep = set(stays.as_py() or ()) if copy == 1 else set()
+                drop = [k for k, x in enumerate(lines) if k not in keep and x and not x.isspace()]
+                gone = set(drop)
+                for column, value in zip(out, (len(lines), len(drop), drop, b"\n".join([x for k, x in enumerate(lines) if k not in gone]))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["own", "n_lines", "n_removed", "removed", "kept"])
+
+    told = copies.join(stays, ["id", "mark"], "left").select("own", "text", "copy", "stays")
+    return told.mapInArrow(cut, "own long, n_lines long, n_removed long, removed array<long>, kept binary").withColumnRenamed("own", id_col)
