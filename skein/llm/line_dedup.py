@@ -3,7 +3,7 @@
 Lines are sets of words. Words are ordered by rarity; two sets of Jaccard
 similarity t or more share one of their rarest words (the prefix filter), have
 sizes within t of each other (length), and the places of a shared prefix word
-leave room for the overlap (position). 128 parities of each set bound the
+leave room for the overlap (position). 64 to 256 parities of each set bound the
 difference once more. What is left is verified on all words.
 
 A line goes if any earlier line is similar. So a line needs one partner, not all:
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import drop_path, materialise
-from skein.llm.line_sets import Sets, Words, slices
+from skein.llm.line_sets import MEDIUM, SMALL, Sets, Words, slices
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
@@ -33,9 +33,11 @@ WANTED_BITS = 1 << 22
 NEAREST = 2
 ROWS_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 1_000_000
+SPREAD = 2654435761
 _FIRST_ID = -(2**63)
 _SET = ["id", "number", "key"]
-_ENTRY = [*_SET, "token", "size", "place", "low", "high"]
+_SKETCH = ["s0", "s1", "s2", "s3"]
+_ENTRY = [*_SET, "token", "size", "place", *_SKETCH]
 _PAIR = "later_id long, later_number long, later_key long, id long, number long, key long, more boolean"
 
 
@@ -55,9 +57,14 @@ def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * COUNT_PARTS, dtype=np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, texts, _ in slices(batch.column("id"), batch.column("text"), batch.column("mark")):
-                total += np.bincount((Words.of(texts).hashes % np.uint64(counters)).astype(np.int64), minlength=len(total))
+                held.append((Words.of(texts).hashes % np.uint64(counters)).astype(np.int64))
+                if sum(map(len, held)) > len(total):
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held = []
+        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=len(total))
         yield packed(total.reshape(COUNT_PARTS, width), range(COUNT_PARTS))
 
     def packed(parts: np.ndarray, names) -> pa.RecordBatch:
@@ -79,31 +86,33 @@ def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     return np.minimum(out.reshape(-1)[:counters], 2**31 - 1).astype(np.int32)
 
 
-def _positions(ids: np.ndarray, numbers: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    return (ids ^ (numbers << 3) ^ keys) & (bits - 1)
+def _positions(ids: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (ids ^ (numbers * SPREAD >> 11)) & (bits - 1)
 
 
 def _passes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Those pairs of entries of one word that the filters leave."""
-    for step in ("length", "sketch", "position"):
-        a, b = c["size"][i], c["size"][j]
-        if step == "length":
-            ok = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-        else:
-            need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-            if step == "sketch":
-                apart = np.bitwise_count(c["low"][i] ^ c["low"][j]).astype(np.int64) + np.bitwise_count(c["high"][i] ^ c["high"][j])
-                ok = a + b - apart >= 2 * need
-            else:
-                # Words before the shared one are common at most up to the smaller place.
-                ok = np.minimum(a - c["place"][i], b - c["place"][j]) + np.minimum(c["place"][i], c["place"][j]) >= need
-        i, j = i[ok], j[ok]
+    size, place = c["size"], c["place"]
+    ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[ok], j[ok]
+    need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
+    # Words before the shared one are common at most up to the smaller place.
+    ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= need
+    i, j, need = i[ok], j[ok], need[ok]
+    for words, beyond in ((("all",), 0), (("even", "odd"), SMALL), (_SKETCH, MEDIUM)):
+        apart = sum(np.bitwise_count(c[w][i] ^ c[w][j]).astype(np.int64) for w in words)
+        ok = (np.minimum(size[i], size[j]) <= beyond) | (size[i] + size[j] - apart >= 2 * need)
+        i, j, need = i[ok], j[ok], need[ok]
     return i, j
 
 
 def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int | None, is_wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs among entries in order of word, id, number and key."""
     n = len(c["token"])
+    # Unsigned: of negative numbers, bitwise_count takes the absolute value.
+    c = c | {s: c[s].view(np.uint64) for s in _SKETCH}
+    even, odd = c["s0"] ^ c["s2"], c["s1"] ^ c["s3"]
+    c |= {"even": even, "odd": odd, "all": even ^ odd}
     new = np.ones(n, dtype=bool)
     new[1:] = c["token"][1:] != c["token"][:-1]
     rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -189,7 +198,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if not len(found.starts):
                     continue
                 key, key2 = found.names()
-                low, high = found.sketches()
                 row_id, mark = (np.array(x, dtype=np.int64)[found.rows] for x in (ids, marks))
                 order = np.lexsort((mark, found.numbers, row_id, key2, key))
                 k, k2 = key[order], key2[order]
@@ -203,16 +211,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 token = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32).view(np.int32)
                 token = np.where(counts.value[(h % np.uint64(counters)).astype(np.int64)] > 1, token, 0).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(prefix[first])]).astype(np.int32)
-                columns = [x[first] for x in (key, key2, row_id, found.numbers, mark, found.sizes, low, high)]
-                names = ["key", "key2", "id", "number", "mark", "size", "low", "high", "prefix"]
+                columns = [x[first] for x in (key, key2, row_id, found.numbers, mark, found.sizes, *found.sketches())]
+                names = ["key", "key2", "id", "number", "mark", "size", *_SKETCH, "prefix"]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))], names)
 
-    schema = "key long, key2 long, id long, number long, mark long, size long, low long, high long, prefix array<int>"
-    first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", "low", "high", "prefix")).alias("s"))
+    schema = "key long, key2 long, id long, number long, mark long, size long, s0 long, s1 long, s2 long, s3 long, prefix array<int>"
+    first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")).alias("s"))
     sets, sets_path = materialise(first.select("key", "s.*"), "line-sets")
 
     def entries(wanted: DataFrame | None = None) -> DataFrame:
-        found = sets.select(*_SET, "size", "low", "high", F.posexplode("prefix").alias("place", "token")).where("token <> 0").withColumn("place", F.col("place").cast("long"))
+        found = sets.select(*_SET, "size", *_SKETCH, F.posexplode("prefix").alias("place", "token")).where("token <> 0").withColumn("place", F.col("place").cast("long"))
         found = found.select(_ENTRY)
         if wanted is not None:
             tokens = found.join(wanted, _SET, "left_semi").select("token").distinct()
@@ -224,7 +232,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """The later sets of those candidate pairs that are similar."""
         both = pairs.select("later_id", "later_number", "later_key", *_SET).distinct()
         ends = both.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).unionByName(both.select(_SET))
-        place = F.col("id").bitwiseXOR(F.shiftleft("number", 3)).bitwiseXOR(F.col("key")).bitwiseAND(F.lit(wanted_bits - 1))
+        place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
         bits = np.zeros(wanted_bits, dtype=bool)
         bits[ends.select(place.alias("at")).distinct().toArrow().column(0).to_numpy()] = True
         shared = share(np.packbits(bits))
@@ -233,11 +241,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             wanted = np.unpackbits(shared.value).astype(bool)
             for batch in batches:
                 for ids, texts, _ in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
-                    found = Sets.of(texts)
-                    row_id = np.array(ids, dtype=np.int64)[found.rows]
-                    key = found.names()[0]
-                    take = np.flatnonzero(wanted[_positions(row_id, found.numbers, key, wanted_bits)])
-                    yield pa.RecordBatch.from_arrays([pa.array(row_id[take]), pa.array(found.numbers[take]), pa.array(key[take]), pa.array([found.words_of(i) for i in take], pa.binary())], [*_SET, "words"])
+                    lines = [t.split(b"\n") for t in texts]
+                    n = np.array([len(x) for x in lines])
+                    row_id = np.repeat(np.array(ids, dtype=np.int64), n)
+                    number = np.arange(len(row_id)) - np.repeat(np.cumsum(n) - n, n)
+                    flat = [x for found in lines for x in found]
+                    take = np.flatnonzero(wanted[_positions(row_id, number, wanted_bits)])
+                    found = Sets.of([flat[i] for i in take.tolist()]) if len(take) else None
+                    if found is not None and len(found.starts):
+                        at = take[found.rows]
+                        words = pa.array([found.words_of(i) for i in range(len(at))], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(row_id[at]), pa.array(number[at]), pa.array(found.names()[0]), words], [*_SET, "words"])
 
         fetched = rows.mapInArrow(fetch, "id long, number long, key long, words binary").groupBy(_SET).agg(F.first("words").alias("words"))
         words, path = materialise(fetched, "line-words")

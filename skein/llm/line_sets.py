@@ -15,6 +15,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LONG = 64
+#: Sets of up to so many words have sketches of 64 or 128 bits; larger ones, of 256.
+SMALL, MEDIUM = 48, 150
 _32, _29 = np.uint64(32), np.uint64(29)
 
 
@@ -117,14 +119,22 @@ class Sets:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(_mix(np.add.reduceat(_mix(self.hashes ^ c, d), self.starts) + self.sizes.astype(np.uint64), c).view(np.int64) for c, d in ((_ODD[0], _ODD[1]), (_ODD[2], _ODD[3])))
 
-    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two words of 64 parities: sets differ in as many elements at least as these in bits."""
+    def sketches(self) -> list[np.ndarray]:
+        """Four words of parities: sets differ in as many elements at least as these in bits.
+
+        Small sets have them folded into two words or one; the others are zero.
+        """
         if not len(self.starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = self.hashes >> np.uint64(57)
-        bit = np.uint64(1) << (place & np.uint64(63))
-        low = place < 64
-        return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), self.starts).view(np.int64) for half in (low, ~low))
+            return [np.zeros(0, np.int64)] * 4
+        bit = np.uint64(1) << (self.hashes >> np.uint64(56) & np.uint64(63))
+        word = self.hashes >> np.uint64(62)
+        w = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), self.starts) for k in range(4)]
+        for limit, folds in ((MEDIUM, ((0, 2), (1, 3))), (SMALL, ((0, 1),))):
+            few = self.sizes <= limit
+            for into, out in folds:
+                w[into] = np.where(few, w[into] ^ w[out], w[into])
+                w[out] = np.where(few, np.uint64(0), w[out])
+        return [x.view(np.int64) for x in w]
 
     def words_of(self, i: int) -> bytes:
         return self.hashes[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.line_dedup import line_dedup, similar
+from skein.llm.line_dedup import _passes, line_dedup, similar
+from skein.llm.line_sets import Sets
 
 
 def brute(rows, threshold=0.8):
@@ -49,3 +51,19 @@ def test_repeated_rows_keep_one_line(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in line_dedup(df).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert line_dedup(df.limit(0)).collect() == []
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = random.Random(2)
+    for size in (3, 30, 47, 60, 149, 160, 400):
+        a = ["w%d" % rng.randrange(10**6) for _ in range(size)]
+        b = a[: size * 9 // 10] + ["v%d" % rng.randrange(10**6) for _ in range(size // 8)]
+        found = Sets.of([" ".join(a).encode(), " ".join(b).encode()])
+        columns = {"size": found.sizes, "place": np.zeros(2, np.int64), **{f"s{k}": x.view(np.uint64) for k, x in enumerate(found.sketches())}}
+        columns |= {"even": columns["s0"] ^ columns["s2"], "odd": columns["s1"] ^ columns["s3"]}
+        columns["all"] = columns["even"] ^ columns["odd"]
+        both = len(set(a) & set(b))
+        exact = both / len(set(a) | set(b))
+        i, _ = _passes(columns, np.array([1]), np.array([0]), exact)
+        assert len(i) == 1
+        assert similar(set(a), set(b), exact) and Sets.of([b"x y", b"y\tX  x"]).names()[0].tolist()[0] == Sets.of([b"y x"]).names()[0][0]
