@@ -219,23 +219,47 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")).alias("s"))
     sets, sets_path = materialise(first.select("key", "s.*"), "line-sets")
 
-    def entries(wanted: DataFrame | None = None) -> DataFrame:
-        found = sets.select(*_SET, "size", *_SKETCH, F.posexplode("prefix").alias("place", "token")).where("token <> 0").withColumn("place", F.col("place").cast("long"))
-        found = found.select(_ENTRY)
-        if wanted is not None:
-            tokens = found.join(wanted, _SET, "left_semi").select("token").distinct()
-            sought = wanted.withColumn("sought", F.lit(True))
-            found = found.join(tokens, "token", "left_semi").join(sought, _SET, "left").withColumn("sought", F.coalesce("sought", F.lit(False)))
+    def entries() -> DataFrame:
+        found = sets.select(*_SET, "size", *_SKETCH, F.posexplode("prefix").alias("place", "token")).where("token <> 0")
+        return dealt(found.withColumn("place", F.col("place").cast("long")).select(_ENTRY))
+
+    def entries_with(wanted: DataFrame) -> DataFrame:
+        """The entries of words in the prefixes of the wanted sets, and few others."""
+        tokens = sets.join(wanted, _SET, "left_semi").select(F.explode("prefix").alias("token")).where("token <> 0")
+        shared = share(bit_table(tokens.select(F.col("token").bitwiseAND(F.lit(wanted_bits - 1)).cast("long").alias("at"))))
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                lists = batch.column("prefix")
+                n = lists.value_lengths().to_numpy()
+                token = lists.flatten().to_numpy()
+                take = np.flatnonzero((token != 0) & bits[token & (wanted_bits - 1)])
+                of = np.repeat(np.arange(len(n)), n)[take]
+                columns = {c: batch.column(c).to_numpy()[of] for c in (*_SET, "size", *_SKETCH)}
+                columns |= {"token": token[take], "place": take - (np.cumsum(n) - n)[of]}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in _ENTRY], _ENTRY)
+
+        types = ", ".join(f"{c} {'int' if c == 'token' else 'long'}" for c in _ENTRY)
+        found = sets.select(*_SET, "size", *_SKETCH, "prefix").mapInArrow(choose, types)
+        found = found.join(wanted.withColumn("sought", F.lit(True)), _SET, "left").withColumn("sought", F.coalesce("sought", F.lit(False)))
+        return dealt(found)
+
+    def dealt(found: DataFrame) -> DataFrame:
         return found.repartition("token").sortWithinPartitions("token", *_SET)
 
+    def bit_table(places: DataFrame) -> np.ndarray:
+        """A bounded table of the places (column ``at``) that occur, packed."""
+        bits = np.zeros(wanted_bits, dtype=bool)
+        bits[places.distinct().toArrow().column(0).to_numpy()] = True
+        return np.packbits(bits)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The later sets of those candidate pairs that are similar."""
         both = pairs.select("later_id", "later_number", "later_key", *_SET).distinct()
         ends = both.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).unionByName(both.select(_SET))
         place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
-        bits = np.zeros(wanted_bits, dtype=bool)
-        bits[ends.select(place.alias("at")).distinct().toArrow().column(0).to_numpy()] = True
-        shared = share(np.packbits(bits))
+        shared = share(bit_table(ends.select(place.alias("at"))))
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = np.unpackbits(shared.value).astype(bool)
@@ -273,7 +297,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unsettled = pairs.where("more").select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct().join(lost, _SET, "left_anti")
     unsettled, _ = materialise(unsettled, "open-lines")
     if not unsettled.isEmpty():
-        rest, _ = materialise(_candidates(entries(unsettled), threshold, None), "line-pairs")
+        rest, _ = materialise(_candidates(entries_with(unsettled), threshold, None), "line-pairs")
         lost = lost.unionByName(verified(rest))
     stays = sets.select(*_SET, "mark").join(lost, _SET, "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
     copies = own.select("own", F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
