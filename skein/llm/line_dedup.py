@@ -8,7 +8,7 @@ difference once more. What is left is verified on all words.
 
 A line goes if any earlier line is similar. So a line needs one partner, not all:
 each prefix word suggests its nearest earlier candidates, and only lines that
-these do not settle are verified against all their candidates.
+these do not settle meet more of theirs, in rounds, until none is left.
 
 Words are named by 64-bit hashes, sets by 128 bits and the place of their first line.
 """
@@ -31,6 +31,7 @@ COUNTERS = 1 << 20
 COUNT_PARTS = 32
 WANTED_BITS = 1 << 22
 NEAREST = 2
+WIDEN = 16
 ROWS_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 1_000_000
 SPREAD = 2654435761
@@ -106,7 +107,7 @@ def _passes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
     return i, j
 
 
-def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int | None, is_wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int, is_wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs among entries in order of word, id, number and key."""
     n = len(c["token"])
     # Unsigned: of negative numbers, bitwise_count takes the absolute value.
@@ -125,15 +126,14 @@ def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int | None, is
             i, j = _passes(c, part, part - away, threshold)
             if len(i):
                 found[i] += 1
-                more = np.zeros(len(i), bool) if nearest is None else (found[i] >= nearest) & (rank[i] > away)
+                more = (found[i] >= nearest) & (rank[i] > away)
                 ends = [pa.array(c[name][k]) for k in (i, j) for name in _SET]
                 yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], [x.split()[0] for x in _PAIR.split(", ")])
         away += 1
-        stays = rank[active] >= away
-        active = active[stays if nearest is None else stays & (found[active] < nearest)]
+        active = active[(rank[active] >= away) & (found[active] < nearest)]
 
 
-def _candidates(entries: DataFrame, threshold: float, nearest: int | None) -> DataFrame:
+def _candidates(entries: DataFrame, threshold: float, nearest: int) -> DataFrame:
     """Pairs from entries that are dealt by word and sorted within it; whole words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +181,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rarity is counted over all texts, by hash class: ``counters`` numbers, a bounded
     table that is sent to the tasks; a class that occurs once joins nothing. The order
     of words only has to be the same everywhere for the result to be exact.
-    ``nearest`` bounds what a prefix word suggests at first; lines that this leaves
-    open meet all their candidates. ``wanted_bits`` (a power of two) sizes the table
+    ``nearest`` bounds what a prefix word suggests at first; for lines that this leaves
+    open it grows, round by round, until they are settled or have met all candidates. ``wanted_bits`` (a power of two) sizes the table
     that spares most unwanted sets the way to verification.
     """
     spark = docs.sparkSession
@@ -294,11 +294,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs, _ = materialise(_candidates(entries(), threshold, nearest), "line-pairs")
     lost = verified(pairs)
-    unsettled = pairs.where("more").select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct().join(lost, _SET, "left_anti")
-    unsettled, _ = materialise(unsettled, "open-lines")
-    if not unsettled.isEmpty():
-        rest, _ = materialise(_candidates(entries_with(unsettled), threshold, None), "line-pairs")
-        lost = lost.unionByName(verified(rest))
+    while True:
+        unsettled = pairs.where("more").select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct().join(lost, _SET, "left_anti")
+        unsettled, _ = materialise(unsettled, "open-lines")
+        if unsettled.isEmpty():
+            break
+        nearest *= WIDEN
+        pairs, _ = materialise(_candidates(entries_with(unsettled), threshold, nearest), "line-pairs")
+        lost = lost.unionByName(verified(pairs))
     stays = sets.select(*_SET, "mark").join(lost, _SET, "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
     copies = own.select("own", F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
     copies = copies.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, mark ORDER BY mark)"))
