@@ -191,7 +191,13 @@ _STRONG = f"""
 """
 
 
+def _parts(spark, d) -> tuple[g.AssemblyGraph, DataFrame]:
+    graph = _graph(spark, d, "P")
+    return graph, materialise(traversal.components(graph), "labels")[0]
+
+
 def _strong_parts(spark, d) -> tuple[g.AssemblyGraph, DataFrame]:
+    """For queries whose SQL is about arcs of coverage 2 or more; each has one on all arcs beside it."""
     graph = _graph(spark, d, "P")
     graph = graph.with_arcs(graph.arcs.where("cov >= 2"))
     return graph, materialise(traversal.components(graph), "labels")[0]
@@ -202,6 +208,11 @@ def _components(spark, d):
     return _strong_parts(spark, d)[1]
 
 
+@query("components_all_arcs")
+def _components_all(spark, d):
+    return _parts(spark, d)[1]
+
+
 @query("subgraph_steps", "N", f"""
 , link2 AS (SELECT v // 2 AS a, w // 2 AS b FROM arc)
 , r AS (SELECT CAST(0 AS BIGINT) AS seg_id, 0 AS hops UNION SELECT b, hops + 1 FROM r JOIN link2 ON a = seg_id WHERE hops < 2)
@@ -271,6 +282,12 @@ def _average_coverage(spark, d):
     return coverage.average_coverage(graph.segments.join(labels, "seg_id"))
 
 
+@query("average_coverage_all_arcs")
+def _average_coverage_all(spark, d):
+    graph, labels = _parts(spark, d)
+    return coverage.average_coverage(graph.segments.join(labels, "seg_id"))
+
+
 @query("copy_numbers", "P", _MASS + """
 SELECT seg_id, own.component, CAST(least(greatest(coalesce(round(own.cov / nullif(greatest(coalesce(rough, 0), lb), 0)), 1), 1), 10) AS INTEGER) AS copy
 FROM own LEFT JOIN rough USING (component) JOIN low USING (component)
@@ -280,12 +297,24 @@ def _copy_numbers(spark, d):
     return coverage.copy_numbers(graph.segments.join(labels, "seg_id")).select("seg_id", "component", "copy")
 
 
+@query("copy_numbers_all_arcs")
+def _copy_numbers_all(spark, d):
+    graph, labels = _parts(spark, d)
+    return coverage.copy_numbers(graph.segments.join(labels, "seg_id")).select("seg_id", "component", "copy")
+
+
 @query("total_weights", "P", _STRONG + " SELECT component, CAST(sum(len * (1 + cov % 3)) AS BIGINT) AS bases, CAST(sum(len * cov) AS BIGINT) AS mass FROM seg JOIN label USING (seg_id) GROUP BY component", recursive=True)
 def _total_weights(spark, d):
     graph, labels = _strong_parts(spark, d)
     return coverage.total_weights(graph.segments.join(labels, "seg_id"), graph.segments.select("seg_id", (1 + F.col("cov") % 3).alias("copy")))
 
 
+@query("total_weights_all_arcs")
+def _total_weights_all(spark, d):
+    graph, labels = _parts(spark, d)
+    return coverage.total_weights(graph.segments.join(labels, "seg_id"), graph.segments.select("seg_id", (1 + F.col("cov") % 3).alias("copy")))
+
+
 def _nation_copies(spark, d):
     graph = _graph(spark, d, "N")
     labels, _ = materialise(traversal.components(graph), "labels")
@@ -310,7 +339,7 @@ def _neighbours(spark, d):
 
 @query("clean_by_coverage")
 def _clean_by_coverage(spark, d):
-    graph, labels = _strong_parts(spark, d)
+    graph, labels = _parts(spark, d)
     return coverage.clean_by_coverage(graph, labels, 0.9).arcs.select("v", "w", "cov")
 
 
@@ -319,13 +348,13 @@ def _clean_by_coverage(spark, d):
 
 @query("link_groups")
 def _link_groups(spark, d):
-    graph, labels = _strong_parts(spark, d)
+    graph, labels = _parts(spark, d)
     return flow.link_groups(graph, labels)
 
 
 @query("adjust_copies")
 def _adjust(spark, d):
-    graph, labels = _strong_parts(spark, d)
+    graph, labels = _parts(spark, d)
     copies = coverage.copy_numbers(graph.segments.join(labels, "seg_id"))
     return flow.adjust_copies(graph, labels, materialise(copies, "copies")[0], full_search=20_000)
 
@@ -355,15 +384,23 @@ def _mergeable(spark, d):
     return simplify.mergeable_arcs(_strong_parts(spark, d)[0].arcs)
 
 
+@query("mergeable_arcs_all_arcs", "P", f"""
+, one AS (SELECT v FROM arc GROUP BY v HAVING count(*) = 1)
+SELECT v, w, ls FROM arc WHERE v IN (SELECT v FROM one) AND {FLIP_W} IN (SELECT v FROM one)
+""")
+def _mergeable_all(spark, d):
+    return simplify.mergeable_arcs(_graph(spark, d, "P").arcs)
+
+
 @query("unitigs")
 def _unitigs(spark, d):
-    graph, members = simplify.unitigs(_strong_parts(spark, d)[0])
+    graph, members = simplify.unitigs(_parts(spark, d)[0])
     return graph.segments.join(members, "seg_id").select("seg_id", "name", "len", "circ", F.size("members").alias("n"))
 
 
 @query("drop_tips")
 def _drop_tips(spark, d):
-    graph, labels = _strong_parts(spark, d)
+    graph, labels = _parts(spark, d)
     return simplify.drop_tips(graph, labels, 3, 4000).segments.select("seg_id", "len")
 
 
@@ -554,6 +591,11 @@ def _open_ends(spark, d):
     return simplify.open_ends(_strong_parts(spark, d)[0])
 
 
+@query("open_ends_all_arcs", "P", " SELECT seg_id * 2 + k AS v FROM seg, (SELECT 0 AS k UNION ALL SELECT 1) WHERE seg_id * 2 + k NOT IN (SELECT v FROM arc)")
+def _open_ends_all(spark, d):
+    return simplify.open_ends(_graph(spark, d, "P"))
+
+
 @query("flip_ids", "E", f" SELECT v, {FLIP_V} AS other, v // 2 AS seg_id FROM arc")
 def _flip_ids(spark, d):
     return derived_graph(spark, d, "E").arcs.select("v", flip("v").alias("other"), segment_of("v").alias("seg_id"))

@@ -62,25 +62,53 @@ def arc_groups(segments: pd.DataFrame, arcs: pd.DataFrame) -> dict[int, int]:
 
 
 class _Objective:
-    """sum of log10(len) * (|e - out| / 2 + |e - in| / 2 + |out - in|) over the segments."""
+    """sum of log10(len) * (|e - out| / 2 + |e - in| / 2 + |out - in|) over the segments.
+
+    Flows are kept as one entry for each arc, so memory follows the arcs; ``cost``
+    expands them for the few groups of a full search.
+    """
 
     def __init__(self, segments: pd.DataFrame, arcs: pd.DataFrame, group: dict[int, int], n: int):
-        ids = segments["seg_id"].to_numpy()
-        row = {s: i for i, s in enumerate(ids.tolist())}
-        self.flow = np.zeros((2, len(ids), n))
-        for v, name in zip(arcs["v"].tolist(), arcs["link_id"].tolist()):
-            self.flow[v & 1, row[v >> 1], group[name]] += 1
-        self.own = self.flow.sum(axis=(0, 2)) > 0
+        self.n, self.size = n, len(segments)
+        v = arcs["v"].to_numpy()
+        self.row, self.side = np.searchsorted(segments["seg_id"].to_numpy(), v >> 1), v & 1
+        self.group = np.array([group[name] for name in arcs["link_id"].tolist()], dtype=np.int64)
+        self.own = np.bincount(self.row, minlength=self.size) > 0
         self.weight = np.where(self.own, np.log10(np.maximum(1, segments["len"].to_numpy(dtype=float))), 0)
         self.cov = segments["cov"].to_numpy(dtype=float)
 
+    def flows(self, values: np.ndarray) -> list[np.ndarray]:
+        """What flows out of and into each segment in one assignment."""
+        return [np.bincount(self.row[at], values[self.group[at]], self.size) for at in (self.side == 0, self.side == 1)]
+
+    def terms(self, out: np.ndarray, into: np.ndarray, avg: float, rows=slice(None)) -> np.ndarray:
+        expected = self.cov[rows] / avg
+        return self.weight[rows] * (np.abs(expected - out) / 2 + np.abs(expected - into) / 2 + np.abs(out - into))
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments that a group's flow touches, with arcs out and in; by group from ``starts``."""
+        keys, at = np.unique(self.group * self.size + self.row, return_inverse=True)
+        counts = np.stack([np.bincount(at[self.side == k], minlength=len(keys)) for k in (0, 1)])
+        return np.searchsorted(keys, np.arange(self.n + 1) * self.size), keys % self.size, counts
+
     def cost(self, values: np.ndarray, avg: float) -> np.ndarray:
         """Costs of assignments, a column each."""
-        out, into = self.flow[0] @ values, self.flow[1] @ values
+        flow = np.zeros((2, self.size, self.n))
+        np.add.at(flow, (self.side, self.row, self.group), 1)
+        out, into = flow[0] @ values, flow[1] @ values
         expected = (self.cov / avg)[:, None]
         return self.weight @ (np.abs(expected - out) / 2 + np.abs(expected - into) / 2 + np.abs(out - into))
 
 
+def _at_most(upper: list[int], limit: int) -> bool:
+    total = 1
+    for u in upper:
+        total *= u + 1
+        if total > limit:
+            return False
+    return True
+
+
 def _full_search(objective: _Objective, upper: list[int], avg: float) -> tuple[float, np.ndarray]:
     """The first assignment of least cost, group 0 running fastest."""
     sizes = np.array([u + 1 for u in upper], dtype=np.int64)
@@ -99,28 +127,41 @@ def _full_search(objective: _Objective, upper: list[int], avg: float) -> tuple[f
 
 
 def _annealing(objective: _Objective, upper: list[int], avg: float, rng: np.random.Generator) -> tuple[float, np.ndarray]:
-    """Steps of one at random groups, reflected at the bounds; restarts get cooler."""
+    """Steps of one at random groups, reflected at the bounds; restarts get cooler.
+
+    A step changes the terms of the segments that its group touches, no others.
+    """
     top = np.array(upper)
     state = np.zeros(len(upper), dtype=np.int64)
-    best_state, best = state.copy(), float(objective.cost(state[:, None], avg)[0])
+    starts, touched, (n_out, n_in) = objective.ends()
+    best_state, best = state.copy(), float(objective.terms(*objective.flows(state), avg).sum())
     cost, hot = best, 1000.0
     for _ in range(100):
         if best < NEAR:
             break
         before, t = best, hot
         state, cost = best_state.copy(), best
+        out, into = objective.flows(state)
+        terms = objective.terms(out, into, avg)
         while t > 1e-6:
             g = int(rng.integers(len(upper)))
             if top[g]:
                 step = 1 if state[g] == 0 else -1 if state[g] == top[g] else int(rng.choice((-1, 1)))
+                own = slice(starts[g], starts[g + 1])
+                rows = touched[own]
+                held = out[rows], into[rows], terms[rows]
                 state[g] += step
-                new = float(objective.cost(state[:, None], avg)[0])
+                out[rows] += step * n_out[own]
+                into[rows] += step * n_in[own]
+                terms[rows] = objective.terms(out[rows], into[rows], avg, rows)
+                new = float(terms.sum())
                 if new <= cost or rng.random() < math.exp((cost - new) / t):
                     cost = new
                     if cost < best:
                         best, best_state = cost, state.copy()
                 else:
                     state[g] -= step
+                    out[rows], into[rows], terms[rows] = held
             t *= 0.999
         hot *= 0.99
         if best == before:
@@ -141,18 +182,18 @@ def _kernel(max_copy: int, rounds: int, full_search: int):
                 most = max(copy[row[v >> 1]], copy[row[w >> 1]])
                 upper[group[name]] = max(upper[group[name]], min(most * 4 // 3 + 1, max_copy))
             objective = _Objective(s, a, group, n)
-            best = float(objective.cost(np.zeros((n, 1)), avg)[0])
+            best = float(objective.terms(*objective.flows(np.zeros(n)), avg).sum())
             length = s["len"].to_numpy(dtype=float)
             rng = np.random.default_rng(SEED)
             for _ in range(rounds):
-                if math.prod(u + 1 for u in upper) <= full_search:
+                if _at_most(upper, full_search):
                     cost, values = _full_search(objective, upper, avg)
                 else:
                     cost, values = _annealing(objective, upper, avg, rng)
                 if cost >= best:
                     break
                 best = cost
-                out, into = objective.flow[0] @ values, objective.flow[1] @ values
+                out, into = objective.flows(values)
                 bases = (length * (out + into) / 2).sum()
                 if bases < NEAR:
                     break
