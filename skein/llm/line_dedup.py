@@ -6,9 +6,8 @@ sizes within t of each other (length), and the places of a shared prefix word
 leave room for the overlap (position). 64 to 256 parities of each set bound the
 difference once more. What is left is verified on all words.
 
-A line goes if any earlier line is similar. So a line needs one partner, not all:
-each prefix word suggests its nearest earlier candidates, and only lines that
-these do not settle meet more of theirs, in rounds, until none is left.
+A line goes if any earlier line is similar. Every entry of a prefix word meets all
+earlier ones, so all similar pairs are found; classes and numbers of links come from them.
 
 Words are named by 64-bit hashes, sets by 128 bits and the place of their first line.
 """
@@ -25,13 +24,14 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import drop_path, materialise
 from skein.llm.line_sets import MEDIUM, SMALL, Sets, Words, slices
+from skein.plans.components import connected_components
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 COUNT_PARTS = 32
 WANTED_BITS = 1 << 22
 NEAREST = 2
-WIDEN = 16
+SALTS = 16
 ROWS_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 1_000_000
 SPREAD = 2654435761
@@ -39,7 +39,8 @@ _FIRST_ID = -(2**63)
 _SET = ["id", "number", "key"]
 _SKETCH = ["s0", "s1", "s2", "s3"]
 _ENTRY = [*_SET, "token", "size", "place", *_SKETCH]
-_PAIR = "later_id long, later_number long, later_key long, id long, number long, key long, more boolean"
+_PAIR = "later_id long, later_number long, later_key long, id long, number long, key long"
+_LINKS = "array<struct<number: long, class_id: long, class_number: long, n_links: long>>"
 
 
 def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -107,8 +108,8 @@ def _passes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
     return i, j
 
 
-def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int, is_wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs among entries in order of word, id, number and key."""
+def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int) -> Iterator[pa.RecordBatch]:
+    """All candidate pairs among entries in order of word, id, number and key."""
     n = len(c["token"])
     # Unsigned: of negative numbers, bitwise_count takes the absolute value.
     c = c | {s: c[s].view(np.uint64) for s in _SKETCH}
@@ -117,20 +118,21 @@ def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int, is_wanted
     new = np.ones(n, dtype=bool)
     new[1:] = c["token"][1:] != c["token"][:-1]
     rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    found = np.zeros(n, dtype=np.int64)
-    active = np.flatnonzero(rank > 0 if is_wanted is None else (rank > 0) & is_wanted)
+    active = np.flatnonzero(rank > 0)
     away = 1
     while len(active):
-        for at in range(0, len(active), PAIRS_AT_ONCE):
-            part = active[at : at + PAIRS_AT_ONCE]
-            i, j = _passes(c, part, part - away, threshold)
+        steps = np.arange(away, away + nearest)
+        size = max(1, PAIRS_AT_ONCE // nearest)
+        for at in range(0, len(active), size):
+            part = active[at : at + size]
+            i, back = np.repeat(part, nearest), np.tile(steps, len(part))
+            inside = rank[i] >= back
+            i, j = _passes(c, i[inside], i[inside] - back[inside], threshold)
             if len(i):
-                found[i] += 1
-                more = (found[i] >= nearest) & (rank[i] > away)
                 ends = [pa.array(c[name][k]) for k in (i, j) for name in _SET]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], [x.split()[0] for x in _PAIR.split(", ")])
-        away += 1
-        active = active[(rank[active] >= away) & (found[active] < nearest)]
+                yield pa.RecordBatch.from_arrays(ends, [x.split()[0] for x in _PAIR.split(", ")])
+        away += nearest
+        active = active[rank[active] >= away]
 
 
 def _candidates(entries: DataFrame, threshold: float, nearest: int) -> DataFrame:
@@ -150,7 +152,7 @@ def _candidates(entries: DataFrame, threshold: float, nearest: int) -> DataFrame
             tail = pa.Table.from_batches(held).slice(cut).to_batches()
             held[:] = tail
             c = {name: x[:cut] for name, x in c.items()}
-            yield from _suggest(c, threshold, nearest, c.get("sought"))
+            yield from _suggest(c, threshold, nearest)
 
         n = 0
         for batch in batches:
@@ -173,17 +175,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     space, A-Z lowered); lines without words always stay. Similar: Jaccard
     similarity of ``threshold`` or more. Earlier: by id (nulls first), line number,
     then a hash of the row or set; lines that go themselves count as earlier ones too.
-    Returns id, ``n_lines``, ``n_removed``, ``removed`` (line numbers) and ``kept``
-    (the other lines in UTF-8). Null and empty texts have no lines; of rows repeated
+    Returns id, ``n_lines``, ``n_removed``, ``removed`` (line numbers), ``kept`` (the
+    other lines in UTF-8) and ``links``: each line that has an equal or similar one
+    somewhere, with its class (lines that chains of such pairs join, named by id and
+    number of its first line) and ``n_links``, how many different sets are similar to
+    it. Null and empty texts have no lines; of rows repeated
     in full one keeps what stays; an empty table gives none; further columns are
     ignored.
 
     Rarity is counted over all texts, by hash class: ``counters`` numbers, a bounded
     table that is sent to the tasks; a class that occurs once joins nothing. The order
     of words only has to be the same everywhere for the result to be exact.
-    ``nearest`` bounds what a prefix word suggests at first; for lines that this leaves
-    open it grows, round by round, until they are settled or have met all candidates. ``wanted_bits`` (a power of two) sizes the table
-    that spares most unwanted sets the way to verification.
+    ``nearest`` is how many earlier entries an entry meets in one step; it meets all in
+    the end. ``wanted_bits`` (a power of two) sizes the table that spares most unwanted
+    sets the way to verification.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -201,7 +206,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 row_id, mark = (np.array(x, dtype=np.int64)[found.rows] for x in (ids, marks))
                 order = np.lexsort((mark, found.numbers, row_id, key2, key))
                 k, k2 = key[order], key2[order]
-                first = np.sort(order[np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])])
+                heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])]))
+                times = np.diff(np.append(heads, len(order)))
+                by_line = np.argsort(order[heads])
+                first, times = order[heads][by_line], times[by_line]
                 place = np.arange(len(found.hashes)) - np.repeat(found.starts, found.sizes)
                 prefix = prefix_sizes(found.sizes, threshold)
                 held = np.zeros(len(found.starts), dtype=bool)
@@ -211,40 +219,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 token = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32).view(np.int32)
                 token = np.where(counts.value[(h % np.uint64(counters)).astype(np.int64)] > 1, token, 0).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(prefix[first])]).astype(np.int32)
-                columns = [x[first] for x in (key, key2, row_id, found.numbers, mark, found.sizes, *found.sketches())]
-                names = ["key", "key2", "id", "number", "mark", "size", *_SKETCH, "prefix"]
+                columns = [x[first] for x in (key, key2, row_id, found.numbers, mark, found.sizes, *found.sketches())] + [times]
+                names = ["key", "key2", "id", "number", "mark", "size", *_SKETCH, "times", "prefix"]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))], names)
 
-    schema = "key long, key2 long, id long, number long, mark long, size long, s0 long, s1 long, s2 long, s3 long, prefix array<int>"
-    first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")).alias("s"))
-    sets, sets_path = materialise(first.select("key", "s.*"), "line-sets")
+    schema = "key long, key2 long, id long, number long, mark long, size long, s0 long, s1 long, s2 long, s3 long, times long, prefix array<int>"
+    first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")).alias("s"), F.sum("times").alias("times"))
+    sets, _ = materialise(first.select("key", "key2", "times", "s.*"), "line-sets")
 
     def entries() -> DataFrame:
         found = sets.select(*_SET, "size", *_SKETCH, F.posexplode("prefix").alias("place", "token")).where("token <> 0")
         return dealt(found.withColumn("place", F.col("place").cast("long")).select(_ENTRY))
 
-    def entries_with(wanted: DataFrame) -> DataFrame:
-        """The entries of words in the prefixes of the wanted sets, and few others."""
-        tokens = sets.join(wanted, _SET, "left_semi").select(F.explode("prefix").alias("token")).where("token <> 0")
-        shared = share(bit_table(tokens.select(F.col("token").bitwiseAND(F.lit(wanted_bits - 1)).cast("long").alias("at"))))
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(shared.value).astype(bool)
-            for batch in batches:
-                lists = batch.column("prefix")
-                n = lists.value_lengths().to_numpy()
-                token = lists.flatten().to_numpy()
-                take = np.flatnonzero((token != 0) & bits[token & (wanted_bits - 1)])
-                of = np.repeat(np.arange(len(n)), n)[take]
-                columns = {c: batch.column(c).to_numpy()[of] for c in (*_SET, "size", *_SKETCH)}
-                columns |= {"token": token[take], "place": take - (np.cumsum(n) - n)[of]}
-                yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in _ENTRY], _ENTRY)
-
-        types = ", ".join(f"{c} {'int' if c == 'token' else 'long'}" for c in _ENTRY)
-        found = sets.select(*_SET, "size", *_SKETCH, "prefix").mapInArrow(choose, types)
-        found = found.join(wanted.withColumn("sought", F.lit(True)), _SET, "left").withColumn("sought", F.coalesce("sought", F.lit(False)))
-        return dealt(found)
-
     def dealt(found: DataFrame) -> DataFrame:
         return found.repartition("token").sortWithinPartitions("token", *_SET)
 
@@ -255,7 +241,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return np.packbits(bits)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The later sets of those candidate pairs that are similar."""
+        """Those candidate pairs that are similar."""
         both = pairs.select("later_id", "later_number", "later_key", *_SET).distinct()
         ends = both.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).unionByName(both.select(_SET))
         place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
@@ -286,22 +272,41 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for batch in batches:
                 sides = [[set(np.frombuffer(x.as_py(), np.uint64).tolist()) for x in batch.column(e)] for e in ("later_words", "words")]
                 ok = pa.array([similar(a, b, threshold) for a, b in zip(*sides)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(f"later_{c}").filter(ok) for c in _SET], _SET)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in names], names)
 
-        found, _ = materialise(both.mapInArrow(run, "id long, number long, key long").distinct(), "lost-lines")
+        names = [x.split()[0] for x in _PAIR.split(", ")]
+        found, _ = materialise(both.mapInArrow(run, _PAIR), "line-links")
         drop_path(spark, path)
         return found
 
-    pairs, _ = materialise(_candidates(entries(), threshold, nearest), "line-pairs")
-    lost = verified(pairs)
-    while True:
-        unsettled = pairs.where("more").select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct().join(lost, _SET, "left_anti")
-        unsettled, _ = materialise(unsettled, "open-lines")
-        if unsettled.isEmpty():
-            break
-        nearest *= WIDEN
-        pairs, _ = materialise(_candidates(entries_with(unsettled), threshold, nearest), "line-pairs")
-        lost = lost.unionByName(verified(pairs))
+    pairs, pairs_path = materialise(_candidates(entries(), threshold, nearest), "line-pairs")
+    links = verified(pairs)
+    drop_path(spark, pairs_path)
+    ends = [F.struct(*(F.col(f"{end}{c}").alias(c) for c in _SET)) for end in ("later_", "")]
+    lost = links.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct()
+    degree = links.select(F.explode(F.array(*ends)).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    label = connected_components(links.select(ends[0].alias("a"), ends[1].alias("b")), "a", "b").join(degree, "node")
+    members = sets.join(label.select("node.*", F.col("component.id").alias("class_id"), F.col("component.number").alias("class_number"), "n_links"), _SET, "left").where("times > 1 OR n_links > 0")
+    own_class = [F.coalesce(F.col(f"class_{c}"), F.col(c)).alias(f"class_{c}") for c in ("id", "number")]
+    members, _ = materialise(members.select("key", "key2", *own_class, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "line-members")
+    in_class = share(bit_table(members.select(F.col("key").bitwiseAND(F.lit(wanted_bits - 1)).alias("at"))))
+
+    def find_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(in_class.value).astype(bool)
+        for batch in batches:
+            for ids, texts, marks in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
+                found = Sets.of(texts)
+                if len(found.starts):
+                    key, key2 = found.names()
+                    take = np.flatnonzero(wanted[key & (wanted_bits - 1)])
+                    row_id, mark = (np.array(x, dtype=np.int64)[found.rows[take]] for x in (ids, marks))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row_id, mark, found.numbers[take], key[take], key2[take])], ["id", "mark", "number", "key", "key2"])
+
+    # A very common line is dealt over SALTS groups.
+    lines = rows.mapInArrow(find_members, "id long, mark long, number long, key long, key2 long").withColumn("salt", F.pmod(F.hash("id", "mark"), F.lit(SALTS)))
+    salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = F.struct("number", F.when(F.col("class_id") != _FIRST_ID, F.col("class_id")).alias("class_id"), "class_number", "n_links")
+    in_rows = lines.join(salted, ["key", "key2", "salt"]).groupBy("id", "mark").agg(F.sort_array(F.collect_set(named)).alias("links"))
     stays = sets.select(*_SET, "mark").join(lost, _SET, "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
     copies = own.select("own", F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
     copies = copies.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, mark ORDER BY mark)"))
@@ -317,7 +322,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 gone = set(drop)
                 for column, value in zip(out, (len(lines), len(drop), drop, b"\n".join([x for k, x in enumerate(lines) if k not in gone]))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["own", "n_lines", "n_removed", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("links"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["own", "links", "n_lines", "n_removed", "removed", "kept"])
 
-    told = copies.join(stays, ["id", "mark"], "left").select("own", "text", "copy", "stays")
-    return told.mapInArrow(cut, "own long, n_lines long, n_removed long, removed array<long>, kept binary").withColumnRenamed("own", id_col)
+    told = copies.join(stays, ["id", "mark"], "left").join(in_rows, ["id", "mark"], "left").select("own", F.coalesce("links", F.array().cast(_LINKS)).alias("links"), "text", "copy", "stays")
+    return told.mapInArrow(cut, f"own long, links {_LINKS}, n_lines long, n_removed long, removed array<long>, kept binary").withColumnRenamed("own", id_col)

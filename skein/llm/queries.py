@@ -41,7 +41,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept", 256).alias("kept_sha256"), "links")
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
