@@ -6,30 +6,35 @@ that it is surest of for the other one. Each view's score is then calibrated on
 labelled documents that took no part in training, and so is their combination,
 which scores every document.
 
-Models are fitted on the driver, over bounded samples (``MAX_LABELLED``,
-``MAX_POOL``, taken by a hash of the id); features and scores are computed in
-tasks over whole texts.
+Labelled documents are a bounded sample on the driver (``MAX_LABELLED``, taken by a
+hash of the id). All unlabelled ones take part: their features are written once, and
+tasks count their scores by bins and sum the gradients and Hessians of the fits.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.common import drop_path, materialise
+
 MAX_LABELLED = 20_000
-MAX_POOL = 10_000
 ROUNDS = 4
 PER_ROUND = 0.05
 SURE = 0.9
 HELD_OUT = 0.25
 THRESHOLD = 0.5
+BINS = 64
+_LIMIT = 35
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SOURCE_BUCKETS = 32
@@ -125,38 +130,175 @@ class CoTrained:
         return np.column_stack([_sigmoid(self.combination.logit(np.column_stack(logits))), *map(_sigmoid, logits)])
 
 
-def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_metadata: np.ndarray, held_out: np.ndarray, rounds: int = ROUNDS, per_round: float = PER_ROUND, sure: float = SURE) -> CoTrained:
-    """Fit both views, exchanging pseudo-labels; calibrate on the ``held_out`` rows.
+@dataclass
+class _Pick:
+    """What one view chose for the other in a round: per class, whole bins above ``cut`` and a share of that bin."""
 
-    In each round a view picks, for each class and in the labelled classes'
-    proportion, the pool rows that it is surest of (``sure`` at least), up to
-    ``per_round`` of the pool; the other view learns from them.
-    """
-    sets, pools = (text, metadata), (pool_text, pool_metadata)
-    train = ~held_out
-    given: list[dict[int, float]] = [{}, {}]
-    share = y[train].mean()
+    model: Logistic
+    cuts: dict[float, tuple[int, float]]
 
-    def fitted(view: int) -> Logistic:
-        rows = list(given[view])
-        x = np.vstack([sets[view][train], pools[view][rows]]) if rows else sets[view][train]
-        return Logistic.fit(x, np.concatenate([y[train], [given[view][r] for r in rows]]))
 
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool_text) else 0):
+@dataclass
+class _Rows:
+    """Some of the pool: both views' features and a number in [0, 1) by the id's hash."""
+
+    views: tuple[np.ndarray, np.ndarray]
+    turn: np.ndarray
+
+
+#: Runs a function over all parts of the pool and returns what it gave for each.
+_Pass = Callable[[Callable[[_Rows], object]], list]
+
+
+def _bins(model: Logistic, x: np.ndarray, label: float, sure: float) -> np.ndarray:
+    """How sure the model is of ``label``, in bins of the logit; -1: not ``sure``."""
+    z = model.logit(x) * (1 if label else -1)
+    return np.where(_sigmoid(z) >= sure, np.floor(z * BINS), -1).astype(np.int64)
+
+
+def _given(picks: list[_Pick], x: np.ndarray, turn: np.ndarray, sure: float) -> np.ndarray:
+    """The pseudo-labels that the picks gave to rows with the other view's features ``x``; NaN: none."""
+    y = np.full(len(x), np.nan)
+    for pick in picks:
+        for label, (cut, part) in pick.cuts.items():
+            b = _bins(pick.model, x, label, sure)
+            y[np.isnan(y) & (b >= 0) & ((b > cut) | ((b == cut) & (turn < part)))] = label
+    return y
+
+
+def _cut(counts: np.ndarray, quota: int) -> tuple[int, float]:
+    """The bin in which the quota ends, from the surest on, and the share of it that is taken."""
+    above = np.cumsum(counts[::-1])[::-1]
+    full = np.flatnonzero(above >= quota)
+    if not len(full):
+        return 0, 1.0
+    cut = int(full[-1])
+    return cut, float((quota - (above[cut] - counts[cut])) / counts[cut])
+
+
+def _slopes(z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = _sigmoid(z @ weights)
+    return z.T @ (p - y), (z * (p * (1 - p))[:, None]).T @ z
+
+
+def _fit_over(sets: list[np.ndarray], y: np.ndarray, picks: list[list[_Pick]], run: _Pass, sure: float, l2: float = 1.0) -> list[Logistic]:
+    """``Logistic.fit`` of both views on the labelled rows and all pseudo-labelled ones."""
+    centre = [x.mean(axis=0) for x in sets]
+
+    def moments(rows: _Rows) -> list:
+        found = []
+        for k in (0, 1):
+            x = rows.views[k][~np.isnan(_given(picks[k], rows.views[1 - k], rows.turn, sure))] - centre[k]
+            found.append((len(x), x.sum(axis=0), (x * x).sum(axis=0)))
+        return found
+
+    parts, models = run(moments), []
+    for k in (0, 1):
+        own = sets[k] - centre[k]
+        n = len(own) + sum(p[k][0] for p in parts)
+        mean = (own.sum(axis=0) + sum(p[k][1] for p in parts)) / n
+        square = ((own * own).sum(axis=0) + sum(p[k][2] for p in parts)) / n
+        scale = np.sqrt(np.maximum(0, square - mean * mean))
+        models.append(Logistic(centre[k] + mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(sets[k].shape[1] + 1)))
+
+    def standard(k: int, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - models[k].mean) / models[k].scale, np.ones(len(x))])
+
+    todo = [0, 1]
+    for _ in range(25):
+
+        def slopes(rows: _Rows) -> dict:
+            found = {}
+            for k in todo:
+                label = _given(picks[k], rows.views[1 - k], rows.turn, sure)
+                known = ~np.isnan(label)
+                found[k] = _slopes(standard(k, rows.views[k][known]), label[known], models[k].weights)
+            return found
+
+        parts = run(slopes)
+        for k in list(todo):
+            weights = models[k].weights
+            ridge = np.full(len(weights), l2)
+            ridge[-1] = 1e-6
+            slope, curve = _slopes(standard(k, sets[k]), y, weights)
+            slope = slope + sum(p[k][0] for p in parts) + ridge * weights
+            curve = curve + sum(p[k][1] for p in parts) + np.diag(ridge)
+            step = np.linalg.solve(curve, slope)
+            models[k].weights = weights - step
+            if np.abs(step).max() < 1e-8:
+                todo.remove(k)
+        if not todo:
+            break
+    return models
+
+
+def _co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, held_out: np.ndarray, run: _Pass, rounds: int, per_round: float, sure: float) -> CoTrained:
+    sets, train = (text, metadata), ~held_out
+    own = [x[train] for x in sets]
+    share = y[train].mean()
+    picks: list[list[_Pick]] = [[], []]
+    models = [Logistic.fit(x, y[train]) for x in own]
+    for _ in range(rounds):
+
+        def count(rows: _Rows) -> tuple:
+            found = {}
+            for view in (0, 1):
+                free = np.isnan(_given(picks[1 - view], rows.views[view], rows.turn, sure))
+                for label in (1.0, 0.0):
+                    b = _bins(models[view], rows.views[view][free], label, sure)
+                    found[view, label] = np.bincount(b[b >= 0], minlength=_LIMIT * BINS + 1).astype(np.int32)
+            return len(rows.turn), found
+
+        parts = run(count)
+        n = sum(p[0] for p in parts)
+        if not n:
+            break
+        new = 0
         for view in (0, 1):
-            p = _sigmoid(models[view].logit(pools[view]))
-            for label, confidence, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                order = np.argsort(-confidence, kind="stable")
-                new = [int(r) for r in order if confidence[r] >= sure and int(r) not in given[1 - view]]
-                given[1 - view].update((r, label) for r in new[: int(per_round * part * len(p)) + 1])
-        models = [fitted(0), fitted(1)]
+            cuts = {}
+            for label, part in ((1.0, share), (0.0, 1 - share)):
+                counts = sum(p[1][view, label].astype(np.int64) for p in parts)
+                cuts[label] = _cut(counts, int(per_round * part * n) + 1)
+                new += int(counts.sum())
+            picks[1 - view].append(_Pick(models[view], cuts))
+        if not new:
+            break
+        models = _fit_over(own, y[train], picks, run, sure)
     logits = [m.logit(x[held_out])[:, None] for m, x in zip(models, sets)]
     calibrations = [Logistic.fit(z, y[held_out]) for z in logits]
     both = np.column_stack([c.logit(z) for c, z in zip(calibrations, logits)])
     return CoTrained(tuple(models), tuple(calibrations), Logistic.fit(both, y[held_out]))
 
 
+def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_metadata: np.ndarray, held_out: np.ndarray, rounds: int = ROUNDS, per_round: float = PER_ROUND, sure: float = SURE) -> CoTrained:
+    """Fit both views, exchanging pseudo-labels; calibrate on the ``held_out`` rows.
+
+    In each round a view picks, for each class and in the labelled classes'
+    proportion, the pool rows that it is surest of (``sure`` at least), up to
+    ``per_round`` of the pool; the other view learns from them. Rows in the bin of
+    scores where the quota ends are taken by turn.
+    """
+    rows = _Rows((pool_text, pool_metadata), np.arange(len(pool_text)) * 0.6180339887 % 1)
+    return _co_train(text, metadata, y, held_out, lambda f: [f(rows)] if len(pool_text) else [], rounds, per_round, sure)
+
+
+def _over(pool: DataFrame) -> _Pass:
+    """Passes over a table of features, a result for each partition's batches summed up on the driver."""
+
+    def run(f: Callable[[_Rows], object]) -> list:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                table = pa.Table.from_batches(held)
+                stack = lambda c: np.asarray(table.column(c).combine_chunks().flatten()).reshape(table.num_rows, -1)
+                rows = _Rows((stack("text_x"), stack("metadata_x")), table.column("turn").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(rows))], pa.binary())], ["found"])
+
+        return [pickle.loads(x) for x in pool.mapInArrow(work, "found binary").toArrow().column(0).to_pylist()]
+
+    return run
+
+
 def _features(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns with the arrays ``text_x`` and ``metadata_x``."""
     rows = docs.select(*columns, F.col("text").cast("binary").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").cast("double").alias("_chars"))
@@ -172,23 +314,26 @@ def _features(docs: DataFrame, columns: list[str]) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> CoTrained | None:
     """Fit on documents whose ids ``labels`` covers; None unless both classes occur.
 
     Several labels of one document count as their majority (ties: good); null
-    labels and ids don't count.
+    labels and ids don't count. All other documents with an id are the pool.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("_y"))
-    mark = F.xxhash64(F.col("_id"))
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    chosen = ids.join(known, "_id").orderBy(mark, "_id").limit(max_labelled)
-    pool = ids.join(known, "_id", "left_anti").orderBy(mark, "_id").limit(max_pool).withColumn("_y", F.lit(None).cast("double"))
-    # At most max_labelled + max_pool ids with a label each: safe to broadcast.
-    sample = docs.join(F.broadcast(chosen.unionByName(pool)), F.col(id_col) == F.col("_id"))
     # Of rows with the same id, one counts.
-    one = _features(sample, ["_id", "_y"]).groupBy("_id").agg(F.min(F.struct("_y", "text_x", "metadata_x")).alias("x"))
-    rows = one.select("_id", "x.*").toArrow().to_pandas().sort_values(["_id"], kind="stable")
-    labelled, rest = rows[rows["_y"].notna()], rows[rows["_y"].isna()]
+    own = docs.select(F.col(id_col).alias("_id"), "text", "lang", "source", "n_chars").where("_id is not null")
+    one = _features(own, ["_id"]).groupBy("_id").agg(F.min(F.struct("text_x", "metadata_x")).alias("x")).select("_id", "x.*").join(known, "_id", "left")
+    one, path = materialise(one.withColumn("turn", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30)), "quality-features")
+    try:
+        labelled = one.where("_y is not null").orderBy(F.xxhash64("_id"), "_id").limit(max_labelled).select("_id", "_y", "text_x", "metadata_x")
+        pool = one.where("_y is null").select("text_x", "metadata_x", "turn")
+        return _train(labelled.toArrow().to_pandas().sort_values(["_id"], kind="stable"), _over(pool))
+    finally:
+        drop_path(docs.sparkSession, path)
+
+
+def _train(labelled: pd.DataFrame, run: _Pass) -> CoTrained | None:
     y = labelled["_y"].to_numpy(dtype=float)
     if len(set(y.tolist())) < 2:
         return None
@@ -200,11 +345,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         held_out[own[np.argsort(spread[own], kind="stable")][: max(1, int(HELD_OUT * len(own)))]] = True
     if len(set(y[~held_out].tolist())) < 2:
         held_out = np.zeros(len(y), dtype=bool)
-    stack = lambda part, name: np.array(part[name].tolist(), dtype=float)
+    sets = [np.array(labelled[n].tolist(), dtype=float) for n in ("text_x", "metadata_x")]
     if not held_out.any():  # too few to hold out: calibrate on what trains
-        twice = [np.vstack([stack(labelled, n)] * 2) for n in ("text_x", "metadata_x")]
-        return co_train(*twice, np.tile(y, 2), *[stack(rest, n) for n in ("text_x", "metadata_x")], np.repeat([False, True], len(y)))
-    return co_train(*[stack(labelled, n) for n in ("text_x", "metadata_x")], y, *[stack(rest, n) for n in ("text_x", "metadata_x")], held_out)
+        sets, held_out, y = [np.vstack([x] * 2) for x in sets], np.repeat([False, True], len(y)), np.tile(y, 2)
+    return _co_train(*sets, y, held_out, run, ROUNDS, PER_ROUND, SURE)
 
 
 def score_column(model: CoTrained | None) -> Column:
