@@ -356,7 +356,7 @@ def _link_groups(spark, d):
 def _adjust(spark, d):
     graph, labels = _parts(spark, d)
     copies = coverage.copy_numbers(graph.segments.join(labels, "seg_id"))
-    return flow.adjust_copies(graph, labels, materialise(copies, "copies")[0], full_search=20_000)
+    return flow.adjust_copies(graph, labels, materialise(copies, "copies")[0])
 
 
 # Simplification
@@ -542,7 +542,7 @@ def _choose_sources(spark, d):
 def _find_paths(spark, d):
     graph, labels, copies = _nation_copies(spark, d)
     ones = copies.select("seg_id", F.lit(1).alias("copy"))
-    return walks.find_paths(graph, labels, ones, max_paths=2_000).select("component", "nv", "circ", "len", "wlen", "ec")
+    return walks.find_paths(graph, labels, ones).select("component", "nv", "circ", "len", "wlen", "ec", "exceeded")
 
 
 @query("walks_over_clones")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from skein.operators import flow
+from skein.operators import flow, walks
 from skein.plans.derived import derived_graph
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,6 +37,17 @@ def test_part_graph_keeps_all_arcs(spark):
     assert {r.v for r in run("open_ends_all_arcs")} == {x for s in segments for x in (2 * s, 2 * s + 1)} - out
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables here")
+def test_searches_run_with_their_own_limits(spark, monkeypatch):
+    seen = []
+    for module, name in ((walks, "find_paths"), (flow, "adjust_copies")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), **k: (seen.append((len(a), k)), _f(*a, **k))[1])
+    found = entry.queries()["find_paths"](spark, FOLDER).collect()
+    assert found and not any(r.exceeded for r in found)
+    entry.queries()["adjust_copies"](spark, FOLDER)
+    assert seen == [(3, {}), (3, {})]
+
+
 def test_annealing_follows_the_full_objective():
     rng = np.random.default_rng(3)
     pairs = sorted({(int(v), int(w)) for v, w in rng.integers(0, 40, (60, 2))} | {(0, 1), (4, 4)})
