@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and set, once per session.
+    Only where the session names none and runs on one machine (tests) is a
+    temporary folder made and set, once per session; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skein-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
