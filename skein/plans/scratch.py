@@ -24,7 +24,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, what: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: later failures reread the files. The path comes
@@ -32,7 +32,7 @@ def materialise(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
