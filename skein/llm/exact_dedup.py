@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import drop_path, materialise
+from skein.plans.hot import hot_join
 
 SALTS = 16
 
@@ -58,15 +59,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exactly one is kept. A null text equals an empty one. An empty table gives an
     empty result; further columns are ignored here.
 
-    The decisions are joined to the rows by digest. This is exact as long as no
+    The decisions are joined to the rows by digest, digests of very many rows by a
+    salt from the id as well. This is exact as long as no
     digest stands for two texts, which level 3 has compared in full; should that
     ever happen, the join takes the text into its key.
     """
     groups, path = materialise(exact_groups(docs, id_col, text_col, salts, digest), "exact-groups")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), text.alias("_text"))
-    if groups.where("contents > 1").isEmpty():
-        joined = rows.drop("_text").join(groups.drop("contents"), "digest")
+    seen = groups.agg(F.coalesce(F.max("contents"), F.lit(0)).alias("contents"), F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first()
+    if seen["contents"] <= 1:
+        joined = hot_join(rows.drop("_text"), groups.drop("contents").withColumn("_n", F.col("group_size")), ["digest"], "_n", seen["n"], F.col("_id"))
     else:
         drop_path(docs.sparkSession, path)
         salted = _salted(docs.select(id_col, text_col), id_col, text_col, salts, digest)
@@ -74,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             salted.groupBy("_digest", "_salt", "_text").agg(F.max(F.col("_row")[id_col]).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             .groupBy(F.col("_digest").alias("digest"), "_text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         )
-        joined = rows.join(by_text, ["digest", "_text"]).drop("digest").withColumn("digest", F.xxhash64("_text"))
+        by_text = by_text.withColumn("_n", F.col("group_size"))
+        joined = hot_join(rows, by_text, ["digest", "_text"], "_n", seen["n"], F.col("_id")).drop("digest").withColumn("digest", F.xxhash64("_text"))
     # Copies share a digest but differ in their ids: dealing by both keeps a hot digest apart.
     dealt = joined.repartition("text_sha256", "_id")
     turn = F.row_number().over(Window.partitionBy("text_sha256", "_id").orderBy("digest"))
@@ -93,6 +97,12 @@ def exact_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The winning row travels inside the aggregation, so nothing is joined back.
     """
     row_id = F.coalesce(F.col("_row")[id_col].cast("long"), F.lit(-(2**63)))
-    salted = _salted(docs, id_col, text_col, salts, digest).groupBy("_digest", "_salt", "_text").agg(F.max_by("_row", row_id).alias("_row"))
+    # The text is in the key; of it, a row only carries whether it was null.
+    rest = F.struct(F.col(f"`{text_col}`").isNull().alias("_null"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    salt = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int")
+    rows = docs.select(digest(text).alias("_digest"), salt.alias("_salt"), text.alias("_text"), rest.alias("_row"))
+    salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max_by("_row", row_id).alias("_row"))
     kept = salted.groupBy("_digest", "_text").agg(F.max_by("_row", row_id).alias("_row"))
-    return kept.select([F.col("_row")[c].alias(c) for c in docs.columns])
+    own = F.when(~F.col("_row")["_null"], F.col("_text")).alias(text_col)
+    return kept.select([own if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
