@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import drop_path, materialise, new_path
+from skein.plans.hot import hot_join
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -83,19 +84,22 @@ def _capture(row: dict, name: str, date: str) -> list[str]:
 
 
 def with_leads(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, sha, leads, lead_id``: of equal payloads the smallest page leads.
+    """``page_id, url, html, sha, leads, lead_id, tag``: of equal payloads the smallest page leads.
 
     Only payloads that occur twice take part in the join, which carries one row
-    for each; a payload of very many pages is spread by the skew join. Among
-    rows repeated with one page id and payload, the order of the input decides.
+    for each; a payload of very many pages is spread by the pages' ids. Rows get
+    their tag once: the table of tags is written before it meets itself, so a row
+    read again after a lost executor keeps its own. Among rows repeated with one
+    page id and payload, the lowest tag decides.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("sha"), F.monotonically_increasing_id().alias("tag"))
+    rows, _ = materialise(pages.select("page_id", "url", "html", F.sha2(html, 256).alias("sha"), F.monotonically_increasing_id().alias("tag")), "warc-pages", "zstd")
     order = F.struct(F.col("page_id").isNull().alias("late"), F.col("page_id").alias("page_id"), F.col("tag").alias("tag"))
-    first = rows.groupBy("sha").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "lead")
-    joined = rows.join(first, "sha", "left")
-    leads = F.col("lead").isNull() | (F.col("lead.page_id").eqNullSafe(F.col("page_id")) & (F.col("lead.tag") == F.col("tag")))
-    return joined.select("page_id", "url", "html", "sha", leads.alias("leads"), "lead.page_id", "tag").toDF("page_id", "url", "html", "sha", "leads", "lead_id", "tag")
+    first, _ = materialise(rows.groupBy("sha").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-leads")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    joined = hot_join(rows, first, ["sha"], "n", total, F.col("tag"), how="left")
+    leads = F.col("lead").isNull() | (F.col("lead.tag") == F.col("tag"))
+    return joined.select("page_id", "url", "html", "sha", leads.alias("leads"), F.col("lead.page_id").alias("lead_id"), "tag")
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", captures_per_file: int = CAPTURES_PER_FILE) -> None:
@@ -221,20 +225,17 @@ def pages_through_warc(pages: DataFrame) -> DataFrame:
     write_warc(pages.select("page_id", "url", "html"), path)
     records, _ = materialise(read_records(spark, path, with_payload=False), "warc-records")
     drop_path(spark, path)
-    captures = assemble(records).select(
+    captures, _ = materialise(assemble(records).select(
         "capture_id",
         F.col("metadata.page_id").alias("page_id"),
         F.col("response.record_type").alias("record_type"),
         F.col("response.refers_to").alias("first"),
         F.col("response.payload_bytes").alias("bytes"),
         F.col("response.payload_digest").alias("digest"),
-    )
+    ), "warc-captures")
     firsts = captures.where("record_type = 'response'").select(F.col("capture_id").alias("first"), F.col("page_id").alias("first_page"), F.col("bytes").alias("first_bytes"), F.col("digest").alias("first_digest"))
-    found = captures.join(firsts, "first", "left")
-    return found.select(
-        "page_id",
-        F.coalesce("bytes", "first_bytes").alias("payload_bytes"),
-        F.coalesce("first_digest", "digest").alias("payload_digest"),
-        "record_type",
-        F.col("first_page").alias("refers_to"),
-    )
+    responses = captures.where("first IS NULL").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = captures.where("first IS NOT NULL")
+    asked = revisits.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    found = hot_join(revisits, firsts.join(asked, "first"), ["first"], "n", revisits.count(), F.col("capture_id"))
+    return responses.unionByName(found.select("page_id", F.col("first_bytes").alias("payload_bytes"), F.col("first_digest").alias("payload_digest"), "record_type", F.col("first_page").alias("refers_to")))
