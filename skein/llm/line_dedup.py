@@ -4,17 +4,18 @@ Lines are sets of words. Words are ordered by rarity; two sets of Jaccard
 similarity t or more share one of their rarest words (the prefix filter), have
 sizes within t of each other (length), and the places of a shared prefix word
 leave room for the overlap (position). 64 to 256 parities of each set bound the
-difference once more. What is left is verified on all words.
+difference once more. What is left is verified on the words of the texts.
 
-A line goes if any earlier line is similar. Every entry of a prefix word meets all
-earlier ones, so all similar pairs are found; classes and numbers of links come from them.
+A line goes if any earlier line is similar. All similar pairs are found; classes and
+numbers of links come from them (``line_join``).
 
-Words are named by 64-bit hashes, sets by 128 bits and the place of their first line.
+Equal sets are merged by 128 bits; prefix words are named by 32-bit hashes, which may
+bring sets together but never link them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import line_join
 from skein.llm.common import drop_path, materialise
-from skein.llm.line_sets import MEDIUM, SMALL, Sets, Words, slices
+from skein.llm.line_sets import Sets, Words, slices
 from skein.plans.components import connected_components
+from skein.plans.hot import hot_join
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 COUNT_PARTS = 32
-WANTED_BITS = 1 << 22
-NEAREST = 2
+WANTED_BITS = 1 << 25
+HOT = 4_096
 SALTS = 16
-ROWS_AT_ONCE = 400_000
-PAIRS_AT_ONCE = 1_000_000
+ENTRIES_AT_ONCE = 500_000
+MEETINGS_AT_ONCE = 60_000
 SPREAD = 2654435761
 _FIRST_ID = -(2**63)
-_SET = ["id", "number", "key"]
 _SKETCH = ["s0", "s1", "s2", "s3"]
-_ENTRY = [*_SET, "token", "size", "place", *_SKETCH]
-_PAIR = "later_id long, later_number long, later_key long, id long, number long, key long"
 _LINKS = "array<struct<number: long, class_id: long, class_number: long, n_links: long>>"
+_BLOBS = "home int, n long, more long, columns binary, tokens binary, texts binary"
+_NAMES = [x.split()[0] for x in _BLOBS.split(", ")]
 
 
 def prefix_sizes(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -53,122 +55,161 @@ def similar(a: set, b: set, threshold: float) -> bool:
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
-def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How often the words of each of ``counters`` hash classes occur, over all texts."""
-    width = -(-counters // COUNT_PARTS)
+def tally(rows: DataFrame, classes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int, most: int = 2**31 - 1) -> np.ndarray:
+    """How often each of ``size`` classes occurs, up to ``most``: a bounded table, summed by parts in tasks."""
+    width = -(-size // COUNT_PARTS)
+    kind = np.uint8 if most < 256 else np.int64
+
+    def packed(parts: np.ndarray, names) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), pa.array([zstandard.compress(np.minimum(x, most).astype(kind).tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * COUNT_PARTS, dtype=np.int64)
         held: list[np.ndarray] = []
         for batch in batches:
-            for _, texts, _ in slices(batch.column("id"), batch.column("text"), batch.column("mark")):
-                held.append((Words.of(texts).hashes % np.uint64(counters)).astype(np.int64))
+            for found in classes(batch):
+                held.append(found)
                 if sum(map(len, held)) > len(total):
                     total += np.bincount(np.concatenate(held), minlength=len(total))
                     held = []
         total += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=len(total))
         yield packed(total.reshape(COUNT_PARTS, width), range(COUNT_PARTS))
 
-    def packed(parts: np.ndarray, names) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), pa.array([zstandard.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(zstandard.decompress(counts.as_py()), np.int64)
+                found = np.frombuffer(zstandard.decompress(counts.as_py()), kind).astype(np.int64)
                 total[part] = total[part] + found if part in total else found
         yield packed(np.array(list(total.values())).reshape(len(total), width), total)
 
     schema = "part long, counts binary"
     found = rows.mapInArrow(count, schema).repartition(COUNT_PARTS, "part").mapInArrow(merge, schema).toArrow()
-    out = np.zeros((COUNT_PARTS, width), dtype=np.int64)
+    out = np.zeros((COUNT_PARTS, width), dtype=kind)
     for part, counts in zip(found.column(0).to_pylist(), found.column(1)):
-        out[part] = np.frombuffer(zstandard.decompress(counts.as_py()), np.int64)
-    return np.minimum(out.reshape(-1)[:counters], 2**31 - 1).astype(np.int32)
+        out[part] = np.frombuffer(zstandard.decompress(counts.as_py()), kind)
+    return out.reshape(-1)[:size]
 
 
-def _positions(ids: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
-    return (ids ^ (numbers * SPREAD >> 11)) & (bits - 1)
+def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """How often the words of each of ``counters`` hash classes occur, over all texts."""
 
+    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, texts, _ in slices(batch.column("id"), batch.column("text"), batch.column("mark")):
+            yield (Words.of(texts).hashes % np.uint64(counters)).astype(np.int64)
 
-def _passes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs of entries of one word that the filters leave."""
-    size, place = c["size"], c["place"]
-    ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
-    i, j = i[ok], j[ok]
-    need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
-    # Words before the shared one are common at most up to the smaller place.
-    ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= need
-    i, j, need = i[ok], j[ok], need[ok]
-    for words, beyond in ((("all",), 0), (("even", "odd"), SMALL), (_SKETCH, MEDIUM)):
-        apart = sum(np.bitwise_count(c[w][i] ^ c[w][j]).astype(np.int64) for w in words)
-        ok = (np.minimum(size[i], size[j]) <= beyond) | (size[i] + size[j] - apart >= 2 * need)
-        i, j, need = i[ok], j[ok], need[ok]
-    return i, j
-
-
-def _suggest(c: dict[str, np.ndarray], threshold: float, nearest: int) -> Iterator[pa.RecordBatch]:
-    """All candidate pairs among entries in order of word, id, number and key."""
-    n = len(c["token"])
-    # Unsigned: of negative numbers, bitwise_count takes the absolute value.
-    c = c | {s: c[s].view(np.uint64) for s in _SKETCH}
-    even, odd = c["s0"] ^ c["s2"], c["s1"] ^ c["s3"]
-    c |= {"even": even, "odd": odd, "all": even ^ odd}
-    new = np.ones(n, dtype=bool)
-    new[1:] = c["token"][1:] != c["token"][:-1]
-    rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    active = np.flatnonzero(rank > 0)
-    away = 1
-    while len(active):
-        steps = np.arange(away, away + nearest)
-        size = max(1, PAIRS_AT_ONCE // nearest)
-        for at in range(0, len(active), size):
-            part = active[at : at + size]
-            i, back = np.repeat(part, nearest), np.tile(steps, len(part))
-            inside = rank[i] >= back
-            i, j = _passes(c, i[inside], i[inside] - back[inside], threshold)
-            if len(i):
-                ends = [pa.array(c[name][k]) for k in (i, j) for name in _SET]
-                yield pa.RecordBatch.from_arrays(ends, [x.split()[0] for x in _PAIR.split(", ")])
-        away += nearest
-        active = active[rank[active] >= away]
-
-
-def _candidates(entries: DataFrame, threshold: float, nearest: int) -> DataFrame:
-    """Pairs from entries that are dealt by word and sorted within it; whole words at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def columns(table: pa.Table) -> dict[str, np.ndarray]:
-            return {name: table.column(name).to_numpy() for name in table.column_names}
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            c = columns(pa.Table.from_batches(held))
-            cut = len(c["token"])
-            if not last:
-                cut = int(np.searchsorted(c["token"], c["token"][-1]))
-            tail = pa.Table.from_batches(held).slice(cut).to_batches()
-            held[:] = tail
-            c = {name: x[:cut] for name, x in c.items()}
-            yield from _suggest(c, threshold, nearest)
-
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= ROWS_AT_ONCE:
-                yield from flush(last=False)
-                # A word with very many lines is cut off only once it has doubled what is held.
-                n = -sum(b.num_rows for b in held)
-        if held:
-            yield from flush(last=True)
+    return tally(rows, words, counters).astype(np.int32)
+
+
+def bit_table(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bounded table of the numbers under ``bits`` (a power of two) that ``column`` holds, packed."""
+    seen = tally(rows.select(column), lambda batch: iter([batch.column(0).to_numpy()]), bits, 1)
+    return np.packbits(seen.astype(bool))
 
-    return entries.mapInArrow(run, _PAIR)
+
+def _position(ids: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (ids ^ (numbers * SPREAD >> 11)) & (bits - 1)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counters: int = COUNTERS, nearest: int = NEAREST, wanted_bits: int = WANTED_BITS) -> DataFrame:
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values and each list's length."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> dict[str, np.ndarray]:
+    return {n: batch.column(n).to_numpy() for n in names}
+
+
+def _deal_entries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, threshold: float, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Each set's entries, dealt by group; a row for each range and some thousand sets."""
+    for batch in batches:
+        own = _numbers(batch, "sid", "size", *_SKETCH)
+        tokens, counts = _flat(batch.column("prefix"))
+        owner, group, place, second = line_join.entries(tokens.view(np.uint32), np.cumsum(counts) - counts, counts, prefix_sizes(own["size"], threshold), hot)
+        home = line_join.homes(group, ranges=ranges)
+        order = np.lexsort((group, home))
+        owner, home = owner[order], home[order]
+        columns = {k: x[owner] for k, x in own.items()} | {"group": group[order], "place": place[order], "second": second[order]}
+        cuts = np.flatnonzero(np.diff(home, prepend=-1))
+        ends = np.append(cuts[1:], len(home))
+        blobs = [line_join.pack_columns({k: x[a:b] for k, x in columns.items()}, line_join.ENTRY) for a, b in zip(cuts, ends)]
+        empty = pa.array([b""] * len(cuts), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(home[cuts], pa.int32()), pa.array(ends - cuts, pa.int64()), pa.array(np.zeros(len(cuts), np.int64)), pa.array(blobs, pa.binary()), empty, empty], _NAMES)
+
+
+def _find_candidates(batches: Iterator[pa.RecordBatch], threshold: float, chunk: int) -> Iterator[pa.RecordBatch]:
+    parts = [line_join.unpack_columns(blob.as_py(), n, line_join.ENTRY) for batch in batches for n, blob in zip(batch.column("n").to_pylist(), batch.column("columns"))]
+    if parts:
+        found = line_join.candidates({k: np.concatenate([p[k] for p in parts]) for k in line_join.ENTRY}, threshold, chunk)
+        names = ["sid", "group", "place", "second", "m"]
+        found["group"] = found["group"].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[n].astype(np.int64)) for n in names], names)
+
+
+def _deal_meetings(batches: Iterator[pa.RecordBatch], chunk: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Candidates with their texts, dealt by group and pair of chunks."""
+    for batch in batches:
+        own = _numbers(batch, "sid", "id", "number", "mark")
+        tokens, counts = _flat(batch.column("prefix"))
+        first = np.cumsum(counts) - counts
+        meetings = batch.column("meetings")
+        inner, times = meetings.flatten(), np.diff(meetings.offsets.to_numpy())
+        m = dict(zip(("group", "place", "second", "m"), (inner.field(k).to_numpy(zero_copy_only=False) for k in range(4))))
+        row = np.repeat(np.arange(len(times)), times)
+        chunks = np.where(m["m"] > chunk, -(-m["m"] // chunk), 1)
+        at = np.repeat(np.arange(len(row)), chunks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        chunk_of = line_join.homes(own["sid"][row], ranges=1 << 30) % chunks
+        a, b = np.minimum(chunk_of[at], other), np.maximum(chunk_of[at], other)
+        group = m["group"][at].view(np.uint64)
+        home = line_join.homes(group, a, b, ranges=ranges)
+        order = np.lexsort((row[at], home))
+        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+        texts = batch.column("line").to_pylist()
+        out: list[list] = [[] for _ in _NAMES]
+        for part in np.split(order, cuts[1:]):
+            if not len(part):
+                continue
+            rows, member = np.unique(row[at[part]], return_inverse=True)
+            entry = {"group": group[part], "a": a[part], "b": b[part], "own": chunk_of[at[part]], "member": member, "place": m["place"][at[part]], "second": m["second"][at[part]]}
+            lines = [texts[r] for r in rows.tolist()]
+            sets = {k: x[rows] for k, x in own.items()} | {"tokens": counts[rows], "bytes": np.array([len(x) for x in lines])}
+            blob = line_join.pack_columns(entry, line_join.MEETING) , line_join.pack_columns(sets, line_join.MEMBER)
+            head = len(blob[0]).to_bytes(8, "little")
+            kept = tokens[line_join.spans(first[rows], counts[rows])].astype("<i4").tobytes()
+            for column, value in zip(out, (int(home[part[0]]), len(part), len(rows), head + blob[0] + blob[1], zstandard.compress(kept, 1), zstandard.compress(b"".join(lines), 1))):
+                column.append(value)
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], _NAMES)
+
+
+def _find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    entries, members, tokens, texts = [], [], [], []
+    seen: dict[int, int] = {}
+    for batch in batches:
+        for n, more, columns, words, lines in zip(batch.column("n").to_pylist(), batch.column("more").to_pylist(), *(batch.column(c) for c in _NAMES[3:])):
+            columns = columns.as_py()
+            cut = 8 + int.from_bytes(columns[:8], "little")
+            e = line_join.unpack_columns(columns[8:cut], n, line_join.MEETING)
+            own = line_join.unpack_columns(columns[cut:], more, line_join.MEMBER)
+            # A set comes with each of its blobs and is taken once.
+            number = [seen.setdefault(x, len(seen)) for x in own["sid"].tolist()]
+            new = np.array([k for k, x in enumerate(number) if x >= len(texts)], np.int64)
+            e["member"] = np.array(number)[e["member"]]
+            entries.append(e)
+            ends, data = np.cumsum(own["bytes"].astype(np.int64)), zstandard.decompress(lines.as_py())
+            texts += [data[ends[k] - own["bytes"][k] : ends[k]] for k in new.tolist()]
+            counts = own["tokens"].astype(np.int64)
+            tokens.append(np.frombuffer(zstandard.decompress(words.as_py()), "<i4")[line_join.spans((np.cumsum(counts) - counts)[new], counts[new])])
+            members.append({k: x[new] for k, x in own.items()})
+    if entries:
+        both = [{k: np.concatenate([p[k] for p in parts]) for k in parts[0]} for parts in (entries, members)]
+        found = line_join.Verifier(both[1], np.concatenate(tokens), texts, threshold)
+        found.run(both[0])
+        yield found.found()
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counters: int = COUNTERS, wanted_bits: int = WANTED_BITS, hot: int = HOT, chunk: int = line_join.CHUNK) -> DataFrame:
     """Remove every line that is similar to an earlier one; one row for each document.
 
     Lines end at line feeds. A line is the set of its words (split at ASCII white
@@ -185,10 +226,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rarity is counted over all texts, by hash class: ``counters`` numbers, a bounded
     table that is sent to the tasks; a class that occurs once joins nothing. The order
-    of words only has to be the same everywhere for the result to be exact.
-    ``nearest`` is how many earlier entries an entry meets in one step; it meets all in
-    the end. ``wanted_bits`` (a power of two) sizes the table that spares most unwanted
-    sets the way to verification.
+    of words only has to be the same everywhere for the result to be exact. Words of a
+    class in over ``hot`` prefixes are joined in pairs; groups of over ``chunk`` sets
+    are verified by pairs of chunks. ``wanted_bits`` (a power of two) sizes the tables
+    that spare most unwanted lines a shuffle.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -211,7 +252,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 by_line = np.argsort(order[heads])
                 first, times = order[heads][by_line], times[by_line]
                 place = np.arange(len(found.hashes)) - np.repeat(found.starts, found.sizes)
-                prefix = prefix_sizes(found.sizes, threshold)
+                # The prefix, and a word more for joining in pairs.
+                prefix = np.minimum(prefix_sizes(found.sizes, threshold) + 1, found.sizes)
                 held = np.zeros(len(found.starts), dtype=bool)
                 held[first] = True
                 inside = np.repeat(held, found.sizes) & (place < np.repeat(prefix, found.sizes))
@@ -225,71 +267,53 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = "key long, key2 long, id long, number long, mark long, size long, s0 long, s1 long, s2 long, s3 long, times long, prefix array<int>"
     first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")).alias("s"), F.sum("times").alias("times"))
-    sets, _ = materialise(first.select("key", "key2", "times", "s.*"), "line-sets")
-
-    def entries() -> DataFrame:
-        found = sets.select(*_SET, "size", *_SKETCH, F.posexplode("prefix").alias("place", "token")).where("token <> 0")
-        return dealt(found.withColumn("place", F.col("place").cast("long")).select(_ENTRY))
-
-    def dealt(found: DataFrame) -> DataFrame:
-        return found.repartition("token").sortWithinPartitions("token", *_SET)
-
-    def bit_table(places: DataFrame) -> np.ndarray:
-        """A bounded table of the places (column ``at``) that occur, packed."""
-        bits = np.zeros(wanted_bits, dtype=bool)
-        bits[places.distinct().toArrow().column(0).to_numpy()] = True
-        return np.packbits(bits)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those candidate pairs that are similar."""
-        both = pairs.select("later_id", "later_number", "later_key", *_SET).distinct()
-        ends = both.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).unionByName(both.select(_SET))
-        place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
-        shared = share(bit_table(ends.select(place.alias("at"))))
-
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = np.unpackbits(shared.value).astype(bool)
-            for batch in batches:
-                for ids, texts, _ in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
-                    lines = [t.split(b"\n") for t in texts]
-                    n = np.array([len(x) for x in lines])
-                    row_id = np.repeat(np.array(ids, dtype=np.int64), n)
-                    number = np.arange(len(row_id)) - np.repeat(np.cumsum(n) - n, n)
-                    flat = [x for found in lines for x in found]
-                    take = np.flatnonzero(wanted[_positions(row_id, number, wanted_bits)])
-                    found = Sets.of([flat[i] for i in take.tolist()]) if len(take) else None
-                    if found is not None and len(found.starts):
-                        at = take[found.rows]
-                        words = pa.array([found.words_of(i) for i in range(len(at))], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(row_id[at]), pa.array(number[at]), pa.array(found.names()[0]), words], [*_SET, "words"])
-
-        fetched = rows.mapInArrow(fetch, "id long, number long, key long, words binary").groupBy(_SET).agg(F.first("words").alias("words"))
-        words, path = materialise(fetched, "line-words")
-        for end, keys in (("words", _SET), ("later_words", [f"later_{c}" for c in _SET])):
-            both = both.join(words.select(*(F.col(c).alias(k) for c, k in zip(_SET, keys)), F.col("words").alias(end)), keys)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sides = [[set(np.frombuffer(x.as_py(), np.uint64).tolist()) for x in batch.column(e)] for e in ("later_words", "words")]
-                ok = pa.array([similar(a, b, threshold) for a, b in zip(*sides)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in names], names)
-
-        names = [x.split()[0] for x in _PAIR.split(", ")]
-        found, _ = materialise(both.mapInArrow(run, _PAIR), "line-links")
+    # Numbers are written with the sets, so each set keeps its own.
+    sets, _ = materialise(first.select(F.monotonically_increasing_id().alias("sid"), "key", "key2", "times", "s.*"), "line-sets")
+
+    def prefix_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield (_flat(batch.column(0))[0].view(np.uint32) % np.uint32(counters)).astype(np.int64)
+
+    in_prefix = tally(sets.select("prefix"), prefix_words, counters)
+    often = share(in_prefix > hot)
+    ranges = max(1, -(-int(in_prefix.sum()) // ENTRIES_AT_ONCE))
+    dealt = sets.select("sid", "size", *_SKETCH, "prefix").mapInArrow(lambda b: _deal_entries(b, often.value, threshold, ranges), _BLOBS)
+    met = dealt.repartitionById(ranges, F.col("home")).mapInArrow(lambda b: _find_candidates(b, threshold, chunk), "sid long, group long, place long, second long, m long")
+    met, met_path = materialise(met, "line-candidates")
+
+    copies_of = F.when(F.col("m") > chunk, F.ceil(F.col("m") / chunk)).otherwise(1)
+    meetings = met.agg(F.coalesce(F.sum(copies_of), F.lit(0)).alias("n")).first()["n"]
+    by_set = met.groupBy("sid").agg(F.collect_list(F.struct("group", "place", "second", "m")).alias("meetings"))
+    wanted, wanted_path = materialise(sets.select("sid", "id", "number", "mark", "prefix").join(by_set, "sid"), "line-wanted")
+    place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
+    fetched = share(bit_table(wanted.select(place.alias("at")), "at", wanted_bits))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(fetched.value).astype(bool)
+        for batch in batches:
+            for ids, texts, marks in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
+                lines = [t.split(b"\n") for t in texts]
+                n = np.array([len(x) for x in lines])
+                row = np.repeat(np.arange(len(n)), n)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                take = np.flatnonzero(bits[_position(np.array(ids, dtype=np.int64)[row], number, wanted_bits)])
+                own = [lines[r][k] for r, k in zip(row[take].tolist(), number[take].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row[take]]), pa.array(np.array(marks, np.int64)[row[take]]), pa.array(number[take]), pa.array(own, pa.binary())], ["id", "mark", "number", "line"])
+
+    lines = rows.mapInArrow(fetch, "id long, mark long, number long, line binary").groupBy("id", "mark", "number").agg(F.first("line").alias("line"))
+    ranges2 = max(1, -(-int(meetings) // MEETINGS_AT_ONCE))
+    dealt = wanted.join(lines, ["id", "mark", "number"]).mapInArrow(lambda b: _deal_meetings(b, chunk, ranges2), _BLOBS)
+    verified = dealt.repartitionById(ranges2, F.col("home")).mapInArrow(lambda b: _find_links(b, threshold), "sid long, links long, lost boolean, root long")
+    verified, _ = materialise(verified, "line-links")
+    for path in (met_path, wanted_path):
         drop_path(spark, path)
-        return found
-
-    pairs, pairs_path = materialise(_candidates(entries(), threshold, nearest), "line-pairs")
-    links = verified(pairs)
-    drop_path(spark, pairs_path)
-    ends = [F.struct(*(F.col(f"{end}{c}").alias(c) for c in _SET)) for end in ("later_", "")]
-    lost = links.select(*(F.col(f"later_{c}").alias(c) for c in _SET)).distinct()
-    degree = links.select(F.explode(F.array(*ends)).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    label = connected_components(links.select(ends[0].alias("a"), ends[1].alias("b")), "a", "b").join(degree, "node")
-    members = sets.join(label.select("node.*", F.col("component.id").alias("class_id"), F.col("component.number").alias("class_number"), "n_links"), _SET, "left").where("times > 1 OR n_links > 0")
+    degree = verified.groupBy("sid").agg(F.sum("links").alias("n_links"), F.max("lost").alias("lost"))
+    linked, _ = materialise(sets.select("sid", "id", "number").join(degree, "sid").join(connected_components(verified, "sid", "root").withColumnRenamed("node", "sid"), "sid"), "line-linked")
+    heads = linked.groupBy("component").agg(F.min(F.struct("id", "number")).alias("head"), F.count(F.lit(1)).alias("n"))
+    label = hot_join(linked, heads, ["component"], "n", linked.count(), F.col("sid")).select("sid", "n_links", F.col("head.id").alias("class_id"), F.col("head.number").alias("class_number"))
+    members = sets.select("sid", "key", "key2", "id", "number", "times").join(label, "sid", "left").where("times > 1 OR n_links > 0")
     own_class = [F.coalesce(F.col(f"class_{c}"), F.col(c)).alias(f"class_{c}") for c in ("id", "number")]
     members, _ = materialise(members.select("key", "key2", *own_class, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "line-members")
-    in_class = share(bit_table(members.select(F.col("key").bitwiseAND(F.lit(wanted_bits - 1)).alias("at"))))
+    in_class = share(bit_table(members.select(F.col("key").bitwiseAND(F.lit(wanted_bits - 1)).alias("at")), "at", wanted_bits))
 
     def find_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(in_class.value).astype(bool)
@@ -307,7 +331,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = F.struct("number", F.when(F.col("class_id") != _FIRST_ID, F.col("class_id")).alias("class_id"), "class_number", "n_links")
     in_rows = lines.join(salted, ["key", "key2", "salt"]).groupBy("id", "mark").agg(F.sort_array(F.collect_set(named)).alias("links"))
-    stays = sets.select(*_SET, "mark").join(lost, _SET, "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
+    stays = sets.select("sid", "id", "number", "mark").join(linked.where("lost").select("sid"), "sid", "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
     copies = own.select("own", F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
     copies = copies.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, mark ORDER BY mark)"))
 

@@ -79,6 +79,24 @@ class Words:
         return _mix(out, _ODD[2])
 
 
+def parities(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Four words of parities for each run of hashes: sets differ in as many elements at least as these in bits.
+
+    Small sets have them folded into two words or one; the others are zero.
+    """
+    if not len(starts):
+        return [np.zeros(0, np.uint64)] * 4
+    bit = np.uint64(1) << (hashes >> np.uint64(56) & np.uint64(63))
+    word = hashes >> np.uint64(62)
+    w = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), starts) for k in range(4)]
+    for limit, folds in ((MEDIUM, ((0, 2), (1, 3))), (SMALL, ((0, 1),))):
+        few = sizes <= limit
+        for into, out in folds:
+            w[into] = np.where(few, w[into] ^ w[out], w[into])
+            w[out] = np.where(few, np.uint64(0), w[out])
+    return w
+
+
 @dataclass
 class Sets:
     """Lines with words as sets: each set's words adjacent, rarest first."""
@@ -120,21 +138,5 @@ class Sets:
         return tuple(_mix(np.add.reduceat(_mix(self.hashes ^ c, d), self.starts) + self.sizes.astype(np.uint64), c).view(np.int64) for c, d in ((_ODD[0], _ODD[1]), (_ODD[2], _ODD[3])))
 
     def sketches(self) -> list[np.ndarray]:
-        """Four words of parities: sets differ in as many elements at least as these in bits.
-
-        Small sets have them folded into two words or one; the others are zero.
-        """
-        if not len(self.starts):
-            return [np.zeros(0, np.int64)] * 4
-        bit = np.uint64(1) << (self.hashes >> np.uint64(56) & np.uint64(63))
-        word = self.hashes >> np.uint64(62)
-        w = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), self.starts) for k in range(4)]
-        for limit, folds in ((MEDIUM, ((0, 2), (1, 3))), (SMALL, ((0, 1),))):
-            few = self.sizes <= limit
-            for into, out in folds:
-                w[into] = np.where(few, w[into] ^ w[out], w[into])
-                w[out] = np.where(few, np.uint64(0), w[out])
-        return [x.view(np.int64) for x in w]
-
-    def words_of(self, i: int) -> bytes:
-        return self.hashes[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
+        """``parities`` of each set, as signed numbers."""
+        return [x.view(np.int64) for x in parities(self.hashes, self.starts, self.sizes)]

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.line_dedup import _passes, line_dedup, similar
+from skein.llm.line_dedup import line_dedup, similar
+from skein.llm.line_join import _passes
 from skein.llm.line_sets import Sets
 
 
@@ -22,8 +23,8 @@ def brute(rows, threshold=0.8):
     return sorted((i, len(t.split("\n")) if t else 0, len(removed[row]), sorted(removed[row])) for row, (i, t) in enumerate(rows))
 
 
-@pytest.mark.parametrize("nearest", [2, 1])
-def test_lines_by_brute_force(spark, nearest):
+@pytest.mark.parametrize("hot, chunk", [(4_096, 2_048), (3, 4)])
+def test_lines_by_brute_force(spark, hot, chunk):
     rng = random.Random(8)
     words = ["w%d" % i for i in range(300)]
     pool = [[rng.choice(words[: rng.choice([5, 40, 300])]) for _ in range(rng.randint(1, 30))] for _ in range(40)]
@@ -39,7 +40,7 @@ def test_lines_by_brute_force(spark, nearest):
     rows += [(200, None), (201, ""), (202, "\n \n"), (203, " ".join("x%d" % (k % 2000) for k in range(5000))), (204, " ".join("x%d" % k for k in range(1900)))]
     rows += [(300 + i, "a very common line here\nown%d line%d" % (i, i)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
-    got = line_dedup(df, nearest=nearest, counters=1 << 12).collect()
+    got = line_dedup(df, hot=hot, chunk=chunk, counters=1 << 12).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_removed, sorted(r.removed)) for r in got) == brute(rows)
     texts = dict(rows)
     for r in got:

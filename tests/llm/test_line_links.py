@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from skein.llm.line_dedup import line_dedup, similar
 
 
@@ -22,7 +24,8 @@ def brute_links(rows, threshold=0.8):
     return found
 
 
-def test_all_links_are_found(spark):
+@pytest.mark.parametrize("hot, chunk", [(4_096, 2_048), (3, 5), (20, 60)])
+def test_all_links_are_found(spark, hot, chunk):
     rng = random.Random(5)
     base = [["w%d" % rng.randrange(400) for _ in range(rng.choice([8, 20, 40]))] for _ in range(6)]
     rows = []
@@ -34,7 +37,9 @@ def test_all_links_are_found(spark):
                 line[rng.randrange(len(line))] = "v%d" % rng.randrange(400)
             lines.append(" ".join(line))
         rows.append((i, "\n".join([*lines, "a common line here", f"alone{i} x{i}"])))
-    got = {r.doc_id: [tuple(x) for x in r.links] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), counters=1 << 12).collect()}
+    near = ["n%d" % k for k in range(40)]
+    rows += [(100 + i, " ".join([*near[:i % 40], "z%d" % i, *near[i % 40 + 1:]])) for i in range(120)]
+    got = {r.doc_id: [tuple(x) for x in r.links] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), counters=1 << 12, hot=hot, chunk=chunk).collect()}
     want = brute_links(rows)
     assert max(x[3] for found in want.values() for x in found) > 8
     assert got == want
