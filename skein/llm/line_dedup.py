@@ -55,42 +55,47 @@ def similar(a: set, b: set, threshold: float) -> bool:
     return both >= threshold * (len(a) + len(b) - both) - 1e-9
 
 
-def tally(rows: DataFrame, classes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int, most: int = 2**31 - 1) -> np.ndarray:
-    """How often each of ``size`` classes occurs, up to ``most``: a bounded table, summed by parts in tasks."""
+def _summed(rows: DataFrame, size: int, kind: type, take: Callable[[np.ndarray, pa.RecordBatch], None], both: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A table of ``size`` numbers that each task fills and that parts of are put together in tasks."""
     width = -(-size // COUNT_PARTS)
-    kind = np.uint8 if most < 256 else np.int64
 
-    def packed(parts: np.ndarray, names) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), pa.array([zstandard.compress(np.minimum(x, most).astype(kind).tobytes(), 1) for x in parts], pa.binary())], ["part", "counts"])
+    def packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([zstandard.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], ["part", "found"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width * COUNT_PARTS, dtype=np.int64)
-        held: list[np.ndarray] = []
+    def unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        for part, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield part, np.frombuffer(zstandard.decompress(found.as_py()), kind)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * COUNT_PARTS, kind)
         for batch in batches:
-            for found in classes(batch):
-                held.append(found)
-                if sum(map(len, held)) > len(total):
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = []
-        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=len(total))
-        yield packed(total.reshape(COUNT_PARTS, width), range(COUNT_PARTS))
+            take(total, batch)
+        yield packed({k: x for k, x in enumerate(total.reshape(COUNT_PARTS, width)) if x.any()})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.frombuffer(zstandard.decompress(counts.as_py()), kind).astype(np.int64)
-                total[part] = total[part] + found if part in total else found
-        yield packed(np.array(list(total.values())).reshape(len(total), width), total)
-
-    schema = "part long, counts binary"
-    found = rows.mapInArrow(count, schema).repartition(COUNT_PARTS, "part").mapInArrow(merge, schema).toArrow()
-    out = np.zeros((COUNT_PARTS, width), dtype=kind)
-    for part, counts in zip(found.column(0).to_pylist(), found.column(1)):
-        out[part] = np.frombuffer(zstandard.decompress(counts.as_py()), kind)
+            for part, found in unpacked(batch):
+                total[part] = both(total[part], found) if part in total else found
+        yield packed(total)
+
+    schema = "part long, found binary"
+    out = np.zeros((COUNT_PARTS, width), kind)
+    for part, found in unpacked(rows.mapInArrow(fill, schema).repartition(COUNT_PARTS, "part").mapInArrow(merge, schema).toArrow()):
+        out[part] = found
     return out.reshape(-1)[:size]
 
 
+def tally(rows: DataFrame, classes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """How often each of ``size`` classes occurs: a bounded table."""
+
+    def take(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for found in classes(batch):
+            np.add.at(total, found, 1)
+
+    return _summed(rows, size, np.int64, take, np.add)
+
+
 def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     """How often the words of each of ``counters`` hash classes occur, over all texts."""
 
@@ -98,13 +103,16 @@ def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
         for _, texts, _ in slices(batch.column("id"), batch.column("text"), batch.column("mark")):
             yield (Words.of(texts).hashes % np.uint64(counters)).astype(np.int64)
 
-    return tally(rows, words, counters).astype(np.int32)
+    return np.minimum(tally(rows, words, counters), 2**31 - 1).astype(np.int32)
 
 
 def bit_table(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bounded table of the numbers under ``bits`` (a power of two) that ``column`` holds, packed."""
-    seen = tally(rows.select(column), lambda batch: iter([batch.column(0).to_numpy()]), bits, 1)
-    return np.packbits(seen.astype(bool))
+
+    def take(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total[batch.column(0).to_numpy()] = True
+
+    return np.packbits(_summed(rows.select(column), bits, np.bool_, take, np.logical_or))
 
 
 def _position(ids: np.ndarray, numbers: np.ndarray, bits: int) -> np.ndarray:

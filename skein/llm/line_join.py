@@ -108,9 +108,15 @@ def _passes(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
     return i, j
 
 
-def _pairs(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within groups, by distance; ``rank`` counts within each group."""
+def _pairs(rank: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within groups, by distance; ``rank`` counts within each group, by size.
+
+    The farther a smaller set is, the smaller it is: beyond the length filter a set
+    has no more partners.
+    """
     active, away = np.flatnonzero(rank > 0), 1
+    least = threshold * size - 1e-9
+    active = active[size[active - 1] >= least[active]]
     while len(active):
         steps = max(1, min(PAIRS_AT_ONCE // len(active), 64))
         for at in range(0, len(active), PAIRS_AT_ONCE):
@@ -120,6 +126,7 @@ def _pairs(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield i[inside], i[inside] - back[inside]
         away += steps
         active = active[rank[active] >= away]
+        active = active[size[active - away] >= least[active]]
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +140,13 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(c: dict[str, np.ndarray], threshold: float, chunk: int) -> dict[str, np.ndarray]:
     """The entries that have a candidate in their group, and how many of these it has."""
-    order = np.lexsort((c["sid"], c["group"]))
+    order = np.lexsort((c["size"], c["group"]))
     order = order[np.repeat(*(lambda s, n: (n > 1, n))(*_runs(c["group"][order])))] if len(order) else order
     c = _with_folds({k: x[order].astype(np.int64) if x.dtype.itemsize == 4 else x[order] for k, x in c.items()})
     starts, sizes = _runs(c["group"])
     take = np.repeat(sizes > chunk, sizes)
     rank = np.where(take, 0, np.arange(len(take)) - np.repeat(starts, sizes))
-    for i, j in _pairs(rank):
+    for i, j in _pairs(rank, c["size"], threshold):
         open_ = ~(take[i] & take[j])
         i, j = _passes(c, i[open_], j[open_], threshold)
         take[i] = take[j] = True
@@ -247,17 +254,18 @@ class Verifier:
 
     def run(self, e: dict[str, np.ndarray]) -> None:
         """Link the members of each group (and pair of chunks)."""
-        order = np.lexsort((e["member"], e["own"], e["b"], e["a"], e["group"]))
+        e["size"] = self.sizes[e["member"]]
+        order = np.lexsort((e["member"], e["size"], e["own"], e["b"], e["a"], e["group"]))
         e = {k: x[order] if x.dtype.itemsize == 8 else x[order].astype(np.int64) for k, x in e.items()}
         # An entry counts once in a group, whatever a word's hash does.
         starts, _ = _runs(e["group"], e["a"], e["b"], e["member"])
         e = {k: x[starts] for k, x in e.items()}
-        e |= {"size": self.sizes[e["member"]], "zero": np.zeros(len(starts), np.int64), "next": np.where(e["second"] < 0, 0, e["place"] + 1)}
+        e |= {"zero": np.zeros(len(starts), np.int64), "next": np.where(e["second"] < 0, 0, e["place"] + 1)}
         e |= {k: x[e["member"]] for k, x in self.sketches.items()}
         starts, sizes = _runs(e["group"], e["a"], e["b"])
         many = (sizes > FEW) | (e["a"][starts] != e["b"][starts])
         rank = np.where(np.repeat(many, sizes), 0, np.arange(len(e["group"])) - np.repeat(starts, sizes))
-        for i, j in _pairs(rank):
+        for i, j in _pairs(rank, e["size"], self.threshold):
             self._check(e, *_passes(e, i, j, self.threshold))
         for s, n in zip(starts[many].tolist(), sizes[many].tolist()):
             own = np.arange(s, s + n)
