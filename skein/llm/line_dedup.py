@@ -35,8 +35,8 @@ COUNT_PARTS = 32
 WANTED_BITS = 1 << 25
 HOT = 4_096
 SALTS = 16
-ENTRIES_AT_ONCE = 500_000
-MEETINGS_AT_ONCE = 60_000
+ENTRIES_AT_ONCE = 400_000
+MEETINGS_AT_ONCE = 40_000
 SPREAD = 2654435761
 _FIRST_ID = -(2**63)
 _SKETCH = ["s0", "s1", "s2", "s3"]
@@ -296,7 +296,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fetched = share(bit_table(wanted.select(place.alias("at")), "at", wanted_bits))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(fetched.value).astype(bool)
+        bits = np.unpackbits(fetched.value).view(bool)
         for batch in batches:
             for ids, texts, marks in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
                 lines = [t.split(b"\n") for t in texts]
@@ -324,7 +324,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in_class = share(bit_table(members.select(F.col("key").bitwiseAND(F.lit(wanted_bits - 1)).alias("at")), "at", wanted_bits))
 
     def find_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(in_class.value).astype(bool)
+        wanted = np.unpackbits(in_class.value).view(bool)
         for batch in batches:
             for ids, texts, marks in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
                 found = Sets.of(texts)

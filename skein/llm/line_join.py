@@ -26,10 +26,10 @@ from skein.plans.components import least_roots
 CHUNK = 2_048
 #: Groups beyond this are compared by matrix products.
 FEW = 64
-PAIRS_AT_ONCE = 1_000_000
-VALUES_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 200_000
+VALUES_AT_ONCE = 500_000
 _ROWS = 512
-_COLUMNS = 2_048
+_COLUMNS = 1_024
 _SKETCH = ["s0", "s1", "s2", "s3"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,7 +220,7 @@ class Verifier:
         self.links += np.bincount(i, minlength=len(self.links)) + np.bincount(j, minlength=len(self.links))
         self.lost[later] = True
         self.edges.append((i, j))
-        if sum(len(a) for a, _ in self.edges) > 2 * PAIRS_AT_ONCE:
+        if sum(len(a) for a, _ in self.edges) > 10 * PAIRS_AT_ONCE:
             self.edges = [least_roots(*map(np.concatenate, zip(*self.edges)))]
 
     def _enough(self, both: np.ndarray, sizes: np.ndarray) -> np.ndarray:
