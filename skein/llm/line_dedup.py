@@ -154,10 +154,11 @@ def _find_candidates(batches: Iterator[pa.RecordBatch], threshold: float, chunk:
         yield pa.RecordBatch.from_arrays([pa.array(found[n].astype(np.int64)) for n in names], names)
 
 
-def _deal_meetings(batches: Iterator[pa.RecordBatch], chunk: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Candidates with their texts, dealt by group and pair of chunks."""
+def _deal_meetings(batches: Iterator[pa.RecordBatch], kinds: dict[str, str], chunk: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Candidates, with their texts where ``kinds`` has these, dealt by group and pair of chunks."""
+    with_texts = "bytes" in kinds
     for batch in batches:
-        own = _numbers(batch, "sid", "id", "number", "mark")
+        own = _numbers(batch, *(k for k in kinds if k not in ("tokens", "bytes")))
         tokens, counts = _flat(batch.column("prefix"))
         first = np.cumsum(counts) - counts
         meetings = batch.column("meetings")
@@ -172,26 +173,26 @@ def _deal_meetings(batches: Iterator[pa.RecordBatch], chunk: int, ranges: int) -
         group = m["group"][at].view(np.uint64)
         home = line_join.homes(group, a, b, ranges=ranges)
         order = np.lexsort((row[at], home))
-        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
-        texts = batch.column("line").to_pylist()
+        texts = batch.column("line").to_pylist() if with_texts else []
         out: list[list] = [[] for _ in _NAMES]
-        for part in np.split(order, cuts[1:]):
+        for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
             if not len(part):
                 continue
             rows, member = np.unique(row[at[part]], return_inverse=True)
-            entry = {"group": group[part], "a": a[part], "b": b[part], "own": chunk_of[at[part]], "member": member, "place": m["place"][at[part]], "second": m["second"][at[part]]}
-            lines = [texts[r] for r in rows.tolist()]
+            entry = {"group": group[part], "a": a[part], "b": b[part], "own": chunk_of[at[part]], "member": member} | {k: m[k][at[part]] for k in ("place", "second", "m")}
+            lines = [texts[r] for r in rows.tolist()] if with_texts else []
             sets = {k: x[rows] for k, x in own.items()} | {"tokens": counts[rows], "bytes": np.array([len(x) for x in lines])}
-            blob = line_join.pack_columns(entry, line_join.MEETING) , line_join.pack_columns(sets, line_join.MEMBER)
-            head = len(blob[0]).to_bytes(8, "little")
+            packed = line_join.pack_columns(entry, line_join.MEETING)
             kept = tokens[line_join.spans(first[rows], counts[rows])].astype("<i4").tobytes()
-            for column, value in zip(out, (int(home[part[0]]), len(part), len(rows), head + blob[0] + blob[1], zstandard.compress(kept, 1), zstandard.compress(b"".join(lines), 1))):
+            row_of = (int(home[part[0]]), len(part), len(rows), len(packed).to_bytes(8, "little") + packed + line_join.pack_columns(sets, kinds), zstandard.compress(kept, 1), zstandard.compress(b"".join(lines), 1))
+            for column, value in zip(out, row_of):
                 column.append(value)
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], _NAMES)
 
 
-def _find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], kinds: dict[str, str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """What the sets of one range find in their groups."""
     entries, members, tokens, texts = [], [], [], []
     seen: dict[int, int] = {}
     for batch in batches:
@@ -199,21 +200,24 @@ def _find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
             columns = columns.as_py()
             cut = 8 + int.from_bytes(columns[:8], "little")
             e = line_join.unpack_columns(columns[8:cut], n, line_join.MEETING)
-            own = line_join.unpack_columns(columns[cut:], more, line_join.MEMBER)
+            own = line_join.unpack_columns(columns[cut:], more, kinds)
             # A set comes with each of its blobs and is taken once.
-            number = [seen.setdefault(x, len(seen)) for x in own["sid"].tolist()]
-            new = np.array([k for k, x in enumerate(number) if x >= len(texts)], np.int64)
-            e["member"] = np.array(number)[e["member"]]
+            before = len(seen)
+            number = np.array([seen.setdefault(x, len(seen)) for x in own["sid"].tolist()])
+            new = np.flatnonzero(number >= before)
+            e["member"] = number[e["member"]]
             entries.append(e)
-            ends, data = np.cumsum(own["bytes"].astype(np.int64)), zstandard.decompress(lines.as_py())
-            texts += [data[ends[k] - own["bytes"][k] : ends[k]] for k in new.tolist()]
+            if "bytes" in kinds:
+                ends, data = np.cumsum(own["bytes"].astype(np.int64)), zstandard.decompress(lines.as_py())
+                texts += [data[ends[k] - own["bytes"][k] : ends[k]] for k in new.tolist()]
             counts = own["tokens"].astype(np.int64)
             tokens.append(np.frombuffer(zstandard.decompress(words.as_py()), "<i4")[line_join.spans((np.cumsum(counts) - counts)[new], counts[new])])
             members.append({k: x[new] for k, x in own.items()})
     if entries:
-        both = [{k: np.concatenate([p[k] for p in parts]) for k in parts[0]} for parts in (entries, members)]
-        found = line_join.Verifier(both[1], np.concatenate(tokens), texts, threshold)
-        found.run(both[0])
+        met, sets = ({k: np.concatenate([p[k] for p in parts]) for k in parts[0]} for parts in (entries, members))
+        words = np.concatenate(tokens)
+        found = line_join.Verifier(sets, words, texts, threshold) if "bytes" in kinds else line_join.Pruner(sets, words, threshold)
+        found.run(met)
         yield found.found()
 
 
@@ -256,25 +260,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 order = np.lexsort((mark, found.numbers, row_id, key2, key))
                 k, k2 = key[order], key2[order]
                 heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])]))
-                times = np.diff(np.append(heads, len(order)))
                 by_line = np.argsort(order[heads])
-                first, times = order[heads][by_line], times[by_line]
+                first = order[heads][by_line]
                 place = np.arange(len(found.hashes)) - np.repeat(found.starts, found.sizes)
-                # The prefix, and a word more for joining in pairs.
+                # The prefix, and a word more for joining in pairs; a set's further lines in the slice have none.
                 prefix = np.minimum(prefix_sizes(found.sizes, threshold) + 1, found.sizes)
                 held = np.zeros(len(found.starts), dtype=bool)
                 held[first] = True
-                inside = np.repeat(held, found.sizes) & (place < np.repeat(prefix, found.sizes))
+                prefix[~held] = 0
+                inside = place < np.repeat(prefix, found.sizes)
                 h = found.hashes[inside]
                 token = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32).view(np.int32)
                 token = np.where(counts.value[(h % np.uint64(counters)).astype(np.int64)] > 1, token, 0).astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(prefix[first])]).astype(np.int32)
-                columns = [x[first] for x in (key, key2, row_id, found.numbers, mark, found.sizes, *found.sketches())] + [times]
-                names = ["key", "key2", "id", "number", "mark", "size", *_SKETCH, "times", "prefix"]
+                offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
+                sketches = [np.where(held, x, 0) for x in found.sketches()]
+                columns = [key, key2, row_id, found.numbers, mark, np.where(held, found.sizes, 0), *sketches]
+                names = ["key", "key2", "id", "number", "mark", "size", *_SKETCH, "prefix"]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))], names)
 
-    schema = "key long, key2 long, id long, number long, mark long, size long, s0 long, s1 long, s2 long, s3 long, times long, prefix array<int>"
-    first = rows.mapInArrow(find_sets, schema).groupBy("key", "key2").agg(F.min(F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")).alias("s"), F.sum("times").alias("times"))
+    schema = "key long, key2 long, id long, number long, mark long, size long, s0 long, s1 long, s2 long, s3 long, prefix array<int>"
+    all_lines, _ = materialise(rows.mapInArrow(find_sets, schema), "line-rows")
+    one = F.min(F.when(F.col("size") > 0, F.struct("id", "number", "mark", "size", *_SKETCH, "prefix")))
+    first = all_lines.groupBy("key", "key2").agg(one.alias("s"), F.count(F.lit(1)).alias("times"))
     # Numbers are written with the sets, so each set keeps its own.
     sets, _ = materialise(first.select(F.monotonically_increasing_id().alias("sid"), "key", "key2", "times", "s.*"), "line-sets")
 
@@ -289,9 +296,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met, met_path = materialise(met, "line-candidates")
 
     copies_of = F.when(F.col("m") > chunk, F.ceil(F.col("m") / chunk)).otherwise(1)
-    meetings = met.agg(F.coalesce(F.sum(copies_of), F.lit(0)).alias("n")).first()["n"]
-    by_set = met.groupBy("sid").agg(F.collect_list(F.struct("group", "place", "second", "m")).alias("meetings"))
-    wanted, wanted_path = materialise(sets.select("sid", "id", "number", "mark", "prefix").join(by_set, "sid"), "line-wanted")
+
+    def together(met: DataFrame, columns: list[str], what: str) -> tuple[DataFrame, str, int]:
+        """The sets of some entries with all of these, and how many entries all chunks have."""
+        n = met.agg(F.coalesce(F.sum(copies_of), F.lit(0)).alias("n")).first()["n"]
+        by_set = met.groupBy("sid").agg(F.collect_list(F.struct("group", "place", "second", "m")).alias("meetings"))
+        return *materialise(sets.select("sid", *columns, "prefix").join(by_set, "sid"), what), max(1, -(-int(n) // MEETINGS_AT_ONCE))
+
+    sketched, sketched_path, parts = together(met, ["size", *_SKETCH], "line-sketched")
+    dealt = sketched.mapInArrow(lambda b: _deal_meetings(b, line_join.SKETCHED, chunk, parts), _BLOBS)
+    pruned = dealt.repartitionById(parts, F.col("home")).mapInArrow(lambda b: _meet(b, line_join.SKETCHED, threshold), "sid long, group long, place long, second long, m long")
+    pruned, pruned_path = materialise(pruned.distinct(), "line-pruned")
+    wanted, wanted_path, parts2 = together(pruned, ["id", "number", "mark"], "line-wanted")
     place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
     fetched = share(bit_table(wanted.select(place.alias("at")), "at", wanted_bits))
 
@@ -308,11 +324,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row[take]]), pa.array(np.array(marks, np.int64)[row[take]]), pa.array(number[take]), pa.array(own, pa.binary())], ["id", "mark", "number", "line"])
 
     lines = rows.mapInArrow(fetch, "id long, mark long, number long, line binary").groupBy("id", "mark", "number").agg(F.first("line").alias("line"))
-    ranges2 = max(1, -(-int(meetings) // MEETINGS_AT_ONCE))
-    dealt = wanted.join(lines, ["id", "mark", "number"]).mapInArrow(lambda b: _deal_meetings(b, chunk, ranges2), _BLOBS)
-    verified = dealt.repartitionById(ranges2, F.col("home")).mapInArrow(lambda b: _find_links(b, threshold), "sid long, links long, lost boolean, root long")
+    dealt = wanted.join(lines, ["id", "mark", "number"]).mapInArrow(lambda b: _deal_meetings(b, line_join.TEXTS, chunk, parts2), _BLOBS)
+    verified = dealt.repartitionById(parts2, F.col("home")).mapInArrow(lambda b: _meet(b, line_join.TEXTS, threshold), "sid long, links long, lost boolean, root long")
     verified, _ = materialise(verified, "line-links")
-    for path in (met_path, wanted_path):
+    for path in (met_path, sketched_path, pruned_path, wanted_path):
         drop_path(spark, path)
     degree = verified.groupBy("sid").agg(F.sum("links").alias("n_links"), F.max("lost").alias("lost"))
     linked, _ = materialise(sets.select("sid", "id", "number").join(degree, "sid").join(connected_components(verified, "sid", "root").withColumnRenamed("node", "sid"), "sid"), "line-linked")
@@ -321,21 +336,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = sets.select("sid", "key", "key2", "id", "number", "times").join(label, "sid", "left").where("times > 1 OR n_links > 0")
     own_class = [F.coalesce(F.col(f"class_{c}"), F.col(c)).alias(f"class_{c}") for c in ("id", "number")]
     members, _ = materialise(members.select("key", "key2", *own_class, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "line-members")
-    in_class = share(bit_table(members.select(F.col("key").bitwiseAND(F.lit(wanted_bits - 1)).alias("at")), "at", wanted_bits))
-
-    def find_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(in_class.value).view(bool)
-        for batch in batches:
-            for ids, texts, marks in slices(*(batch.column(n) for n in ("id", "text", "mark"))):
-                found = Sets.of(texts)
-                if len(found.starts):
-                    key, key2 = found.names()
-                    take = np.flatnonzero(wanted[key & (wanted_bits - 1)])
-                    row_id, mark = (np.array(x, dtype=np.int64)[found.rows[take]] for x in (ids, marks))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row_id, mark, found.numbers[take], key[take], key2[take])], ["id", "mark", "number", "key", "key2"])
-
     # A very common line is dealt over SALTS groups.
-    lines = rows.mapInArrow(find_members, "id long, mark long, number long, key long, key2 long").withColumn("salt", F.pmod(F.hash("id", "mark"), F.lit(SALTS)))
+    lines = all_lines.select("id", "mark", "number", "key", "key2").withColumn("salt", F.pmod(F.hash("id", "mark"), F.lit(SALTS)))
     salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = F.struct("number", F.when(F.col("class_id") != _FIRST_ID, F.col("class_id")).alias("class_id"), "class_number", "n_links")
     in_rows = lines.join(salted, ["key", "key2", "salt"]).groupBy("id", "mark").agg(F.sort_array(F.collect_set(named)).alias("links"))

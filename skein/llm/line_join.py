@@ -1,8 +1,9 @@
 """The kernels of the exact set-similarity join of lines.
 
-Two passes over groups of sets that share a prefix word. The first looks at sizes,
+Three passes over groups of sets that share a prefix word. The first looks at sizes,
 places and sketches only and finds which entries have a candidate in their group;
-the second gets the texts of those and verifies on the words. A word that very many
+the second gets the prefixes of those and leaves the groups in which a pair counts;
+the third gets the texts and verifies on the words. A word that very many
 prefixes hold is joined by pairs of words: two similar sets of two words or more
 have their second common word within one more place than the prefix.
 
@@ -22,7 +23,7 @@ import zstandard
 from skein.llm.line_sets import MEDIUM, SMALL, parities
 from skein.plans.components import least_roots
 
-#: Larger groups pass the first pass as they are; the second splits them into chunks.
+#: Larger groups pass the first pass as they are; the others split them into chunks.
 CHUNK = 2_048
 #: Groups beyond this are compared by matrix products.
 FEW = 64
@@ -33,10 +34,11 @@ _COLUMNS = 1_024
 _SKETCH = ["s0", "s1", "s2", "s3"]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-#: What the first pass's entries consist of, and the second one's entries and sets.
+#: What the first pass's entries consist of, the other ones' entries, and their sets.
 ENTRY = {"group": "<u8", "sid": "<i8", "size": "<i4", "place": "<i4", "second": "<i4", **dict.fromkeys(_SKETCH, "<u8")}
-MEETING = {"group": "<u8", "a": "<i4", "b": "<i4", "own": "<i4", "member": "<i4", "place": "<i4", "second": "<i4"}
-MEMBER = {"sid": "<i8", "id": "<i8", "number": "<i8", "mark": "<i8", "tokens": "<i4", "bytes": "<i4"}
+MEETING = {"group": "<u8", "a": "<i4", "b": "<i4", "own": "<i4", "member": "<i4", "place": "<i4", "second": "<i4", "m": "<i8"}
+SKETCHED = {"sid": "<i8", "size": "<i4", "tokens": "<i4", **dict.fromkeys(_SKETCH, "<u8")}
+TEXTS = {"sid": "<i8", "id": "<i8", "number": "<i8", "mark": "<i8", "tokens": "<i4", "bytes": "<i4"}
 
 
 def homes(*keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -154,26 +156,12 @@ def candidates(c: dict[str, np.ndarray], threshold: float, chunk: int) -> dict[s
     return {"sid": c["sid"][take], "group": c["group"][take], "place": c["place"][take], "second": c["second"][take], "m": m[take]}
 
 
-class Verifier:
-    """Sets with their words, and the links among those that meet in a task."""
+class Groups:
+    """Sets with their prefixes, and the pairs among those that meet in a task."""
 
-    def __init__(self, members: dict[str, np.ndarray], tokens: np.ndarray, texts: list[bytes], threshold: float):
-        self.threshold, self.sid = threshold, members["sid"]
-        self.rank = np.empty(len(texts), np.int64)  # earlier lines first
-        self.rank[np.lexsort((members["mark"], members["number"], members["id"]))] = np.arange(len(texts))
-        # Words get their numbers by the bytes themselves.
-        known: dict[bytes, int] = {}
-        number = known.setdefault
-        found = [[number(w, len(known)) for w in t.lower().split()] for t in texts]
-        lengths = np.array([len(x) for x in found])
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(lengths.sum()))
-        self.words = max(1, len(known))
-        keys = np.unique(np.repeat(np.arange(len(texts)), lengths) * self.words + flat)
-        self.values, owner = keys % self.words, keys // self.words
-        self.sizes = np.bincount(owner, minlength=len(texts))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        sketch = parities((self.values.astype(np.uint64) + np.uint64(1)) * _MIX, self.starts, self.sizes)
-        self.sketches = _with_folds(dict(zip(_SKETCH, sketch)))
+    def __init__(self, members: dict[str, np.ndarray], tokens: np.ndarray, threshold: float, sizes: np.ndarray, sketches: list[np.ndarray]):
+        self.threshold, self.sid, self.sizes = threshold, members["sid"], sizes.astype(np.int64)
+        self.sketches = _with_folds(dict(zip(_SKETCH, sketches)))
         # Prefix words by number; one that no other set has is like none.
         counts = members["tokens"].astype(np.int64)
         self.first = np.cumsum(counts) - counts
@@ -181,9 +169,6 @@ class Verifier:
         alone = np.flatnonzero(tokens == 0)
         self.prefix[alone] = len(distinct) + np.arange(len(alone))
         self.kinds = len(distinct) + len(alone) + 1
-        self.links = np.zeros(len(texts), np.int64)
-        self.lost = np.zeros(len(texts), dtype=bool)
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
     def _common(values: np.ndarray, kinds: int, si: np.ndarray, ni: np.ndarray, sj: np.ndarray, nj: np.ndarray) -> np.ndarray:
@@ -215,19 +200,8 @@ class Verifier:
             out += both[0] @ both[1].T
         return out
 
-    def _keep(self, i: np.ndarray, j: np.ndarray) -> None:
-        later = np.where(self.rank[i] > self.rank[j], i, j)
-        self.links += np.bincount(i, minlength=len(self.links)) + np.bincount(j, minlength=len(self.links))
-        self.lost[later] = True
-        self.edges.append((i, j))
-        if sum(len(a) for a, _ in self.edges) > 10 * PAIRS_AT_ONCE:
-            self.edges = [least_roots(*map(np.concatenate, zip(*self.edges)))]
-
-    def _enough(self, both: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return both >= self.threshold * (sizes - both) - 1e-9
-
     def _check(self, e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
-        """Keep those of the pairs of entries that count here and are similar."""
+        """Take those of the pairs of entries that count here."""
         x, y = e["member"][i], e["member"][j]
         for begin, end in (("zero", "place"), ("next", "second")):
             if len(i):
@@ -235,26 +209,23 @@ class Verifier:
                 ok = self._common(self.prefix, self.kinds, *runs[0], *runs[1]) == 0
                 i, j, x, y = i[ok], j[ok], x[ok], y[ok]
         if len(i):
-            both = self._common(self.values, self.words, self.starts[x], self.sizes[x], self.starts[y], self.sizes[y])
-            ok = self._enough(both, self.sizes[x] + self.sizes[y])
-            self._keep(x[ok], y[ok])
+            self._take(e, i, j)
 
-    def _check_all(self, e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        """The same for all pairs of an entry of ``a`` and one of ``b``."""
+    def _check_all(self, e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """The same for many pairs of an entry of ``a`` and one of ``b`` (both ascending)."""
+        mask = np.zeros((len(a), len(b)), dtype=bool)
+        mask[np.searchsorted(a, i), np.searchsorted(b, j)] = True
         x, y = e["member"][a], e["member"][b]
-        mask = self._enough(self._products(self.values, self.words, self.starts[x], self.sizes[x], self.starts[y], self.sizes[y]), self.sizes[x][:, None] + self.sizes[y][None])
-        mask &= x[:, None] < y[None] if same else x[:, None] != y[None]
         for begin, end in (("zero", "place"), ("next", "second")):
-            if mask.any():
-                runs = [(self.first[m] + e[begin][k], np.maximum(0, e[end][k] - e[begin][k])) for m, k in ((x, a), (y, b))]
-                mask &= self._products(self.prefix, self.kinds, *runs[0], *runs[1]) == 0
+            runs = [(self.first[m] + e[begin][k], np.maximum(0, e[end][k] - e[begin][k])) for m, k in ((x, a), (y, b))]
+            mask &= self._products(self.prefix, self.kinds, *runs[0], *runs[1]) == 0
         i, j = np.nonzero(mask)
         if len(i):
-            self._keep(x[i], y[j])
+            self._take_all(e, a, b, a[i], b[j])
 
     def run(self, e: dict[str, np.ndarray]) -> None:
-        """Link the members of each group (and pair of chunks)."""
-        e["size"] = self.sizes[e["member"]]
+        """Go through the members of each group (and pair of chunks)."""
+        e = e | {"size": self.sizes[e["member"]]}
         order = np.lexsort((e["member"], e["size"], e["own"], e["b"], e["a"], e["group"]))
         e = {k: x[order] if x.dtype.itemsize == 8 else x[order].astype(np.int64) for k, x in e.items()}
         # An entry counts once in a group, whatever a word's hash does.
@@ -279,10 +250,78 @@ class Verifier:
                     i, j = i[i < j], j[i < j]
                 i, j = _passes(e, i, j, self.threshold)
                 if len(i) > 8 * (len(part) + len(right)):
-                    self._check_all(e, part, right, not split)
+                    self._check_all(e, part, right, i, j)
                 else:
                     self._check(e, i, j)
 
+
+
+class Pruner(Groups):
+    """Finds the entries that a pair counts for, as far as sketches and prefixes tell."""
+
+    def __init__(self, members: dict[str, np.ndarray], tokens: np.ndarray, threshold: float):
+        super().__init__(members, tokens, threshold, members["size"], [members[s] for s in _SKETCH])
+        self.parts: list[np.ndarray] = []
+
+    def _take(self, e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
+        at = np.unique(np.concatenate([i, j]))
+        self.parts.append(np.column_stack([self.sid[e["member"][at]], e["group"][at].view(np.int64), e["place"][at], e["second"][at], e["m"][at]]))
+
+    def _take_all(self, e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        self._take(e, i, j)
+
+    def found(self) -> pa.RecordBatch:
+        rows = np.unique(np.vstack([*self.parts, np.zeros((0, 5), np.int64)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["sid", "group", "place", "second", "m"])
+
+
+class Verifier(Groups):
+    """Sets with their words, and the links among those that meet in a task."""
+
+    def __init__(self, members: dict[str, np.ndarray], tokens: np.ndarray, texts: list[bytes], threshold: float):
+        self.rank = np.empty(len(texts), np.int64)  # earlier lines first
+        self.rank[np.lexsort((members["mark"], members["number"], members["id"]))] = np.arange(len(texts))
+        # Words get their numbers by the bytes themselves.
+        words = [t.lower().split() for t in texts]
+        known = dict.fromkeys(w for x in words for w in x)
+        known.update(zip(known, range(len(known))))
+        lengths = np.array([len(x) for x in words])
+        flat = np.array([known[w] for x in words for w in x], np.int64)
+        self.words = max(1, len(known))
+        keys = np.sort(np.repeat(np.arange(len(texts)), lengths) * self.words + flat)
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        self.values, owner = keys % self.words, keys // self.words
+        sizes = np.bincount(owner, minlength=len(texts))
+        self.starts = np.cumsum(sizes) - sizes
+        super().__init__(members, tokens, threshold, sizes, parities((self.values.astype(np.uint64) + np.uint64(1)) * _MIX, self.starts, sizes))
+        self.links = np.zeros(len(texts), np.int64)
+        self.lost = np.zeros(len(texts), dtype=bool)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _enough(self, both: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return both >= self.threshold * (sizes - both) - 1e-9
+
+    def _keep(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.links += np.bincount(i, minlength=len(self.links)) + np.bincount(j, minlength=len(self.links))
+        self.lost[np.where(self.rank[i] > self.rank[j], i, j)] = True
+        self.edges.append((i, j))
+        if sum(len(a) for a, _ in self.edges) > 10 * PAIRS_AT_ONCE:
+            nodes, roots = least_roots(*map(np.concatenate, zip(*self.edges)))
+            self.edges = [(nodes, roots)]
+
+    def _take(self, e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
+        x, y = e["member"][i], e["member"][j]
+        both = self._common(self.values, self.words, self.starts[x], self.sizes[x], self.starts[y], self.sizes[y])
+        ok = self._enough(both, self.sizes[x] + self.sizes[y])
+        self._keep(x[ok], y[ok])
+
+    def _take_all(self, e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        x, y = e["member"][a], e["member"][b]
+        both = self._products(self.values, self.words, self.starts[x], self.sizes[x], self.starts[y], self.sizes[y])
+        x, y = e["member"][i], e["member"][j]
+        ok = self._enough(both[np.searchsorted(a, i), np.searchsorted(b, j)], self.sizes[x] + self.sizes[y])
+        self._keep(x[ok], y[ok])
+
     def found(self) -> pa.RecordBatch:
         """A row for each linked set: number of links, whether an earlier one is similar, least set reached here."""
         own = np.flatnonzero(self.links)

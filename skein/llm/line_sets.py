@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 2_000_000
+#: Small enough for a slice's arrays to stay in a core's cache.
+SLICE_BYTES = 400_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
