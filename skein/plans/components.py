@@ -7,8 +7,9 @@ the number of rounds is logarithmic in practice, whatever the diameter. Each
 round is aggregations and equi-joins; nothing is collected. A hub's edges are not
 dealt by the hub: see ``hot_join``.
 
-Before the first round every task contracts its own edges to stars, a bounded
-number of them at once, which spares rounds and loses no connection.
+Before the first round and after each, every task contracts the edges that it holds
+to stars, a bounded number of them at once, which spares rounds and loses no
+connection.
 """
 
 from __future__ import annotations
@@ -74,10 +75,10 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple[int, int]]:
-    """The distinct edges as a table, its path, and their number and a sum of hashes."""
+    """The distinct edges, contracted within tasks, as a table, its path, and their number and a sum of hashes."""
     seen = Observation()
     marks = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)).alias("h")
-    table, path = materialise(edges.distinct().observe(seen, *marks), "cc-round")
+    table, path = materialise(edges.distinct().mapInArrow(_contract, "u long, v long").observe(seen, *marks), "cc-round")
     return table, path, (seen.get["n"], seen.get["h"])
 
 
