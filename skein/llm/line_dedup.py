@@ -34,7 +34,6 @@ COUNTERS = 1 << 20
 COUNT_PARTS = 32
 WANTED_BITS = 1 << 25
 HOT = 4_096
-SALTS = 16
 ENTRIES_AT_ONCE = 400_000
 MEETINGS_AT_ONCE = 40_000
 SPREAD = 2654435761
@@ -335,12 +334,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = hot_join(linked, heads, ["component"], "n", linked.count(), F.col("sid")).select("sid", "n_links", F.col("head.id").alias("class_id"), F.col("head.number").alias("class_number"))
     members = sets.select("sid", "key", "key2", "id", "number", "times").join(label, "sid", "left").where("times > 1 OR n_links > 0")
     own_class = [F.coalesce(F.col(f"class_{c}"), F.col(c)).alias(f"class_{c}") for c in ("id", "number")]
-    members, _ = materialise(members.select("key", "key2", *own_class, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "line-members")
-    # A very common line is dealt over SALTS groups.
-    lines = all_lines.select("id", "mark", "number", "key", "key2").withColumn("salt", F.pmod(F.hash("id", "mark"), F.lit(SALTS)))
-    salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members, _ = materialise(members.select("key", "key2", "times", *own_class, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "line-members")
+    lines = all_lines.select("id", "mark", "number", "key", "key2")
     named = F.struct("number", F.when(F.col("class_id") != _FIRST_ID, F.col("class_id")).alias("class_id"), "class_number", "n_links")
-    in_rows = lines.join(salted, ["key", "key2", "salt"]).groupBy("id", "mark").agg(F.sort_array(F.collect_set(named)).alias("links"))
+    in_rows = hot_join(lines, members, ["key", "key2"], "times", all_lines.count(), F.hash("id", "mark")).groupBy("id", "mark").agg(F.sort_array(F.collect_set(named)).alias("links"))
     stays = sets.select("sid", "id", "number", "mark").join(linked.where("lost").select("sid"), "sid", "left_anti").groupBy("id", "mark").agg(F.collect_set("number").alias("stays"))
     copies = own.select("own", F.coalesce("own", F.lit(_FIRST_ID)).alias("id"), "text", F.xxhash64("own", "text").alias("mark"))
     copies = copies.withColumn("copy", F.expr("row_number() OVER (PARTITION BY id, mark ORDER BY mark)"))
