@@ -400,14 +400,12 @@ def _unitigs(spark, d):
 
 @query("drop_tips")
 def _drop_tips(spark, d):
-    graph, labels = _parts(spark, d)
-    return simplify.drop_tips(graph, labels, 3, 4000).segments.select("seg_id", "len")
+    return simplify.drop_tips(_graph(spark, d, "P"), 3, 4000).segments.select("seg_id", "len")
 
 
 @query("pop_bubbles")
 def _pop_bubbles(spark, d):
-    graph = _graph(spark, d, "N")
-    return simplify.pop_bubbles(graph, traversal.components(graph), 5000).arcs.select("v", "w", "cov")
+    return simplify.pop_bubbles(_graph(spark, d, "N"), 5000).arcs.select("v", "w", "cov")
 
 
 @query("topological_extent")

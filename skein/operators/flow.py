@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.ids import flip
 from skein.operators.coverage import lower_bound
 from skein.operators.graph import AssemblyGraph
-from skein.operators.simplify import _Local
-from skein.operators.traversal import per_component
+from skein.operators.traversal import arcs_with_component, per_component
+from skein.plans.components import connected_components, least_roots
 
 ROUNDS = 10
 FULL_SEARCH = 100_000_000
@@ -28,37 +29,16 @@ SEED = 1234
 
 
 def arc_groups(segments: pd.DataFrame, arcs: pd.DataFrame) -> dict[int, int]:
-    """Group of each link: chains of only arcs share one, all other links have their own.
-
-    A chain's group also takes the link at its end if that one is the only one out.
-    """
-    local = _Local(segments, arcs)
-    link: dict[tuple[int, int], int] = {}
-    for v, w, name in zip(arcs["v"].tolist(), arcs["w"].tolist(), arcs["link_id"].tolist()):
-        link.setdefault((v, w), name)
-    group: dict[int, int] = {}
-    seen: set[int] = set()
-    number = 0
-    for s in local.length:
-        if s in seen:
-            continue
-        seen.add(s)
-        used = False
-        for v in (2 * s, 2 * s + 1):
-            end, chain, _ = local.extend(v, 2 * len(local.length) + 1)
-            for a, b in zip(chain, chain[1:]):
-                group[link[a, b]] = number
-                seen.add(b >> 1)
-                used = True
-            if end == "join":
-                group[link[chain[-1], local.targets(chain[-1])[0]]] = number
-                used = True
-        number += used
-    for name in arcs["link_id"].tolist():
-        if name not in group:
-            group[name] = number
-            number += 1
-    return group
+    """Group of each link: the two links of a segment with one on either side carry equal flow."""
+    sides = arcs.groupby("v")["link_id"].agg(["size", "first"])
+    single = sides.loc[sides["size"] == 1, "first"]
+    ahead = single[single.index % 2 == 0]
+    behind = single.reindex(ahead.index + 1).to_numpy(dtype=float)
+    both = ~np.isnan(behind)
+    links = np.unique(arcs["link_id"].to_numpy())
+    pairs = np.concatenate([links, ahead.to_numpy()[both]]), np.concatenate([links, behind[both].astype(np.int64)])
+    nodes, roots = least_roots(*pairs)
+    return dict(zip(nodes.tolist(), np.unique(roots, return_inverse=True)[1].tolist()))
 
 
 class _Objective:
@@ -221,14 +201,14 @@ def adjust_copies(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, ma
 
 
 def link_groups(graph: AssemblyGraph, labels: DataFrame) -> DataFrame:
-    """``component, link_id, grp``; groups are numbered per component."""
-
-    def kernel(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = arc_groups(s, a) if len(a) else {}
-        return pd.DataFrame({"component": s["component"].iloc[0] if len(s) else 0, "link_id": list(found), "grp": list(found.values())}).astype("int64")
+    """``component, link_id, grp``; a group is named by its least link.
 
-    return per_component(graph, labels, kernel, "component long, link_id long, grp long")
-
-
-def average_of(copies: DataFrame) -> DataFrame:
-    return copies.groupBy("component").agg(F.max("avg").alias("avg"))
+    The two links of a segment that has one on either side are in one group; groups
+    are the connected components of these pairs.
+    """
+    single = graph.arcs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.first("link_id").alias("link_id")).where("n = 1")
+    behind = single.select(flip("v").alias("v"), F.col("link_id").alias("other"))
+    pairs = single.where("v % 2 = 0").join(behind, "v").select("link_id", "other")
+    groups = connected_components(pairs, "link_id", "other").withColumnRenamed("node", "link_id")
+    links = arcs_with_component(graph, labels).select("component", "link_id").distinct()
+    return links.join(groups.withColumnRenamed("component", "grp"), "link_id", "left").select("component", "link_id", F.coalesce("grp", "link_id").alias("grp"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.ids import flip, segment_of
 from skein.operators.graph import AssemblyGraph, degree, delete_arcs, delete_segments, first_arcs, normalise
-from skein.operators.traversal import per_component, targets_by_vertex
 from skein.plans.components import connected_components
 from skein.plans.dense import dense_index
 from skein.plans.scratch import drop_path, materialise
@@ -103,188 +102,205 @@ def remove_weak_crosslinks(graph: AssemblyGraph, share: float, min_cov: int = 0)
     return normalise(delete_arcs(graph, weak_crosslinks(graph.arcs, share, min_cov)))
 
 
-class _Local:
-    """A component as dictionaries, for the kernels whose result depends on order."""
-
-    def __init__(self, segments: pd.DataFrame, arcs: pd.DataFrame):
-        self.length = dict(zip(segments["seg_id"].tolist(), segments["len"].tolist()))
-        self.cov = dict(zip(segments["seg_id"].tolist(), segments["cov"].tolist()))
-        self.out = targets_by_vertex(arcs)
-        self.ls: dict[tuple[int, int], int] = {}
-        for v, w, ls in zip(arcs["v"].tolist(), arcs["w"].tolist(), arcs["ls"].tolist()):
-            self.ls.setdefault((v, w), ls)
-
-    def vertices(self) -> list[int]:
-        return [x for s in self.length for x in (2 * s, 2 * s + 1)]
-
-    def targets(self, v: int) -> list[int]:
-        return self.out.get(v, [])
-
-    def remove(self, segments: set[int]) -> None:
-        for s in segments:
-            self.length.pop(s, None)
-        self.out = {v: [w for w in ws if w >> 1 not in segments] for v, ws in self.out.items() if v >> 1 not in segments}
-
-    def extend(self, v: int, most: int) -> tuple[str, list[int], int]:
-        """Follow mergeable arcs from ``v``: how it ends, the vertices, the bases."""
-        chain, bases = [v], 0
-        while True:
-            ws = self.targets(v)
-            bases += self.length[v >> 1] - max((self.ls[v, w] for w in ws), default=0)
-            if not ws:
-                return "tip", chain, bases
-            if len(ws) > 1:
-                return "fork", chain, bases
-            if len(self.targets(ws[0] ^ 1)) != 1:
-                return "join", chain, bases
-            v = ws[0]
-            chain.append(v)
-            most -= 1
-            if most <= 0:
-                return "open", chain, bases
-
-    def weighted(self, chain: list[int]) -> int:
-        total = 0
-        for i, v in enumerate(chain):
-            after = self.ls.get((v, chain[i + 1]), 0) if i + 1 < len(chain) else 0
-            total += (self.length[v >> 1] - after) * self.cov[v >> 1]
-        return total
-
-    def sweep(self, v0: int, reach: int, over_tips: bool) -> dict | None:
-        """A topological sweep from ``v0``; the sink where all its branches meet, if any.
-
-        A vertex is passed once all arcs into it were seen. Of its predecessors the
-        one with the larger bases times coverage is kept, then the farther one.
-        """
-        dist, weight, parent, left = {v0: 0}, {v0: 0}, {v0: None}, {}
-        ready, pending, farthest, tips, seen = [v0], 0, 0, 0, []
-        while ready and farthest <= reach:
-            v = ready.pop()
-            if not ready and not pending and v != v0:
-                return {"sink": v, "parent": parent, "seen": seen, "dist": dist[v], "tips": tips}
-            if not self.targets(v):
-                if dist[v] + self.length[v >> 1] >= reach:
-                    return None
-                if ready or pending:
-                    tips += 1
-                if not over_tips:
-                    return None
-                continue
-            for w in self.targets(v):
-                if w >> 1 == v0 >> 1:
-                    return None
-                step = self.length[v >> 1] - self.ls[v, w]
-                d, c = dist[v] + step, weight[v] + step * self.cov[v >> 1]
-                if w not in left:
-                    left[w] = len(self.targets(w ^ 1))
-                    dist[w], weight[w], parent[w] = d, c, v
-                    pending += 1
-                    seen.append(w)
-                else:
-                    if (c, d) > (weight[w], dist[w]):
-                        parent[w] = v
-                    weight[w], dist[w] = max(weight[w], c), min(dist[w], d)
-                farthest = max(farthest, dist[w])
-                left[w] -= 1
-                if not left[w]:
-                    ready.append(w)
-                    pending -= 1
-        return None
-
-
-def drop_tips(graph: AssemblyGraph, labels: DataFrame, max_segments: int, max_bases: int, protect: bool = False) -> AssemblyGraph:
+def _vertices(graph: AssemblyGraph) -> DataFrame:
+    """``x, len, cov, outs, ins, ls`` of every oriented vertex; ``ls`` is the largest overlap of its arcs out."""
+    both = graph.segments.select(F.explode(F.array(F.shiftleft("seg_id", 1), F.shiftleft("seg_id", 1) + 1)).alias("x"), "len", "cov")
+    out = graph.arcs.groupBy(F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("outs"), F.max("ls").alias("ls"))
+    into = graph.arcs.groupBy(F.col("w").alias("x")).agg(F.count(F.lit(1)).alias("ins"))
+    zero = F.lit(0).cast("long")
+    return both.join(out, "x", "left").join(into, "x", "left").select("x", "len", "cov", F.coalesce("outs", zero).alias("outs"), F.coalesce("ins", zero).alias("ins"), F.coalesce("ls", zero).alias("ls"))
+
+
+def _measured_chains(graph: AssemblyGraph) -> DataFrame:
+    """Every oriented vertex in its chain, with what the chain has from it to the end.
+
+    ``left`` vertices, ``bases`` (each vertex without its overlap) and ``weight``
+    (those times coverage; the last vertex in full), all from here on, and ``last``,
+    the chain's last vertex with its own ``own_bases`` and ``last_outs``.
+    """
+    rows = chains(graph).join(_vertices(graph), "x")
+    onward = Window.partitionBy("chain").orderBy(F.col("at").desc())
+    whole = onward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = F.first(F.struct(F.col("x").alias("last"), (F.col("len") - F.col("ls")).alias("own_bases"), F.col("outs").alias("last_outs"))).over(whole)
+    final = F.row_number().over(onward) == 1
+    rows = rows.select("*", ends.alias("e"), F.row_number().over(onward).cast("long").alias("left"), F.sum(F.col("len") - F.col("ls")).over(onward).alias("bases"), F.sum((F.col("len") - F.when(final, 0).otherwise(F.col("ls"))) * F.col("cov")).over(onward).alias("weight"))
+    return rows.select("chain", "at", "x", "circ", "ins", "left", "bases", "weight", "e.*")
+
+
+def drop_tips(graph: AssemblyGraph, max_segments: int, max_bases: int, protect: bool = False) -> AssemblyGraph:
     """Remove dead ends of at most ``max_segments`` segments and ``max_bases`` bases.
 
-    With ``protect``, a tip stays that is longer than every branch out of where it
-    ends, its own among them, or has over half their weight. Tips are found first
-    and removed together.
+    A dead end is a chain that no arc enters; if it ends in a vertex with several
+    arcs out, that vertex counts as a segment but stays. With ``protect``, a tip
+    stays that is longer than every branch out of where it ends, its own among them,
+    or has over half their weight. Tips are found first and removed together.
     """
+    placed, path = materialise(_measured_chains(graph), "tips")
+    forks = F.col("last_outs") > 1
+    bases = F.col("bases") - F.when(forks, F.col("own_bases")).otherwise(0)
+    tips = placed.where((F.col("at") == 0) & (F.col("ins") == 0) & ~F.col("circ") & (F.col("left") <= max_segments) & (bases <= max_bases)).select("chain", "last", "last_outs", bases.alias("tip_bases"))
+    if protect:
+        # The vertex behind the tip: the fork itself, or what the last arc leads to.
+        targets = graph.arcs.groupBy(F.col("v").alias("last")).agg(F.min("w").alias("w"))
+        behind = tips.where("last_outs > 0").join(targets, "last").select("chain", "tip_bases", flip(F.when(F.col("last_outs") > 1, F.col("last")).otherwise(F.col("w"))).alias("v"))
+        inner = placed.join(tips.select("chain", "last"), ["chain", "last"]).where((F.col("last_outs") <= 1) | (F.col("x") != F.col("last")))
+        # Without the fork, the chain's new last vertex counts in full.
+        cut = inner.join(_vertices(graph).select("x", "len", "cov", "ls"), "x").withColumn("full", F.row_number().over(Window.partitionBy("chain").orderBy(F.col("at").desc())) == 1)
+        own = cut.groupBy("chain").agg(F.sum((F.col("len") - F.when(F.col("full"), 0).otherwise(F.col("ls"))) * F.col("cov")).alias("tip_weight"))
+        branches = behind.join(graph.arcs.select("v", F.col("w").alias("x")), "v").join(placed.select("x", "bases", "weight"), "x").join(own, "chain")
+        weaker = (F.col("tip_bases") <= F.col("bases")) | (2 * F.col("tip_weight") <= F.col("weight"))
+        stay = branches.groupBy("chain").agg(F.max(weaker).alias("weak")).where("not weak").select("chain")
+        tips = tips.join(stay, "chain", "left_anti")
+    gone = placed.join(tips.select("chain"), "chain", "left_semi").where((F.col("last_outs") <= 1) | (F.col("x") != F.col("last")))
+    gone, _ = materialise(gone.select(segment_of("x").alias("seg_id")).distinct(), "dead-ends")
+    drop_path(graph.arcs.sparkSession, path)
+    return normalise(delete_segments(graph, gone))
+
+
+def sweeps(graph: AssemblyGraph, sources: DataFrame, over_tips: bool, through: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Topological sweeps from many sources (v, reach) at once, a round of joins for each step.
+
+    A vertex is passed once all arcs into it were seen; where a sweep comes down to a
+    single vertex with nothing pending, its branches have met: a sink. A sweep ends
+    at its first sink (with ``through``, it goes on from there), beyond ``reach``
+    bases, at an arc back to its source's segment, and at a dead end that reaches
+    ``reach`` or, without ``over_tips``, at any. Dead ends of a round go first.
+
+    Returns ``src, sink, dist, path, tips, sinks, cycle`` for sources with a sink or
+    a cycle (0; 1: to the source itself, 2: to its other strand): bases to the last
+    sink, the vertices from the source to it along the heaviest steps (bases times
+    coverage, then bases), and counts so far; and ``src, x`` of all vertices that
+    the sweeps with a sink saw.
+    """
+    spark = graph.arcs.sparkSession
+    step = F.col("len") - F.col("ls")
+    info, info_path = materialise(_vertices(graph).select("x", "len", "cov", "outs", "ins"), "sweep-vertices")
+    arcs, arcs_path = materialise(graph.arcs.select(F.col("v").alias("x"), "w", "ls"), "sweep-arcs")
+    zero = F.lit(0).cast("long")
+    state = sources.select(F.col("v").alias("src"), "reach", F.col("v").alias("x"), zero.alias("dist"), zero.alias("weight"), F.array("v").alias("path"), zero.alias("left"), zero.alias("far"), zero.alias("tips"), zero.alias("sinks"))
+    state, old = materialise(state.join(info.select("x", "len", "cov", "outs"), "x"), "sweep")
+    found: list[DataFrame] = []
+    seen: list[DataFrame] = []
+    own = Window.partitionBy("src")
+    while True:
+        ready = F.col("left") == 0
+        dead = ready & (F.col("outs") == 0)
+        count = lambda c: F.sum(c.cast("long")).over(own)
+        rows = state.where("far <= reach").withColumn("_ready", count(ready)).withColumn("_dead", count(dead)).withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_top", F.max(F.when(dead, F.col("x"))).over(own))
+        alone = ready & (F.col("_all") == F.col("_ready")) & F.when(F.col("_ready") == F.col("_dead"), F.col("x") == F.col("_top")).otherwise((F.col("_ready") - F.col("_dead") == 1) & (F.col("outs") > 0))
+        rows = rows.withColumn("_sink", alone & (F.col("x") != F.col("src"))).withColumn("_tip", dead & ~F.col("_sink"))
+        stops = F.col("_tip") & ((F.col("dist") + F.col("len") >= F.col("reach")) | F.lit(not over_tips)) & (F.col("x") != F.col("src"))
+        short = F.sum((F.col("_tip") & (F.col("x") != F.col("src"))).cast("long")).over(own)
+        rows = rows.withColumn("_stops", F.max(stops).over(own)).withColumn("tips", F.col("tips") + short)
+        rows, rows_path = materialise(rows.where("not _stops").withColumn("sinks", F.col("sinks") + F.max(F.col("_sink").cast("long")).over(own)), "sweep-round")
+        found.append(rows.where("_sink").select("src", F.col("x").alias("sink"), "dist", "path", "tips", "sinks", F.lit(0).alias("cycle")))
+        seen.append(rows.where(ready & (F.col("x") != F.col("src"))).select("src", "x"))
+        going = rows if through else rows.withColumn("_met", F.max("_sink").over(own)).where("not _met")
+        pushed = going.where(ready & (F.col("outs") > 0)).join(arcs, "x").select("src", "reach", F.col("w").alias("x"), (F.col("dist") + step).alias("dist"), (F.col("weight") + step * F.col("cov")).alias("weight"), "path", F.lit(-1).cast("long").alias("left"), "far", "tips", "sinks")
+        back = pushed.where(segment_of("x") == segment_of("src")).groupBy("src").agg(F.max(F.when(F.col("x") == F.col("src"), 1).otherwise(2)).alias("cycle"))
+        long_ = T.LongType()
+        found.append(back.select("src", F.lit(None).cast(long_).alias("sink"), F.lit(None).cast(long_).alias("dist"), F.lit(None).cast(T.ArrayType(long_)).alias("path"), zero.alias("tips"), zero.alias("sinks"), "cycle"))
+        waiting = going.where(~ready).select(pushed.columns)
+        both = waiting.withColumn("_new", F.lit(False)).unionByName(pushed.withColumn("_new", F.lit(True))).join(back.select("src"), "src", "left_anti")
+        best = F.max_by("path", F.struct("weight", "dist", F.negative(F.element_at("path", -1)).alias("turn"))).alias("path")
+        met = both.groupBy("src", "reach", "x").agg(
+            F.min("dist").alias("dist"), F.max("weight").alias("weight"), best, F.sum(F.when(F.col("_new"), -1).otherwise(F.col("left"))).alias("left"),
+            F.max(~F.col("_new")).alias("_old"), F.max("far").alias("far"), F.max("tips").alias("tips"), F.max("sinks").alias("sinks"), F.max("_new").alias("_new"),
+        )
+        met = met.join(info, "x").withColumn("left", F.col("left") + F.when(F.col("_old"), 0).otherwise(F.col("ins")))
+        # A vertex is put on its path when it has been reached from all sides.
+        met = met.withColumn("path", F.when(F.col("left") == 0, F.concat("path", F.array("x"))).otherwise(F.col("path")))
+        met = met.withColumn("far", F.greatest(F.max("far").over(own), F.coalesce(F.max(F.when(F.col("_new"), F.col("dist"))).over(own), zero)))
+        state, path = materialise(met.select("src", "reach", "x", "dist", "weight", "path", "left", "far", "tips", "sinks", "len", "cov", "outs"), "sweep")
+        drop_path(spark, old)
+        old = path
+        if state.isEmpty():
+            break
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    last = every.groupBy("src").agg(F.max_by(F.struct("sink", "dist", "path", "tips"), F.when(F.col("sink").isNotNull(), F.col("sinks"))).alias("s"), F.max("sinks").alias("sinks"), F.max("cycle").alias("cycle"))
+    ends, _ = materialise(last.select("src", "s.*", "sinks", "cycle"), "sinks")
+    met_all = seen[0]
+    for part in seen[1:]:
+        met_all = met_all.unionByName(part)
+    inside, _ = materialise(met_all, "sweep-seen")
+    for path in (info_path, arcs_path, old):
+        drop_path(spark, path)
+    return ends, inside
+
+
+def topological_extent(graph: AssemblyGraph, source: int, reach: int, over_tips: bool = False, through: bool = False) -> DataFrame:
+    """``sink, dist, tips, sinks, cycle`` of the sweep from ``source`` (see ``sweeps``).
+
+    No row if its branches never meet within ``reach`` bases and no arc leads back.
+    With ``through``, the sweep goes on behind each sink and the last one counts.
+    """
+    start = graph.segments.where(F.col("seg_id") == source >> 1).select(F.lit(source).cast("long").alias("v"), F.lit(reach).cast("long").alias("reach"))
+    return sweeps(graph, start, over_tips, through)[0].select("sink", "dist", "tips", "sinks", "cycle")
+
 
-    def kernel(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        local = _Local(s, a)
-        gone: set[int] = set()
-        for v in local.vertices():
-            if local.targets(v ^ 1):
-                continue
-            end, chain, bases = local.extend(v, min(max_segments, len(local.length) * 2))
-            if end == "fork":
-                fork = chain.pop()
-                bases -= local.length[fork >> 1] - max(local.ls[fork, w] for w in local.targets(fork))
-            if not chain or end == "open" or bases > max_bases:
-                continue
-            if end != "tip" and protect:
-                last = local.targets(chain[-1])[0] ^ 1
-                weight = local.weighted(chain)
-                rivals = []
-                for w in local.targets(last):
-                    _, other, size = local.extend(w, len(local.length) + 1)
-                    rivals.append(bases <= size or 2 * weight <= local.weighted(other))
-                if not any(rivals):
-                    continue
-            gone.update(x >> 1 for x in chain)
-        return pd.DataFrame({"seg_id": sorted(gone)}, dtype="int64")
-
-    return normalise(delete_segments(graph, per_component(graph, labels, kernel, "seg_id long")))
-
-
-def topological_extent(graph: AssemblyGraph, labels: DataFrame, source: int, reach: int, over_tips: bool = False) -> DataFrame:
-    """``sink, dist, tips`` of the sweep from ``source``, at most ``reach`` bases far; else no row."""
-
-    def kernel(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = _Local(s, a).sweep(source, reach, over_tips) if source >> 1 in set(s["seg_id"]) else None
-        rows = [(found["sink"], found["dist"], found["tips"])] if found else []
-        return pd.DataFrame(rows, columns=["sink", "dist", "tips"], dtype="int64")
-
-    return per_component(graph, labels, kernel, "sink long, dist long, tips long")
-
-
-def pop_bubbles(graph: AssemblyGraph, labels: DataFrame, radius: int, max_removed: int = 0, protect_tips: bool = False, protect_super: bool = False) -> AssemblyGraph:
+def _too_strong(graph: AssemblyGraph, bubbles: DataFrame, lost: DataFrame, kept: DataFrame) -> DataFrame:
+    """``src`` of bubbles that would lose more than their flanks or the kept branch bear out."""
+    facts = graph.segments.select("seg_id", "len", (F.col("len") * F.col("cov")).alias("mass"))
+    total = lambda rows, n, m: rows.join(facts, "seg_id").groupBy("src").agg(F.sum("len").alias(n), F.sum("mass").alias(m))
+    flank = _measured_chains(graph).select("x", F.col("bases").alias("b"), F.col("weight").alias("w"))
+    sides = bubbles.select("src", flip("src").alias("x")).unionByName(bubbles.select("src", F.col("sink").alias("x")))
+    around = sides.join(flank, "x").groupBy("src").agg(F.sum("b").alias("flank_bases"), F.sum("w").alias("flank_mass"))
+    rows = bubbles.select("src").join(total(lost, "lost_bases", "lost_mass"), "src").join(total(kept, "kept_bases", "kept_mass"), "src", "left").join(around, "src").na.fill(0)
+    against = lambda bases, mass: 2 * F.col("lost_mass") * F.col(bases) > F.col(mass) * F.col("lost_bases")
+    return rows.where(against("flank_bases", "flank_mass") | against("kept_bases", "kept_mass")).select("src")
+
+
+def pop_bubbles(graph: AssemblyGraph, radius: int, max_removed: int = 0, protect_tips: bool = False, protect_super: bool = False) -> AssemblyGraph:
     """Reduce bubbles of up to ``radius`` bases to their heaviest branch.
 
-    Forks are taken in the order of ids; later ones see what is left. A bubble stays
-    if it would lose more than ``max_removed`` segments (0: no limit), or, with
+    All forks sweep at once; a fork settles once no lower one that is open has seen
+    any of its segments, so the lower of two that overlap goes first and the other
+    one looks again at what is left. Every fork settles once. A bubble stays if it
+    would lose more than ``max_removed`` segments (0: no limit), or, with
     ``protect_super``, if what it would lose is covered too well against its flanks
     or against the branch that is kept.
     """
-
-    def kernel(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        local = _Local(s, a)
-        lost: list[tuple[int, int]] = []
-        for v0 in local.vertices():
-            if v0 >> 1 not in local.length or len(local.targets(v0)) < 2:
-                continue
-            found = local.sweep(v0, local.length[v0 >> 1] + radius, not protect_tips)
-            if not found:
-                continue
-            kept, v = [], found["sink"]
-            while v != v0:
-                kept.append(v)
-                v = found["parent"][v]
-            if max_removed and len(found["seen"]) > len(kept) + max_removed:
-                continue
-            if protect_super:
-                size = lambda vs: sum(local.length[x >> 1] for x in vs)
-                mass = lambda vs: sum(local.length[x >> 1] * local.cov[x >> 1] for x in vs)
-                bases, weight = size(found["seen"]) - size(kept), mass(found["seen"]) - mass(kept)
-                (_, left, le), (_, right, re) = local.extend(v0 ^ 1, 2 * len(local.length) + 1), local.extend(found["sink"], 2 * len(local.length) + 1)
-                if weight * (le + re) * 2 > (local.weighted(left) + local.weighted(right)) * bases or weight * size(kept) * 2 > mass(kept) * bases:
-                    continue
-            path = [v0, *reversed(kept)]
-            stay = set(zip(path, path[1:]))
-            inside = {v0, *found["seen"]} - {found["sink"]}
-            cut = [(x, w) for x in inside for w in local.targets(x) if (x, w) not in stay]
-            for x, w in cut:
-                local.out[x] = [y for y in local.out[x] if y != w]
-                local.out[w ^ 1] = [y for y in local.targets(w ^ 1) if y != x ^ 1]
-                lost += [(x, w), (w ^ 1, x ^ 1)]
-            gone = {x >> 1 for x in found["seen"]} - {x >> 1 for x in kept}
-            lost += [(-1, x) for x in gone]
-            local.remove(gone)
-        return pd.DataFrame(lost, columns=["v", "w"], dtype="int64")
-
-    lost, _ = materialise(per_component(graph, labels, kernel, "v long, w long"), "bubbles")
-    less = delete_segments(graph, lost.where("v < 0").select(F.col("w").alias("seg_id")))
-    return normalise(delete_arcs(less, lost.where("v >= 0")))
+    spark = graph.arcs.sparkSession
+    graph = graph.with_arcs(materialise(graph.arcs, "bubble-arcs")[0])
+    graph = graph.with_segments(materialise(graph.segments, "bubble-segments")[0])
+    settled, _ = materialise(graph.segments.select(F.col("seg_id").alias("src")).limit(0), "settled")
+    while True:
+        forks = degree(graph.arcs).where("degree > 1").select("v").join(settled.select(F.col("src").alias("v")), "v", "left_anti")
+        forks = forks.withColumn("seg_id", segment_of("v")).join(graph.segments.select("seg_id", "len"), "seg_id").select("v", (F.col("len") + radius).alias("reach"))
+        forks, forks_path = materialise(forks, "forks")
+        if forks.isEmpty():
+            return normalise(graph)
+        ends, inside = sweeps(graph, forks, not protect_tips)
+        region = inside.select("src", segment_of("x").alias("seg_id")).unionByName(forks.select(F.col("v").alias("src"), segment_of("v").alias("seg_id"))).distinct()
+        first = region.groupBy("seg_id").agg(F.min("src").alias("first"))
+        late = region.join(first, "seg_id").where("src > first").select("src").distinct()
+        now, now_path = materialise(forks.select(F.col("v").alias("src")).join(late, "src", "left_anti"), "bubble-turn")
+        met = ends.where("sink IS NOT NULL AND cycle = 0").join(now, "src", "left_semi")
+        vertices = inside.join(met.select("src"), "src", "left_semi").select("src", "x").distinct()
+        kept = met.select("src", F.explode("path").alias("x")).where("x <> src")
+        branch = kept.select("src", segment_of("x").alias("seg_id")).distinct()
+        lost = vertices.select("src", segment_of("x").alias("seg_id")).distinct().join(branch, ["src", "seg_id"], "left_anti")
+        good = met.select("src", "sink", "path")
+        if max_removed:
+            size = vertices.groupBy("src").agg(F.count(F.lit(1)).alias("n")).join(kept.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "src")
+            good = good.join(size.where(F.col("n") <= F.col("k") + max_removed).select("src"), "src", "left_semi")
+        if protect_super:
+            good = good.join(_too_strong(graph, met.select("src", "sink"), lost, branch), "src", "left_anti")
+        good, good_path = materialise(good, "bubbles")
+        # Inside a bubble only the arcs along the kept branch stay.
+        within = vertices.join(good.select("src", "sink"), "src").where("x <> sink").select("src", "x").unionByName(good.select("src", F.col("src").alias("x")))
+        stay = good.select("src", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("v"), F.slice("path", 2, F.size("path") - 1).alias("w"))).alias("s")).select("src", F.col("s.v").alias("v"), F.col("s.w").alias("w"))
+        cut = within.join(graph.arcs.select(F.col("v").alias("x"), "w"), "x").select("src", F.col("x").alias("v"), "w").join(stay, ["src", "v", "w"], "left_anti")
+        cut = cut.select("v", "w").unionByName(cut.select(flip("w").alias("v"), flip("v").alias("w"))).distinct()
+        gone = lost.join(good.select("src"), "src", "left_semi").select("seg_id").distinct()
+        less = delete_arcs(delete_segments(graph, gone), cut)
+        graph = graph.with_arcs(materialise(less.arcs, "bubble-arcs")[0])
+        graph = graph.with_segments(materialise(less.segments, "bubble-segments")[0])
+        settled, _ = materialise(settled.unionByName(now), "settled")
+        for path in (forks_path, now_path, good_path):
+            drop_path(spark, path)
 
 
 def duplicate_by_copies(graph: AssemblyGraph, copies: DataFrame, drop_unused: bool = False) -> tuple[AssemblyGraph, DataFrame]:

@@ -160,14 +160,14 @@ def test_unitigs(spark):
 def test_tips_bubbles_and_weak_links(spark):
     g = graph(spark, [(100, 9)] * 4 + [(10, 1)], [*chain(4), ("4+", "2+", 1, 1)])
     kept = lambda x: sorted(r.seg_id for r in x.segments.collect())
-    assert kept(simplify.drop_tips(g, labels_of(g), 2, 50)) == [0, 1, 2, 3]
-    assert kept(simplify.drop_tips(g, labels_of(g), 2, 5)) == [0, 1, 2, 3, 4]
+    assert kept(simplify.drop_tips(g, 2, 50)) == [0, 1, 2, 3]
+    assert kept(simplify.drop_tips(g, 2, 5)) == [0, 1, 2, 3, 4]
     b = graph(spark, [(100, 9), (50, 7), (50, 2), (100, 9)], [("0+", "1+", 1, 7), ("0+", "2+", 1, 2), ("1+", "3+", 1, 7), ("2+", "3+", 1, 2)])
-    extent = simplify.topological_extent(b, labels_of(b), 0, 1000).collect()
+    extent = simplify.topological_extent(b, 0, 1000).collect()
     assert [(r.sink, r.dist) for r in extent] == [(6, 148)]
-    popped = simplify.pop_bubbles(b, labels_of(b), 1000)
+    popped = simplify.pop_bubbles(b, 1000)
     assert kept(popped) == [0, 1, 3] and {(r.v, r.w) for r in popped.arcs.collect()} == {(0, 2), (2, 6), (3, 1), (7, 3)}
-    assert kept(simplify.pop_bubbles(b, labels_of(b), 10)) == [0, 1, 2, 3]
+    assert kept(simplify.pop_bubbles(b, 10)) == [0, 1, 2, 3]
     weak = simplify.weak_crosslinks(b.arcs, 0.5).collect()
     assert weak == []
     x = graph(spark, [(9, 9)] * 4, [("0+", "1+", 1, 9), ("2+", "3+", 1, 9), ("0+", "3+", 1, 1)])
