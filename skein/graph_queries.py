@@ -346,10 +346,17 @@ def _clean_by_coverage(spark, d):
 # Flow
 
 
-@query("link_groups")
+@query("link_groups", "P", f"""
+, named AS (SELECT v, w, dense_rank() OVER (ORDER BY CASE WHEN {COMP} THEN {FLIP_W} ELSE v END, CASE WHEN {COMP} THEN {FLIP_V} ELSE w END) - 1 AS link_id FROM arc)
+, single AS (SELECT v, min(link_id) AS link_id FROM named GROUP BY v HAVING count(*) = 1)
+, pair AS (SELECT a.link_id AS a, b.link_id AS b FROM single a JOIN single b ON b.v = {DUCK.flip('a.v')})
+, r AS (SELECT a AS x, a AS y FROM pair UNION SELECT r.x, pair.b FROM r JOIN pair ON r.y = pair.a)
+, least AS (SELECT x, min(y) AS grp FROM r GROUP BY x)
+SELECT DISTINCT link_id, coalesce(grp, link_id) AS grp FROM named LEFT JOIN least ON x = link_id
+""", recursive=True)
 def _link_groups(spark, d):
     graph, labels = _parts(spark, d)
-    return flow.link_groups(graph, labels)
+    return flow.link_groups(graph, labels).select("link_id", "grp")
 
 
 @query("adjust_copies")
@@ -362,18 +369,24 @@ def _adjust(spark, d):
 # Simplification
 
 
-@query("weak_crosslinks", "P", f"""
+_WEAK = f"""
 , top AS (SELECT v, max(cov) AS m FROM arc WHERE cov >= 2 GROUP BY v)
 , weak AS (SELECT v, w FROM arc JOIN top a USING (v) JOIN top b ON b.v = {DUCK.flip('arc.w')} WHERE NOT (arc.v > {DUCK.flip('arc.w')} OR (arc.v = {DUCK.flip('arc.w')} AND arc.w >= {DUCK.flip('arc.v')})) AND CAST(cov AS DOUBLE) / a.m < 0.7 AND CAST(cov AS DOUBLE) / b.m < 0.7)
-SELECT v, w FROM weak UNION SELECT {FLIP_W}, {FLIP_V} FROM weak
+"""
+
+
+@query("weak_crosslinks", "P", f"""{_WEAK}SELECT v, w FROM weak UNION SELECT {FLIP_W}, {FLIP_V} FROM weak
 """)
 def _weak_crosslinks(spark, d):
     return simplify.weak_crosslinks(derived_graph(spark, d, "P").arcs, 0.7, 2)
 
 
-@query("remove_weak_crosslinks")
+@query("remove_weak_crosslinks", "P", f"""{_WEAK}
+, gone AS (SELECT v, w FROM weak UNION SELECT {FLIP_W}, {FLIP_V} FROM weak)
+SELECT v, w, ls, cov FROM arc WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.v = arc.v AND gone.w = arc.w)
+""")
 def _remove_weak(spark, d):
-    return simplify.remove_weak_crosslinks(derived_graph(spark, d, "P"), 0.7, 2).arcs
+    return simplify.remove_weak_crosslinks(derived_graph(spark, d, "P"), 0.7, 2).arcs.select("v", "w", "ls", "cov")
 
 
 @query("mergeable_arcs", "P", f"""
@@ -392,7 +405,15 @@ def _mergeable_all(spark, d):
     return simplify.mergeable_arcs(_graph(spark, d, "P").arcs)
 
 
-@query("unitigs")
+@query("unitigs", "P", f"""
+, one AS (SELECT v FROM arc GROUP BY v HAVING count(*) = 1)
+, m AS (SELECT v, w, ls FROM arc WHERE v <> w AND v IN (SELECT v FROM one) AND {FLIP_W} IN (SELECT v FROM one))
+, vertex AS (SELECT seg_id * 2 + k AS x FROM seg, (SELECT 0 AS k UNION ALL SELECT 1))
+, r AS (SELECT x AS chain, x, 0 AS pos, 0 AS ls FROM vertex WHERE x NOT IN (SELECT w FROM m) UNION ALL SELECT chain, m.w, pos + 1, m.ls FROM r JOIN m ON r.x = m.v)
+, tig AS (SELECT chain, arg_max(x, pos) AS last, CAST(sum(len - ls) AS BIGINT) AS len, CAST(count(*) AS INTEGER) AS n FROM r JOIN seg ON seg_id = x // 2 GROUP BY chain)
+, own AS (SELECT *, row_number() OVER (ORDER BY chain) - 1 AS seg_id FROM tig WHERE chain <= {DUCK.flip('last')})
+SELECT seg_id, printf('utg%06d', seg_id + 1) AS name, len, chain = last AND EXISTS (SELECT 1 FROM arc WHERE v = chain AND w = chain) AS circ, n FROM own
+""", recursive=True)
 def _unitigs(spark, d):
     graph, members = simplify.unitigs(_parts(spark, d)[0])
     return graph.segments.join(members, "seg_id").select("seg_id", "name", "len", "circ", F.size("members").alias("n"))
@@ -410,8 +431,10 @@ def _pop_bubbles(spark, d):
 
 @query("topological_extent")
 def _topological_extent(spark, d):
-    graph = _graph(spark, d, "N")
-    return simplify.topological_extent(graph, traversal.components(graph), 0, 5000, True)
+    """The sweeps from both ends of every part, over arcs of coverage 2 or more."""
+    graph = _strong_parts(spark, d)[0]
+    both = graph.segments.select(F.explode(F.array(F.shiftleft("seg_id", 1), F.shiftleft("seg_id", 1) + 1)).alias("v"), F.lit(20_000).cast("long").alias("reach"))
+    return simplify.sweeps(graph, both, True)[0].select("src", "sink", "dist", "tips", "sinks", "cycle")
 
 
 @query("duplicate_by_copies", "N", f"""

@@ -188,7 +188,7 @@ def sweeps(graph: AssemblyGraph, sources: DataFrame, over_tips: bool, through: b
         count = lambda c: F.sum(c.cast("long")).over(own)
         rows = state.where("far <= reach").withColumn("_ready", count(ready)).withColumn("_dead", count(dead)).withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_top", F.max(F.when(dead, F.col("x"))).over(own))
         alone = ready & (F.col("_all") == F.col("_ready")) & F.when(F.col("_ready") == F.col("_dead"), F.col("x") == F.col("_top")).otherwise((F.col("_ready") - F.col("_dead") == 1) & (F.col("outs") > 0))
-        rows = rows.withColumn("_sink", alone & (F.col("x") != F.col("src"))).withColumn("_tip", dead & ~F.col("_sink"))
+        rows = rows.where("_ready > 0").withColumn("_sink", alone & (F.col("x") != F.col("src"))).withColumn("_tip", dead & ~F.col("_sink"))
         stops = F.col("_tip") & ((F.col("dist") + F.col("len") >= F.col("reach")) | F.lit(not over_tips)) & (F.col("x") != F.col("src"))
         short = F.sum((F.col("_tip") & (F.col("x") != F.col("src"))).cast("long")).over(own)
         rows = rows.withColumn("_stops", F.max(stops).over(own)).withColumn("tips", F.col("tips") + short)
