@@ -23,13 +23,15 @@ from pyspark.sql import types as T
 
 from skein.llm.common import materialise
 from skein.plans.components import connected_components
+from skein.plans.hot import hot_join
 
 THRESHOLD = 0.98
 TARGET_RECALL = 0.9995
 SAMPLE = 10_000
-CELL_ROWS = 128
+CELL_ROWS = 16
 CHUNK = 2_048
-MAX_CODES = 512
+MIN_CODES = 4
+MAX_CODES = 1_024
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -90,19 +92,26 @@ class Grid:
         """The fewest visits after which ``target`` of neighbours just at the threshold are found.
 
         A neighbour is a sampled vector turned by the threshold's angle in a random
-        direction: the hardest link there is. Either end may find the other.
+        direction: the hardest link there is. Either end may find the other. Up to all
+        cells are looked at until the target is reached.
         """
         rng = np.random.default_rng(7)
         step = rng.normal(size=x.shape)
         step -= (step * x).sum(axis=1, keepdims=True) * x
         size = np.linalg.norm(step, axis=1, keepdims=True)
         other = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * step / np.where(size > 0, size, 1)
-        limit = min(self.cells, 4096)
-        ranks = []
-        for here, there in ((self.order(x, limit), self.order(other, 1)), (self.order(other, limit), self.order(x, 1))):
-            ranks.append([row.index(cell) if cell in row else limit for row, [cell] in zip(here, there)])
-        need = np.sort(np.minimum(*map(np.array, ranks)))
-        return int(min(limit, need[min(len(need) - 1, math.ceil(target * len(need)))] + 1))
+        homes = [self.order(side, 1) for side in (x, other)]
+        limit = 16
+        while True:
+            limit = min(limit, self.cells)
+            ranks = []
+            for side, there in ((x, homes[1]), (other, homes[0])):
+                ranks.append([row.index(cell) if cell in row else self.cells for row, [cell] in zip(self.order(side, limit), there)])
+            need = np.sort(np.minimum(*map(np.array, ranks)))
+            visits = int(need[min(len(need) - 1, math.ceil(target * len(need)))]) + 1
+            if visits <= limit or limit == self.cells:
+                return min(visits, self.cells)
+            limit *= 4
 
     def order(self, x: np.ndarray, cells: int) -> list[list[int]]:
         first, second = (_distances(part, book) for part, book in zip(self._halves(x), self.books))
@@ -188,12 +197,19 @@ def _grids(nodes: DataFrame, threshold: float, target: float, sample: int, cell_
     """A grid for each dimension count in a sample of at most ``sample`` vectors, taken by hash.
 
     The number of codes follows the largest label, so that its cells hold about
-    ``cell_rows`` vectors; dimension counts not sampled share one cell each.
+    ``cell_rows`` vectors; a half has ``MIN_CODES`` codes at least. Dimension counts
+    that a sample lacks are sampled in turn.
     """
     most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    codes = min(MAX_CODES, max(1, math.ceil(math.sqrt(most / cell_rows))))
-    rows = [np.array(r.vector, dtype=np.float64) for r in nodes.orderBy("mark", "node").limit(sample).select("vector").collect()]
-    return {n: Grid(_units(np.array([v for v in rows if len(v) == n])), codes, threshold, target) for n in sorted({len(v) for v in rows}) if n > 1}
+    codes = min(MAX_CODES, max(MIN_CODES, math.ceil(math.sqrt(most / cell_rows))))
+    grids: dict[int, Grid] = {}
+    rest = nodes.where("size > 1").select("mark", "node", "size", "vector")
+    while True:
+        rows = [np.array(r.vector, dtype=np.float64) for r in rest.where(~F.col("size").isin(list(grids))).orderBy("mark", "node").limit(sample).select("vector").collect()]
+        if not rows:
+            return grids
+        for n in sorted({len(v) for v in rows}):
+            grids[n] = Grid(_units(np.array([v for v in rows if len(v) == n])), codes, threshold, target)
 
 
 def embedding_links(nodes: DataFrame, threshold: float, grids: dict[int, Grid], chunk: int = CHUNK) -> DataFrame:
@@ -204,11 +220,15 @@ def embedding_links(nodes: DataFrame, threshold: float, grids: dict[int, Grid],
     cell = ["label", "size", "cell"]
     visitors = placed.select("label", "size", F.explode("visits").alias("cell")).groupBy(cell).agg(F.count(F.lit(1)).alias("visitors"))
     residents = placed.groupBy("label", "size", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("residents"))
-    parts = residents.join(visitors, cell).select(*cell, F.ceil(F.col("residents") / chunk).alias("chunks"), F.ceil(F.col("visitors") / chunk).alias("parts"))
+    parts = residents.join(visitors, cell).select(*cell, "residents", "visitors", F.ceil(F.col("residents") / chunk).alias("chunks"), F.ceil(F.col("visitors") / chunk).alias("parts"))
     key = [*cell, "chunk", "part"]
     own = F.xxhash64("node", "mark")
-    index = placed.withColumn("cell", F.col("home")).join(parts, cell).select("*", F.pmod(own, "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    queries = visiting.withColumn("cell", F.explode("visits")).join(parts, cell).select("*", F.pmod(own, "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    # A crowded cell's rows are dealt by their own hash as well.
+    parts, _ = materialise(parts, "cells")
+    total = parts.agg(F.coalesce(F.sum("residents"), F.lit(0)).alias("r"), F.coalesce(F.sum("visitors"), F.lit(0)).alias("v")).first()
+    sized = lambda rows, n, all_: hot_join(rows, parts.withColumn("_n", F.col(n)).select(*cell, "chunks", "parts", "_n"), cell, "_n", all_, own)
+    index = sized(placed.withColumn("cell", F.col("home")), "residents", total["r"]).select("*", F.pmod(own, "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    queries = sized(visiting.withColumn("cell", F.explode("visits")), "visitors", total["v"]).select("*", F.pmod(own, "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     queries = queries.select(*key, "node", "mark", "copies", "vector", "home")
     index = index.select(*key, "node", "mark", "copies", "vector", "visits")
     return queries.groupBy(key).cogroup(index.groupBy(key)).applyInArrow(lambda q, r: _compare(q, r, threshold), "node long, mark long, links long, root long")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm.embedding_dedup import Grid, embedding_dedup, multi_sequence
@@ -74,3 +75,24 @@ def test_recall_is_reached_on_unseen_neighbours():
     other = 0.98 * x[2000:] + np.sqrt(1 - 0.98**2) * step / np.linalg.norm(step, axis=1, keepdims=True)
     hit = [h[0] in v or w[0] in u for u, v, h, w in zip(grid.order(x[2000:], grid.visits), grid.order(other, grid.visits), grid.order(x[2000:], 1), grid.order(other, 1))]
     assert np.mean(hit) > 0.99 and grid.visits < grid.cells
+
+
+@pytest.mark.parametrize("cell_rows", [16, 2])
+def test_recall_on_planted_links(spark, cell_rows):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(300, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turned = rng.normal(size=base.shape)
+    turned -= (turned * base).sum(axis=1, keepdims=True) * base
+    turned /= np.linalg.norm(turned, axis=1, keepdims=True)
+    cosine = rng.uniform(0.975, 0.999, size=(300, 1))
+    x = np.vstack([base, cosine * base + np.sqrt(1 - cosine**2) * turned])
+    rows = [(i, int(i % 300 % 2), v.tolist()) for i, v in enumerate(x)]
+    near = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.98
+    label = np.array([r[1] for r in rows])
+    near &= label[:, None] == label[None]
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(df, cell_rows=cell_rows).collect()}
+    assert want.sum() > 300 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.99 * want.sum()
