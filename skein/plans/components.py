@@ -9,7 +9,7 @@ dealt by the hub: see ``hot_join``.
 
 Before the first round and after each, every task contracts the edges that it holds
 to stars, a bounded number of them at once, which spares rounds and loses no
-connection.
+connection. Where all edges that are left fit into one such lot, that ends it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -44,15 +45,19 @@ def least_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of edges, each with a number of the lot it was found in."""
     held: list[pa.RecordBatch] = []
+    lot = TaskContext.get().partitionId() << 32
 
     def flush() -> pa.RecordBatch:
+        nonlocal lot
+        lot += 1
         table = pa.Table.from_batches(held)
         held.clear()
         node, root = least_roots(table.column("u").to_numpy(), table.column("v").to_numpy())
         # A node of loops only has to be seen, too.
         own = (node != root) | ~np.isin(node, root[node != root])
-        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(root[own]), pa.array(np.full(own.sum(), lot))], ["u", "v", "lot"])
 
     for batch in batches:
         held.append(batch)
@@ -74,12 +79,16 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple[int, int]]:
-    """The distinct edges, contracted within tasks, as a table, its path, and their number and a sum of hashes."""
+_STARS = "u long, v long, lot long"
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple[int, int], bool]:
+    """The edges contracted within tasks, as a table: that, its path, the edges' number and sum of hashes, and whether all came from one lot."""
     seen = Observation()
-    marks = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)).alias("h")
-    table, path = materialise(edges.distinct().mapInArrow(_contract, "u long, v long").observe(seen, *marks), "cc-round")
-    return table, path, (seen.get["n"], seen.get["h"])
+    marks = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)).alias("h"), F.min("lot").alias("first"), F.max("lot").alias("last")
+    table, path = materialise(edges.mapInArrow(_contract, _STARS).observe(seen, *marks), "cc-round")
+    found = seen.get
+    return table.select("u", "v"), path, (found["n"], found["h"]), found["first"] == found["last"]
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -91,18 +100,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     spark = edges.sparkSession
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    state, first, mark = _written(ends.mapInArrow(_contract, "u long, v long"))
+    state, first, mark, done = _written(ends.mapInArrow(_contract, _STARS).select("u", "v").distinct())
     loops = state.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    state, last = state.where("u <> v"), first
-    while mark[0]:
-        # The large star's rows have u > v, as the small star needs them.
-        state, path, new = _written(_small_star(_large_star(state, mark[0]), mark[0]))
+    state, last, stars = state.where("u <> v"), first, False
+    while not done:
+        if stars:
+            # The large star's rows have u > v, as the small star needs them.
+            edges = _small_star(_large_star(state, mark[0]), mark[0]).distinct()
+        else:
+            edges = state
+        lots = max(1, -(-mark[0] // EDGES_AT_ONCE))
+        state, path, new, done = _written(edges.repartition(lots, "u") if lots == 1 or not stars else edges)
         if last != first:
             drop_path(spark, last)
-        last = path
-        if new == mark:
-            break
-        mark = new
+        done, mark, stars, last = done or (stars and new == mark), new, True, path
     members = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return members.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
