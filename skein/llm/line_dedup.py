@@ -100,7 +100,7 @@ def word_counts(rows: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
     def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, texts, _ in slices(batch.column("id"), batch.column("text"), batch.column("mark")):
-            yield (Words.of(texts).hashes % np.uint64(counters)).astype(np.int64)
+            yield (Words.hashes_of(texts) % np.uint64(counters)).astype(np.int64)
 
     return np.minimum(tally(rows, words, counters), 2**31 - 1).astype(np.int32)
 
@@ -296,17 +296,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     copies_of = F.when(F.col("m") > chunk, F.ceil(F.col("m") / chunk)).otherwise(1)
 
-    def together(met: DataFrame, columns: list[str], what: str) -> tuple[DataFrame, str, int]:
+    def together(met: DataFrame, known: DataFrame, columns: list[str], what: str) -> tuple[DataFrame, str, int]:
         """The sets of some entries with all of these, and how many entries all chunks have."""
         n = met.agg(F.coalesce(F.sum(copies_of), F.lit(0)).alias("n")).first()["n"]
         by_set = met.groupBy("sid").agg(F.collect_list(F.struct("group", "place", "second", "m")).alias("meetings"))
-        return *materialise(sets.select("sid", *columns, "prefix").join(by_set, "sid"), what), max(1, -(-int(n) // MEETINGS_AT_ONCE))
+        return *materialise(known.select("sid", *columns, "prefix").join(by_set, "sid"), what), max(1, -(-int(n) // MEETINGS_AT_ONCE))
 
-    sketched, sketched_path, parts = together(met, ["size", *_SKETCH], "line-sketched")
+    sketched, sketched_path, parts = together(met, sets, ["id", "number", "mark", "size", *_SKETCH], "line-sketched")
     dealt = sketched.mapInArrow(lambda b: _deal_meetings(b, line_join.SKETCHED, chunk, parts), _BLOBS)
     pruned = dealt.repartitionById(parts, F.col("home")).mapInArrow(lambda b: _meet(b, line_join.SKETCHED, threshold), "sid long, group long, place long, second long, m long")
     pruned, pruned_path = materialise(pruned.distinct(), "line-pruned")
-    wanted, wanted_path, parts2 = together(pruned, ["id", "number", "mark"], "line-wanted")
+    wanted, wanted_path, parts2 = together(pruned, sketched, ["id", "number", "mark"], "line-wanted")
     place = F.col("id").bitwiseXOR(F.shiftright(F.col("number") * SPREAD, 11)).bitwiseAND(F.lit(wanted_bits - 1))
     fetched = share(bit_table(wanted.select(place.alias("at")), "at", wanted_bits))
 

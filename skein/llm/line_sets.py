@@ -50,15 +50,24 @@ class Words:
     lines: np.ndarray
     first_lines: np.ndarray  # of each text
 
-    @classmethod
-    def of(cls, texts: list[bytes]) -> Words:
+    @staticmethod
+    def _spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as one, its bytes, and where its words start and end."""
         joined = b"\n".join(texts).lower()
         data = np.frombuffer(joined + b"\n" + b"\0" * 8, dtype=np.uint8)
-        n = len(joined)
-        space = np.concatenate([[True], _SPACE[data[: n + 1]]])
-        starts = np.flatnonzero(space[:-1] & ~space[1:])
-        ends = np.flatnonzero(~space[:-1] & space[1:])
-        breaks = np.flatnonzero(data[:n] == 10)
+        space = np.concatenate([[True], _SPACE[data[: len(joined) + 1]]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        return joined, data, edges[::2], edges[1::2]
+
+    @classmethod
+    def hashes_of(cls, texts: list[bytes]) -> np.ndarray:
+        joined, data, starts, ends = cls._spans(texts)
+        return cls._hash(joined, data, starts, ends - starts)
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        joined, data, starts, ends = cls._spans(texts)
+        breaks = np.flatnonzero(data[: len(joined)] == 10)
         lengths = np.array([0] + [len(t) + 1 for t in texts], dtype=np.int64)
         first = np.searchsorted(breaks, np.cumsum(lengths)[:-1])
         return cls(cls._hash(joined, data, starts, ends - starts), np.searchsorted(breaks, starts), first)
