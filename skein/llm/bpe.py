@@ -39,6 +39,16 @@ def _pieces(path: str) -> list[bytes | None]:
     return table
 
 
+@lru_cache(maxsize=2)
+def _check_decoder(path: str) -> None:
+    """Raise unless the tokenizer decodes by joining pieces with blanks, as the join does."""
+    pieces, known = _pieces(path), tokenizer(path)
+    for text in ("a probe, of 3 words", "it's wonderfully un-known", "été 北京 ok"):
+        ids = known.encode(text, add_special_tokens=False).ids
+        if known.decode(ids, skip_special_tokens=False) != b" ".join(pieces[i] for i in ids).decode():
+            raise ValueError(f"{path} does not decode by joining pieces with blanks")
+
+
 def _pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -138,9 +148,11 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     added special tokens, truncation or padding; special tokens that stand in a
     text are encoded as such, and decoding keeps them. A null text counts as
     empty (no ids); null ids and repeated rows stay; an empty table gives none;
-    further columns are ignored. A block holds whole texts, one at least.
+    further columns are ignored. A block holds whole texts, one at least. A vocabulary
+    whose decoder does anything but join pieces with blanks is refused.
     """
     path = vocabulary or vocabulary_path()
+    _check_decoder(path)
     blocks = blocks_for(docs, text_col, block_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")
