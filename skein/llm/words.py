@@ -8,7 +8,7 @@ from functools import lru_cache
 
 VOCABULARY = "word_bpe_49k.json"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
