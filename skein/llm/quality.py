@@ -1,10 +1,10 @@
 """A document quality classifier by co-training two views.
 
-The text view sees what a text looks like, the metadata view its language,
-source and length. Over some rounds each view labels the unlabelled documents
-that it is surest of for the other one. Each view's score is then calibrated on
-labelled documents that took no part in training, and so is their combination,
-which scores every document.
+The text view sees a text's words, pairs of words and look, whatever its length; the
+metadata view its language, source and length. Over some rounds each view labels the
+unlabelled documents that it is surest of for the other one. Each view's score is then
+calibrated on labelled documents that took no part in training; their combination,
+which scores every document, is fitted on others again.
 
 Labelled documents are a bounded sample on the driver (``MAX_LABELLED``, taken by a
 hash of the id). All unlabelled ones take part: their features are written once, and
@@ -26,24 +26,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import drop_path, materialise
+from skein.llm.line_sets import SLICE_BYTES, Words
 
 MAX_LABELLED = 20_000
 ROUNDS = 4
 PER_ROUND = 0.05
 SURE = 0.9
 HELD_OUT = 0.25
+SPLIT = 10
 THRESHOLD = 0.5
 BINS = 64
+NGRAM_BUCKETS = 32
 _LIMIT = 35
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SOURCE_BUCKETS = 32
 _LANG_BUCKETS = 16
 _SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "text_score", "metadata_score")])
 
 
+def ngram_features(texts: list[bytes], buckets: int = NGRAM_BUCKETS) -> np.ndarray:
+    """Shares of the words and of the pairs of words of each text in hashed ``buckets``, as square roots."""
+    words = Words.of(texts)
+    row = np.searchsorted(words.first_lines, words.lines, side="right") - 1
+    pair = (words.hashes[:-1] * _PAIR ^ words.hashes[1:]) * _PAIR
+    together = row[:-1] == row[1:]
+    n = np.maximum(1, np.bincount(row, minlength=len(texts)))
+    out = []
+    for own, hashes in ((row, words.hashes), (row[:-1][together], pair[together])):
+        at = own * buckets + (hashes >> np.uint64(33)).astype(np.int64) % buckets
+        out.append(np.bincount(at, minlength=len(texts) * buckets).reshape(len(texts), buckets) / n[:, None])
+    return np.sqrt(np.hstack(out))
+
+
+def text_matrix(texts: list[bytes | None]) -> np.ndarray:
+    """The text view's features, a row for each text; a null text is empty."""
+    if not len(texts):
+        return np.zeros((0, len(text_features(b"")) + 2 * NGRAM_BUCKETS))
+    data = [t or b"" for t in texts]
+    grams = np.vstack([ngram_features(part) for part in _slices(data)])
+    return np.hstack([np.array([text_features(t) for t in data], dtype=float), grams])
+
+
+def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def text_features(text: bytes | None) -> list[float]:
-    """Shares of kinds of bytes, and how long, varied and repetitive words and lines are."""
+    """Shares of kinds of bytes, and how varied and repetitive words and lines are."""
     data = text or b""
     size = max(1, len(data))
     counts = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
@@ -53,13 +92,10 @@ def text_features(text: bytes | None) -> list[float]:
     again = sum(map(bytes.__eq__, words, words[1:]))
     lower, upper = counts[97:123].sum(), counts[65:91].sum()
     found = [
-        np.log1p(len(data)),
-        np.log1p(len(words)),
         len(data) / n / 10,
         len(set(words)) / n,
         again / n,
         len(set(lines)) / len(lines),
-        np.log1p(len(lines)),
         np.log1p(n / len(lines)),
         upper / size,
         upper / max(1, lower + upper),
@@ -117,6 +153,22 @@ class Logistic:
         return np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -35, 35)
 
 
+def _platt(logits: np.ndarray, y: np.ndarray) -> Logistic:
+    """Platt's scaling: targets drawn in by the classes' counts bound the slopes, hardly any ridge does.
+
+    A view that ranks these few rows the wrong way round weighs nothing.
+    """
+    good = y.sum()
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
+    used = np.ones(logits.shape[1], dtype=bool)
+    while True:
+        found = Logistic.fit(np.where(used, logits, 0.0), target, 1e-3)
+        wrong = used & (found.weights[:-1] < 0)
+        if not wrong.any():
+            return found
+        used &= ~wrong
+
+
 @dataclass
 class CoTrained:
     """Two views, their calibrations and the combination of the calibrated scores."""
@@ -264,10 +316,16 @@ def _co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, held_out: n
         if not new:
             break
         models = _fit_over(own, y[train], picks, run, sure)
-    logits = [m.logit(x[held_out])[:, None] for m, x in zip(models, sets)]
-    calibrations = [Logistic.fit(z, y[held_out]) for z in logits]
+    logits, known = [m.logit(x[held_out])[:, None] for m, x in zip(models, sets)], y[held_out]
+    # Every other one of a class calibrates, the rest combine; under ``SPLIT`` of a class do both.
+    turn = np.zeros(len(known), np.int64)
+    for label in (0.0, 1.0):
+        own = np.flatnonzero(known == label)
+        turn[own] = np.arange(len(own)) % 2 if len(own) >= SPLIT else 2
+    first, second = turn != 1, turn != 0
+    calibrations = [_platt(z[first], known[first]) for z in logits]
     both = np.column_stack([c.logit(z) for c, z in zip(calibrations, logits)])
-    return CoTrained(tuple(models), tuple(calibrations), Logistic.fit(both, y[held_out]))
+    return CoTrained(tuple(models), tuple(calibrations), _platt(both[second], known[second]))
 
 
 def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_metadata: np.ndarray, held_out: np.ndarray, rounds: int = ROUNDS, per_round: float = PER_ROUND, sure: float = SURE) -> CoTrained:
@@ -290,7 +348,7 @@ def _over(pool: DataFrame) -> _Pass:
             held = [b for b in batches if b.num_rows]
             if held:
                 table = pa.Table.from_batches(held)
-                stack = lambda c: np.asarray(table.column(c).combine_chunks().flatten()).reshape(table.num_rows, -1)
+                stack = lambda c: np.asarray(table.column(c).combine_chunks().flatten()).astype(float).reshape(table.num_rows, -1)
                 rows = _Rows((stack("text_x"), stack("metadata_x")), table.column("turn").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(rows))], pa.binary())], ["found"])
 
@@ -302,13 +360,13 @@ def _over(pool: DataFrame) -> _Pass:
 def _features(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns with the arrays ``text_x`` and ``metadata_x``."""
     rows = docs.select(*columns, F.col("text").cast("binary").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").cast("double").alias("_chars"))
-    schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("text_x", "metadata_x")])
+    schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField(n, T.ArrayType(T.FloatType())) for n in ("text_x", "metadata_x")])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = f[columns].copy()
-            out["text_x"] = [text_features(t) for t in f["_text"]]
-            out["metadata_x"] = [metadata_features(*x) for x in zip(f["_lang"], f["_source"], f["_chars"])]
+            out["text_x"] = list(text_matrix(list(f["_text"])).astype(np.float32))
+            out["metadata_x"] = [np.array(metadata_features(*x), np.float32) for x in zip(f["_lang"], f["_source"], f["_chars"])]
             yield out
 
     return rows.mapInPandas(run, schema)
@@ -358,7 +416,7 @@ def score_column(model: CoTrained | None) -> Column:
 
     @F.pandas_udf(_SCORES)
     def scored(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        x = np.array([text_features(t) for t in text], dtype=float)
+        x = text_matrix(list(text)).astype(np.float32).astype(float)
         m = np.array([metadata_features(*r) for r in zip(lang, source, n_chars)], dtype=float)
         return pd.DataFrame(model.scores(x, m), columns=["score", "text_score", "metadata_score"])
 
@@ -370,8 +428,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Documents need text, lang, source and n_chars; nulls there are values like
     others (a null text is empty). Without labels of both classes scores are null
-    and every row is kept. Rows repeated get the same score; an empty table gives
-    none; further columns are ignored.
+    and every row is kept; with too few of a class to hold any out, those that train
+    calibrate as well, and with under ``SPLIT`` held out of a class those that calibrate
+    combine. Rows repeated get the same score; an empty table gives none; further
+    columns are ignored.
     """
     model = train(docs, labels, id_col)
     rows = docs.select(F.col(id_col), score_column(model).alias("_s"))
