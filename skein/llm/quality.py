@@ -13,6 +13,7 @@ tasks count their scores by bins and sum the gradients and Hessians of the fits.
 
 from __future__ import annotations
 
+import functools
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,10 @@ HELD_OUT = 0.25
 SPLIT = 10
 THRESHOLD = 0.5
 BINS = 64
+DIRECT_PARTS = 256
 NGRAM_BUCKETS = 32
 _LIMIT = 35
+_FOUND = "part int, found binary"
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -298,7 +302,7 @@ def _co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, held_out: n
                 free = np.isnan(_given(picks[1 - view], rows.views[view], rows.turn, sure))
                 for label in (1.0, 0.0):
                     b = _bins(models[view], rows.views[view][free], label, sure)
-                    found[view, label] = np.bincount(b[b >= 0], minlength=_LIMIT * BINS + 1).astype(np.int32)
+                    found[view, label] = np.bincount(b[b >= 0], minlength=_LIMIT * BINS + 1)
             return len(rows.turn), found
 
         parts = run(count)
@@ -340,19 +344,44 @@ def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_text: n
     return _co_train(text, metadata, y, held_out, lambda f: [f(rows)] if len(pool_text) else [], rounds, per_round, sure)
 
 
+def _plus(a: object, b: object) -> object:
+    """The sum of two results of the same form: numbers and arrays in lists, tuples and dictionaries."""
+    if isinstance(a, dict):
+        return {k: _plus(a[k], b[k]) for k in a}
+    if isinstance(a, (list, tuple)):
+        return type(a)(_plus(x, y) for x, y in zip(a, b))
+    return a + b
+
+
+def _found(part: int, found: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(found)], pa.binary())], ["part", "found"])
+
+
 def _over(pool: DataFrame) -> _Pass:
-    """Passes over a table of features, a result for each partition's batches summed up on the driver."""
+    """Passes over a table of features, a sum for each task; those of very many tasks are summed in groups."""
+    many = pool.rdd.getNumPartitions() > DIRECT_PARTS
 
     def run(f: Callable[[_Rows], object]) -> list:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if held:
-                table = pa.Table.from_batches(held)
-                stack = lambda c: np.asarray(table.column(c).combine_chunks().flatten()).astype(float).reshape(table.num_rows, -1)
-                rows = _Rows((stack("text_x"), stack("metadata_x")), table.column("turn").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(rows))], pa.binary())], ["found"])
-
-        return [pickle.loads(x) for x in pool.mapInArrow(work, "found binary").toArrow().column(0).to_pylist()]
+            stack = lambda b, c: np.asarray(b.column(c).flatten()).astype(float).reshape(b.num_rows, -1)
+            each = (f(_Rows((stack(b, "text_x"), stack(b, "metadata_x")), b.column("turn").to_numpy())) for b in batches if b.num_rows)
+            first = next(each, None)
+            if first is not None:
+                yield _found(TaskContext.get().partitionId() % DIRECT_PARTS, functools.reduce(_plus, each, first))
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, object] = {}
+            for b in batches:
+                for part, found in zip(b.column("part").to_pylist(), b.column("found")):
+                    one = pickle.loads(found.as_py())
+                    held[part] = _plus(held[part], one) if part in held else one
+            for part, found in held.items():
+                yield _found(part, found)
+
+        out = pool.mapInArrow(work, _FOUND)
+        if many:
+            out = out.repartition("part").mapInArrow(merge, _FOUND)
+        return [pickle.loads(x) for x in out.toArrow().column("found").to_pylist()]
 
     return run
 

@@ -43,3 +43,21 @@ def test_quota_ends_within_a_bin():
     assert _cut(np.array([5, 4, 0, 2]), 4) == (1, 0.5)
     assert _cut(np.array([5, 4, 0, 2]), 2) == (3, 1.0)
     assert _cut(np.array([1, 1]), 9) == (0, 1.0)
+
+
+def test_sums_of_parts_are_the_same_in_groups_and_direct(spark, monkeypatch):
+    rows = [(i, [float(i), 1.0], [2.0 * i], i / 40) for i in range(40)]
+    pool = spark.createDataFrame(rows, "_id long, text_x array<float>, metadata_x array<float>, turn double").repartition(7)
+
+    def sums(r):
+        return len(r.turn), {"x": [r.views[0].sum(axis=0), r.views[1].sum(axis=0)]}
+
+    for direct in (256, 2):
+        monkeypatch.setattr(quality, "DIRECT_PARTS", direct)
+        parts = quality._over(pool)(sums)
+        assert len(parts) <= 7 if direct > 7 else len(parts) <= direct
+        n, found = parts[0]
+        for more in parts[1:]:
+            n, found = quality._plus((n, found), more)
+        assert n == 40 and found["x"][0].tolist() == [780.0, 40.0] and found["x"][1].tolist() == [1560.0]
+    assert quality._over(pool.limit(0))(sums) == []
