@@ -11,6 +11,7 @@ from skein.llm.embedding_dedup import embedding_dedup
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.line_dedup import line_dedup
 from skein.llm.packing import pack
+from skein.llm.periodic_runs import run_report
 from skein.llm.quality import quality_scores
 from skein.llm.sharding import shard
 from skein.llm.simhash import simhash_components
@@ -60,6 +61,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe_words": op1_bpe_words,
     "op2_vector_packing": op2_vector_packing,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_embedding_multi_index": op8_embedding_multi_index,
     "op9_simhash_ball": op9_simhash_ball,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
