@@ -160,16 +160,18 @@ def calibrate(scored: DataFrame) -> int:
     """The mean score from which on URLs are allowed.
 
     Of the labelled rows, the shares of each class that fall on the wrong side are added;
-    the least sum wins, of equal ones the value next to 0, then the smaller. 0 if a class is missing.
+    the least sum wins, of all values that give it the one next to 0, then the smaller. 0 if a class is missing.
     """
     # A mean score is a difference of logarithms of counts, so there are some 100,000 values at most.
     bins = scored.where("label IS NOT NULL").groupBy(mean_score().alias("at")).agg(*[F.count(F.when(F.col("label") == c, 1)).alias(c) for c in ("allow", "block")])
     below = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = bins.select("at", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in ("allow", "block")], *[F.sum(c).over(whole).alias(c) for c in ("allow", "block")])
+    # All thresholds above the last score before and up to this one part the rows alike.
+    nearest = F.greatest(F.lag("at").over(Window.orderBy("at")) + 1, F.least("at", F.lit(0).cast("long")))
+    edges = bins.select(nearest.alias("edge"), *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in ("allow", "block")], *[F.sum(c).over(whole).alias(c) for c in ("allow", "block")])
     wrong = F.expr("allow_below * block + (block - block_below) * allow")
-    best = edges.where("allow > 0 AND block > 0").orderBy(wrong, F.abs("at"), "at").first()
-    return best["at"] if best else 0
+    best = edges.where("allow > 0 AND block > 0").orderBy(wrong, F.abs("edge"), "edge").first()
+    return best["edge"] if best else 0
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = RULES, order: int = ORDER, most: int = MOST_GRAMS) -> DataFrame:
@@ -255,13 +257,13 @@ WITH rows AS (
   SELECT p.text, any_value(p.label) AS label, any_value(p.held) AS held, floor(sum({total}) / (count(*) * {STEP}.0::DOUBLE))::BIGINT AS score
   FROM places p{joins} GROUP BY p.text
 ), bins AS (
-  SELECT score AS at, count(*) FILTER (WHERE label = 'allow') AS allow, count(*) FILTER (WHERE label = 'block') AS block
+  SELECT score AS edge, count(*) FILTER (WHERE label = 'allow') AS allow, count(*) FILTER (WHERE label = 'block') AS block
   FROM scored WHERE held AND label IS NOT NULL GROUP BY score
 ), edges AS (
-  SELECT at, coalesce(sum(allow) OVER below, 0) AS allow_below, coalesce(sum(block) OVER below, 0) AS block_below, sum(allow) OVER () AS allow, sum(block) OVER () AS block
-  FROM bins WINDOW below AS (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT greatest(lag(edge) OVER (ORDER BY edge) + 1, least(edge, 0)) AS edge, coalesce(sum(allow) OVER below, 0) AS allow_below, coalesce(sum(block) OVER below, 0) AS block_below, sum(allow) OVER () AS allow, sum(block) OVER () AS block
+  FROM bins WINDOW below AS (ORDER BY edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), best AS (
-  SELECT coalesce((SELECT at FROM edges WHERE allow > 0 AND block > 0 ORDER BY allow_below * block + (block - block_below) * allow, abs(at), at LIMIT 1), 0) AS threshold
+  SELECT coalesce((SELECT edge FROM edges WHERE allow > 0 AND block > 0 ORDER BY allow_below * block + (block - block_below) * allow, abs(edge), edge LIMIT 1), 0) AS threshold
 )
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.label, CASE WHEN s.score >= b.threshold THEN 'allow' ELSE 'block' END) AS verdict,
        s.score, b.threshold
