@@ -7,12 +7,12 @@ windows and self-joins run over that.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ids import segment_of
 from skein.operators.graph import AssemblyGraph, delete_segments, normalise
-from skein.operators.traversal import per_component, targets_by_vertex
+from skein.plans.scratch import drop_path, materialise
 
 LOW_SHARE = 0.3
 DROPPED_SHARE = 0.7
@@ -83,73 +83,107 @@ def copy_numbers(segments: DataFrame, min_copy: int = 1, max_copy: int = 10, min
     return segments.join(averages, "component").select("seg_id", "component", copy.cast("int").alias("copy"), "avg")
 
 
-def _with_copies(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, kernel, schema: str = "seg_id long, copy int") -> DataFrame:
-    return per_component(graph, labels, kernel, schema, copies.select("seg_id", "copy"))
+def _start(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame) -> DataFrame:
+    """``seg_id, copy`` of the labelled segments; without a copy number, 0."""
+    own = graph.segments.select("seg_id").join(labels.select("seg_id"), "seg_id")
+    return own.join(copies.select("seg_id", "copy"), "seg_id", "left").select("seg_id", F.coalesce("copy", F.lit(0)).cast("int").alias("copy"))
 
 
-def _spread(segments: pd.DataFrame, arcs: pd.DataFrame, may) -> pd.DataFrame:
-    """Raise copies from 0 to 1 next to used segments; ``may(seg, arc_cov)`` says where.
+def _arrivals(hops: DataFrame, used: DataFrame) -> DataFrame:
+    """``seg_id`` of unused segments that used ones reach along hops ``a, b, key`` of ascending keys.
 
-    Changes count at once, arcs of forward vertices come first, ids ascend: so one
-    pass can reach several arcs far.
+    The least key at which each can be reached is lowered until it rests: whatever goes on
+    from a segment reached late can also go on from it reached early. A round of joins
+    for each hop of the longest such way; only what was lowered passes on.
     """
-    copy = dict(zip(segments["seg_id"].tolist(), segments["copy"].fillna(0).astype(int).tolist()))
-    rows = arcs.assign(strand=arcs["v"] & 1).sort_values(["strand", "v", "w"], kind="stable")
-    for v, w, cov in zip(rows["v"].tolist(), rows["w"].tolist(), rows["cov"].tolist()):
-        a, b = v >> 1, w >> 1
-        if copy.get(a) and not copy.get(b) and may(b, cov):
-            copy[b] = 1
-        if copy.get(b) and not copy.get(a) and may(a, cov):
-            copy[a] = 1
-    return pd.DataFrame({"seg_id": list(copy), "copy": list(copy.values())})
+    spark = hops.sparkSession
+    open_, open_path = materialise(hops.where("a <> b").join(used.select(F.col("seg_id").alias("b")), "b", "left_anti").select("a", "b", "key"), "hops")
+    first = open_.join(used.select(F.col("seg_id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("seg_id")).agg(F.min("key").alias("key"))
+    state, path = materialise(first.withColumn("fresh", F.lit(True)), "arrivals")
+    while True:
+        live = state.where("fresh")
+        if live.isEmpty():
+            break
+        on = open_.join(live.select(F.col("seg_id").alias("a"), F.col("key").alias("_at")), "a").where(F.col("key") > F.col("_at")).groupBy(F.col("b").alias("seg_id")).agg(F.min("key").alias("_new"))
+        both = state.select("seg_id", "key").join(on, "seg_id", "full")
+        lower = F.col("key").isNull() | (F.col("_new") < F.col("key"))
+        new = both.select("seg_id", F.least("key", "_new").alias("key"), F.coalesce(lower & F.col("_new").isNotNull(), F.lit(False)).alias("fresh"))
+        new, new_path = materialise(new, "arrivals")
+        drop_path(spark, path)
+        state, path = new, new_path
+    drop_path(spark, open_path)
+    return state.select("seg_id")
+
+
+def _spread(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, may: Column) -> DataFrame:
+    """Raise copies from 0 to 1 next to used segments, across hops ``a, b`` (of ``cov``; b of ``len``) for which ``may`` holds.
+
+    Arcs count one after the other, those of forward vertices first, by (v, w), and a
+    raised segment counts as used from then on: so one pass can reach several arcs far.
+    """
+    now, _ = materialise(_start(graph, labels, copies), "copies")
+    # Parallel arcs follow each other, so their order among themselves makes no difference.
+    arcs = graph.arcs.select(segment_of("v").alias("a"), segment_of("w").alias("b"), "cov", F.struct(F.col("v").bitwiseAND(F.lit(1).cast("long")).alias("strand"), "v", "w").alias("key"))
+    hops = arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cov", "key"))
+    inside = hops.join(labels.select(F.col("seg_id").alias("a")), "a", "left_semi").join(graph.segments.select(F.col("seg_id").alias("b"), "len"), "b")
+    reached = _arrivals(inside.where(may), now.where("copy > 0"))
+    raised = reached.withColumn("_raised", F.lit(1))
+    return now.join(raised, "seg_id", "left").select("seg_id", F.coalesce("_raised", "copy").alias("copy"))
 
 
 def rescue_by_arcs(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame) -> DataFrame:
     """``seg_id, copy``: unused segments across a covered arc from a used one get 1."""
-    return _with_copies(graph, labels, copies, lambda s, a: _spread(s, a, lambda seg, cov: cov > 0))
+    return _spread(graph, labels, copies, F.col("cov") > 0)
 
 
 def add_neighbours(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, steps: int = 1, below: int = 0) -> DataFrame:
     """``seg_id, copy``: unused segments shorter than ``below`` next to used ones get 1, ``steps`` times."""
+    now = _start(graph, labels, copies)
+    for _ in range(steps):
+        now, _path = materialise(_spread(graph, labels, now, F.col("len") < below), "copies")
+    return now
+
 
-    def kernel(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        length = dict(zip(s["seg_id"].tolist(), s["len"].tolist()))
-        for _ in range(steps):
-            s = s.drop(columns="copy").merge(_spread(s, a, lambda seg, cov: length[seg] < below), on="seg_id")
-        return s[["seg_id", "copy"]].astype({"copy": "int32"})
-
-    return _with_copies(graph, labels, copies, kernel)
-
-
-def _bubble_kernel(segments: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-    """Bubbles l -> {middles} -> r over the forward strand's arcs, by (l, r)."""
-    cov = dict(zip(segments["seg_id"].tolist(), segments["cov"].tolist()))
-    copy = dict(zip(segments["seg_id"].tolist(), segments["copy"].fillna(0).astype(int).tolist()))
-    out = targets_by_vertex(arcs[arcs["v"] % 2 == 0])
-    nexts = {v >> 1: sorted({w >> 1 for w in ws}) for v, ws in out.items()}
-    gone: set[int] = set()
-    for left in sorted(x for x in nexts if cov.get(x)):
-        between: dict[int, list[int]] = {}
-        for middle in nexts[left]:
-            for right in nexts.get(middle, ()):
-                if cov.get(right) and len({left, middle, right}) == 3:
-                    between.setdefault(right, []).append(middle)
-        for right in sorted(between):
-            middles = between[right]
-            if any(copy[m] > 0 for m in middles):
-                gone.update(middles)
-            else:
-                copy.update((m, 1) for m in middles)
-    return pd.DataFrame({"seg_id": list(copy), "copy": list(copy.values()), "excluded": [x in gone for x in copy]})
+def simple_bubbles(graph: AssemblyGraph) -> DataFrame:
+    """``l, r, m``: the middles of each pair of covered segments, over the arcs of forward vertices."""
+    ahead = graph.arcs.where(F.col("v").bitwiseAND(F.lit(1).cast("long")) == 0).select(segment_of("v").alias("a"), segment_of("w").alias("b")).distinct()
+    covered = graph.segments.where("cov > 0").select("seg_id")
+    left = ahead.select(F.col("a").alias("l"), F.col("b").alias("m")).where("l <> m").join(covered.withColumnRenamed("seg_id", "l"), "l", "left_semi")
+    right = ahead.select(F.col("a").alias("m"), F.col("b").alias("r")).where("m <> r").join(covered.withColumnRenamed("seg_id", "r"), "r", "left_semi")
+    return left.join(right, "m").where("l <> r").select("l", "r", "m")
 
 
 def pick_bubbles(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame) -> DataFrame:
-    """``seg_id, copy, excluded``: settle simple bubbles between covered segments.
+    """``seg_id, copy, excluded``: settle simple bubbles between covered segments, by (left, right).
+
+    If no middle is used when a bubble's turn comes, all get copy 1; else all are marked
+    as excluded, the used one too. Their arcs stay, so a search can still cross them.
 
-    If no middle is used, all get copy 1; else all are marked as excluded, the used
-    one too. Their arcs stay, so a search can still cross them.
+    Bubbles only meet in their middles. In each round those settle that are first among
+    the open ones in all of their middles; the others that share a middle with them are
+    excluded. That gives what the order one by one gives, in rounds of joins.
     """
-    return _with_copies(graph, labels, copies, _bubble_kernel, "seg_id long, copy int, excluded boolean")
+    spark = graph.arcs.sparkSession
+    now, _ = materialise(_start(graph, labels, copies), "copies")
+    turn = F.struct("l", "r").alias("turn")
+    middles, _ = materialise(simple_bubbles(graph).join(now.withColumnRenamed("seg_id", "m"), "m").select(turn, "m", "copy"), "bubbles")
+    spoilt = middles.where("copy > 0").select("turn").distinct()
+    open_, path = materialise(middles.join(spoilt, "turn", "left_anti").select("turn", "m"), "open-bubbles")
+    raised, raised_path = materialise(open_.limit(0), "raised")
+    while not open_.isEmpty():
+        first = open_.groupBy("m").agg(F.min("turn").alias("first"))
+        late = open_.join(first, "m").where("turn > first").select("turn").distinct()
+        settled, settled_path = materialise(open_.join(late, "turn", "left_anti").select("turn", "m"), "settled-bubbles")
+        gone = open_.join(settled.select("m").distinct(), "m", "left_semi").select("turn").distinct()
+        rest, rest_path = materialise(open_.join(gone, "turn", "left_anti").select("turn", "m"), "open-bubbles")
+        more, more_path = materialise(raised.unionByName(settled), "raised")
+        for old in (path, raised_path, settled_path):
+            drop_path(spark, old)
+        open_, path, raised, raised_path = rest, rest_path, more, more_path
+    excluded = middles.join(raised.select("turn").distinct(), "turn", "left_anti").select(F.col("m").alias("seg_id")).distinct().withColumn("excluded", F.lit(True))
+    ones = raised.select(F.col("m").alias("seg_id")).distinct().withColumn("_raised", F.lit(1))
+    marked = now.join(ones, "seg_id", "left").join(excluded, "seg_id", "left")
+    return marked.select("seg_id", F.coalesce("_raised", "copy").alias("copy"), F.coalesce("excluded", F.lit(False)).alias("excluded"))
 
 
 def total_weights(segments: DataFrame, copies: DataFrame) -> DataFrame:

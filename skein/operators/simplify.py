@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.functions.ids import flip, segment_of
 from skein.operators.graph import AssemblyGraph, degree, delete_arcs, delete_segments, first_arcs, normalise
-from skein.plans.components import connected_components
 from skein.plans.dense import dense_index
+from skein.plans.pointers import all_ahead, follow
 from skein.plans.scratch import drop_path, materialise
 
 
@@ -24,29 +23,19 @@ def chains(graph: AssemblyGraph) -> DataFrame:
     """``chain, at, x, circ``: every oriented vertex's place in its maximal chain.
 
     Chains follow mergeable arcs. A ring is opened before its lowest vertex. Places
-    come by pointer doubling: after k rounds a vertex knows the one 2^k before it,
-    so the rounds are logarithmic in the longest chain. A chain is named by its
-    first vertex.
+    come by pointer doubling, so the rounds are logarithmic in the longest chain. A
+    chain is named by its first vertex.
     """
-    links, _ = materialise(mergeable_arcs(graph.arcs).select("v", "w").where("v <> w"), "mergeable")
-    label = connected_components(links, "v", "w")
-    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("vertices"))
-    arcs = links.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy("component").agg(F.count(F.lit(1)).alias("arcs"))
-    rings, _ = materialise(sizes.join(arcs, "component").where("vertices = arcs").select("component"), "rings")
-    open_ = links.join(rings.select(F.col("component").alias("w")), "w", "left_anti")
+    back, _ = materialise(mergeable_arcs(graph.arcs).where("v <> w").select(F.col("w").alias("x"), F.col("v").alias("to")), "mergeable")
     vertices = graph.segments.select(F.explode(F.array(F.shiftleft("seg_id", 1), F.shiftleft("seg_id", 1) + 1)).alias("x"))
-    back = open_.select(F.col("w").alias("x"), F.col("v").alias("before"))
-    state, path = materialise(vertices.join(back, "x", "left").select("x", F.coalesce("before", "x").alias("root"), F.col("before").isNotNull().cast("long").alias("at")), "chains")
-    while True:
-        up = state.select(F.col("x").alias("root"), F.col("root").alias("top"), F.col("at").alias("more"))
-        new, new_path = materialise(state.join(up, "root").select("x", F.col("top").alias("root"), (F.col("at") + F.col("more")).alias("at")), "chains")
-        moved = new.agg(F.sum("at")).first()[0] != state.agg(F.sum("at")).first()[0]
-        drop_path(graph.arcs.sparkSession, path)
-        state, path = new, new_path
-        if not moved:
-            break
-    ring = rings.select(F.col("component").alias("root"), F.lit(True).alias("circ"))
-    return state.join(ring, "root", "left").select(F.col("root").alias("chain"), "at", "x", F.coalesce("circ", F.lit(False)).alias("circ"))
+    followed = follow(back)
+    placed = followed.ends.select("x", F.col("root").alias("chain"), F.col("steps").alias("at"), F.lit(False).alias("circ"))
+    if followed.has_rings:
+        rings, _ = materialise(followed.rings, "rings")
+        opened = follow(back.join(rings, "x").where("x <> least").select("x", "to")).ends
+        around = rings.join(opened, "x", "left").select("x", F.col("least").alias("chain"), F.coalesce("steps", F.lit(0)).alias("at"), F.lit(True).alias("circ"))
+        placed = placed.unionByName(around)
+    return vertices.join(placed, "x", "left").select(F.coalesce("chain", "x").alias("chain"), F.coalesce("at", F.lit(0)).alias("at"), "x", F.coalesce("circ", F.lit(False)).alias("circ"))
 
 
 def unitigs(graph: AssemblyGraph) -> tuple[AssemblyGraph, DataFrame]:
@@ -132,8 +121,8 @@ def drop_tips(graph: AssemblyGraph, max_segments: int, max_bases: int, protect:
 
     A dead end is a chain that no arc enters; if it ends in a vertex with several
     arcs out, that vertex counts as a segment but stays. With ``protect``, a tip
-    stays that is longer than every branch out of where it ends, its own among them,
-    or has over half their weight. Tips are found first and removed together.
+    that is attached somewhere stays unless another branch out of there is as long as it
+    or longer, or has at least twice its weight. Tips are found first and removed together.
     """
     placed, path = materialise(_measured_chains(graph), "tips")
     forks = F.col("last_outs") > 1
@@ -147,10 +136,11 @@ def drop_tips(graph: AssemblyGraph, max_segments: int, max_bases: int, protect:
         # Without the fork, the chain's new last vertex counts in full.
         cut = inner.join(_vertices(graph).select("x", "len", "cov", "ls"), "x").withColumn("full", F.row_number().over(Window.partitionBy("chain").orderBy(F.col("at").desc())) == 1)
         own = cut.groupBy("chain").agg(F.sum((F.col("len") - F.when(F.col("full"), 0).otherwise(F.col("ls"))) * F.col("cov")).alias("tip_weight"))
-        branches = behind.join(graph.arcs.select("v", F.col("w").alias("x")), "v").join(placed.select("x", "bases", "weight"), "x").join(own, "chain")
+        back = inner.select("chain", flip("x").alias("x"))
+        branches = behind.join(graph.arcs.select("v", F.col("w").alias("x")), "v").join(back, ["chain", "x"], "left_anti").join(placed.select("x", "bases", "weight"), "x").join(own, "chain")
         weaker = (F.col("tip_bases") <= F.col("bases")) | (2 * F.col("tip_weight") <= F.col("weight"))
-        stay = branches.groupBy("chain").agg(F.max(weaker).alias("weak")).where("not weak").select("chain")
-        tips = tips.join(stay, "chain", "left_anti")
+        weak = branches.where(weaker).select("chain").distinct()
+        tips = tips.where("last_outs = 0").unionByName(tips.where("last_outs > 0").join(weak, "chain", "left_semi").select(tips.columns))
     gone = placed.join(tips.select("chain"), "chain", "left_semi").where((F.col("last_outs") <= 1) | (F.col("x") != F.col("last")))
     gone, _ = materialise(gone.select(segment_of("x").alias("seg_id")).distinct(), "dead-ends")
     drop_path(graph.arcs.sparkSession, path)
@@ -166,68 +156,82 @@ def sweeps(graph: AssemblyGraph, sources: DataFrame, over_tips: bool, through: b
     bases, at an arc back to its source's segment, and at a dead end that reaches
     ``reach`` or, without ``over_tips``, at any. Dead ends of a round go first.
 
-    Returns ``src, sink, dist, path, tips, sinks, cycle`` for sources with a sink or
-    a cycle (0; 1: to the source itself, 2: to its other strand): bases to the last
-    sink, the vertices from the source to it along the heaviest steps (bases times
-    coverage, then bases), and counts so far; and ``src, x`` of all vertices that
-    the sweeps with a sink saw.
+    Returns ``src, sink, dist, tips, sinks, cycle`` for sources with a sink or a cycle (0;
+    1: to the source itself, 2: to its other strand): bases to the last sink and counts
+    so far; and ``src, x, up`` of all vertices passed, ``up`` being the one before on the
+    heaviest way (bases times coverage, then bases). A round is one job; what it finds
+    and what goes on are one table.
     """
     spark = graph.arcs.sparkSession
     step = F.col("len") - F.col("ls")
     info, info_path = materialise(_vertices(graph).select("x", "len", "cov", "outs", "ins"), "sweep-vertices")
     arcs, arcs_path = materialise(graph.arcs.select(F.col("v").alias("x"), "w", "ls"), "sweep-arcs")
-    zero = F.lit(0).cast("long")
-    state = sources.select(F.col("v").alias("src"), "reach", F.col("v").alias("x"), zero.alias("dist"), zero.alias("weight"), F.array("v").alias("path"), zero.alias("left"), zero.alias("far"), zero.alias("tips"), zero.alias("sinks"))
-    state, old = materialise(state.join(info.select("x", "len", "cov", "outs"), "x"), "sweep")
-    found: list[DataFrame] = []
-    seen: list[DataFrame] = []
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     own = Window.partitionBy("src")
+    columns = ["kind", "src", "reach", "x", "up", "dist", "weight", "left", "far", "tips", "sinks", "len", "cov", "outs"]
+    blank = {c: none for c in columns}
+
+    def marked(rows: DataFrame, kind: str, **given: Column) -> DataFrame:
+        """``rows`` as results of a kind, with the columns given and no others."""
+        return rows.select(F.lit(kind).alias("kind"), *[F.coalesce(given[c], none).alias(c) if c in given else blank[c].alias(c) for c in columns[1:]])
+
+    start = sources.select(F.lit("live").alias("kind"), F.col("v").alias("src"), "reach", F.col("v").alias("x"), none.alias("up"), *[zero.alias(c) for c in ("dist", "weight", "left", "far", "tips", "sinks")])
+    state, path = materialise(start.join(info.select("x", "len", "cov", "outs"), "x").select(columns), "sweep")
+    tables = []
     while True:
         ready = F.col("left") == 0
         dead = ready & (F.col("outs") == 0)
         count = lambda c: F.sum(c.cast("long")).over(own)
-        rows = state.where("far <= reach").withColumn("_ready", count(ready)).withColumn("_dead", count(dead)).withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_top", F.max(F.when(dead, F.col("x"))).over(own))
+        rows = state.where("kind = 'live' AND far <= reach").withColumn("_ready", count(ready)).withColumn("_dead", count(dead)).withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_top", F.max(F.when(dead, F.col("x"))).over(own))
         alone = ready & (F.col("_all") == F.col("_ready")) & F.when(F.col("_ready") == F.col("_dead"), F.col("x") == F.col("_top")).otherwise((F.col("_ready") - F.col("_dead") == 1) & (F.col("outs") > 0))
         rows = rows.where("_ready > 0").withColumn("_sink", alone & (F.col("x") != F.col("src"))).withColumn("_tip", dead & ~F.col("_sink"))
         stops = F.col("_tip") & ((F.col("dist") + F.col("len") >= F.col("reach")) | F.lit(not over_tips)) & (F.col("x") != F.col("src"))
         short = F.sum((F.col("_tip") & (F.col("x") != F.col("src"))).cast("long")).over(own)
         rows = rows.withColumn("_stops", F.max(stops).over(own)).withColumn("tips", F.col("tips") + short)
-        rows, rows_path = materialise(rows.where("not _stops").withColumn("sinks", F.col("sinks") + F.max(F.col("_sink").cast("long")).over(own)), "sweep-round")
-        found.append(rows.where("_sink").select("src", F.col("x").alias("sink"), "dist", "path", "tips", "sinks", F.lit(0).alias("cycle")))
-        seen.append(rows.where(ready & (F.col("x") != F.col("src"))).select("src", "x"))
+        rows = rows.where("not _stops").withColumn("sinks", F.col("sinks") + F.max(F.col("_sink").cast("long")).over(own))
+        sinks = marked(rows.where("_sink"), "sink", src=F.col("src"), x=F.col("x"), dist=F.col("dist"), tips=F.col("tips"), sinks=F.col("sinks"))
+        passed = marked(rows.where(ready & (F.col("x") != F.col("src"))), "passed", src=F.col("src"), x=F.col("x"), up=F.col("up"))
         going = rows if through else rows.withColumn("_met", F.max("_sink").over(own)).where("not _met")
-        pushed = going.where(ready & (F.col("outs") > 0)).join(arcs, "x").select("src", "reach", F.col("w").alias("x"), (F.col("dist") + step).alias("dist"), (F.col("weight") + step * F.col("cov")).alias("weight"), "path", F.lit(-1).cast("long").alias("left"), "far", "tips", "sinks")
-        back = pushed.where(segment_of("x") == segment_of("src")).groupBy("src").agg(F.max(F.when(F.col("x") == F.col("src"), 1).otherwise(2)).alias("cycle"))
-        long_ = T.LongType()
-        found.append(back.select("src", F.lit(None).cast(long_).alias("sink"), F.lit(None).cast(long_).alias("dist"), F.lit(None).cast(T.ArrayType(long_)).alias("path"), zero.alias("tips"), zero.alias("sinks"), "cycle"))
-        waiting = going.where(~ready).select(pushed.columns)
-        both = waiting.withColumn("_new", F.lit(False)).unionByName(pushed.withColumn("_new", F.lit(True))).join(back.select("src"), "src", "left_anti")
-        best = F.max_by("path", F.struct("weight", "dist", F.negative(F.element_at("path", -1)).alias("turn"))).alias("path")
-        met = both.groupBy("src", "reach", "x").agg(
-            F.min("dist").alias("dist"), F.max("weight").alias("weight"), best, F.sum(F.when(F.col("_new"), -1).otherwise(F.col("left"))).alias("left"),
+        pushed = going.where(ready & (F.col("outs") > 0)).join(arcs, "x").select("src", "reach", F.col("w").alias("x"), F.col("x").alias("up"), (F.col("dist") + step).alias("dist"), (F.col("weight") + step * F.col("cov")).alias("weight"), F.lit(-1).cast("long").alias("left"), "far", "tips", "sinks", F.lit(True).alias("_new"))
+        waiting = going.where(~ready).select(*pushed.columns[:-1], F.lit(False).alias("_new"))
+        # 1: an arc leads back to the source, 2: to its other strand; either ends the sweep.
+        turn = F.when(F.col("_new") & (segment_of("x") == segment_of("src")), F.when(F.col("x") == F.col("src"), 1).otherwise(2))
+        both = waiting.unionByName(pushed).withColumn("_cycle", F.max(turn).over(own))
+        cycles = marked(both.where("_cycle IS NOT NULL").select("src", "_cycle").distinct(), "cycle", src=F.col("src"), x=F.col("_cycle"))
+        met = both.where("_cycle IS NULL").groupBy("src", "reach", "x").agg(
+            F.min("dist").alias("dist"), F.max("weight").alias("weight"), F.max_by("up", F.struct("weight", "dist", F.negative("up").alias("turn"))).alias("up"),
+            F.sum(F.when(F.col("_new"), -1).otherwise(F.col("left"))).alias("left"),
             F.max(~F.col("_new")).alias("_old"), F.max("far").alias("far"), F.max("tips").alias("tips"), F.max("sinks").alias("sinks"), F.max("_new").alias("_new"),
         )
         met = met.join(info, "x").withColumn("left", F.col("left") + F.when(F.col("_old"), 0).otherwise(F.col("ins")))
-        # A vertex is put on its path when it has been reached from all sides.
-        met = met.withColumn("path", F.when(F.col("left") == 0, F.concat("path", F.array("x"))).otherwise(F.col("path")))
-        met = met.withColumn("far", F.greatest(F.max("far").over(own), F.coalesce(F.max(F.when(F.col("_new"), F.col("dist"))).over(own), zero)))
-        state, path = materialise(met.select("src", "reach", "x", "dist", "weight", "path", "left", "far", "tips", "sinks", "len", "cov", "outs"), "sweep")
-        drop_path(spark, old)
-        old = path
-        if state.isEmpty():
+        live = met.withColumn("far", F.greatest(F.max("far").over(own), F.coalesce(F.max(F.when(F.col("_new"), F.col("dist"))).over(own), zero))).withColumn("kind", F.lit("live"))
+        seen = Observation()
+        every = sinks.unionByName(passed).unionByName(cycles).unionByName(live.select(columns))
+        state, path = materialise(every.observe(seen, F.count(F.when(F.col("kind") == "live", 1)).alias("n")), "sweep")
+        tables.append(state.where("kind <> 'live'"))
+        if not seen.get["n"]:
             break
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    last = every.groupBy("src").agg(F.max_by(F.struct("sink", "dist", "path", "tips"), F.when(F.col("sink").isNotNull(), F.col("sinks"))).alias("s"), F.max("sinks").alias("sinks"), F.max("cycle").alias("cycle"))
-    ends, _ = materialise(last.select("src", "s.*", "sinks", "cycle"), "sinks")
-    met_all = seen[0]
-    for part in seen[1:]:
-        met_all = met_all.unionByName(part)
-    inside, _ = materialise(met_all, "sweep-seen")
-    for path in (info_path, arcs_path, old):
+    found = tables[0]
+    for table in tables[1:]:
+        found = found.unionByName(table)
+    found, _ = materialise(found.select("kind", "src", "x", "up", "dist", "tips", "sinks"), "sweeps")
+    sink = F.col("kind") == "sink"
+    last = found.where("kind <> 'passed'").groupBy("src").agg(
+        F.max_by(F.struct(F.col("x").alias("sink"), "dist", "tips"), F.when(sink, F.col("sinks"))).alias("s"),
+        F.coalesce(F.max(F.when(sink, F.col("sinks"))), zero).alias("sinks"), F.coalesce(F.max(F.when(F.col("kind") == "cycle", F.col("x"))), zero).cast("int").alias("cycle"),
+    )
+    for path in (info_path, arcs_path):
         drop_path(spark, path)
-    return ends, inside
+    return last.select("src", F.when(F.col("sinks") > 0, F.col("s.sink")).alias("sink"), F.when(F.col("sinks") > 0, F.col("s.dist")).alias("dist"), F.when(F.col("sinks") > 0, F.col("s.tips")).alias("tips"), "sinks", "cycle"), found.where("kind = 'passed'").select("src", "x", "up")
+
+
+def best_ways(ends: DataFrame, passed: DataFrame) -> DataFrame:
+    """``src, x, up`` of the vertices behind each source on its heaviest way to its sink, by pointer doubling."""
+    key = lambda x: F.struct("src", F.col(x).alias("x"))
+    pointers, _ = materialise(passed.select(key("x").alias("x"), key("up").alias("to")), "ways")
+    marked = ends.where("sink IS NOT NULL").select(key("sink").alias("x"))
+    kept = all_ahead(marked, follow(pointers, keep_jumps=True).jumps)
+    return kept.join(pointers, "x").select(F.col("x.src").alias("src"), F.col("x.x").alias("x"), F.col("to.x").alias("up"))
 
 
 def topological_extent(graph: AssemblyGraph, source: int, reach: int, over_tips: bool = False, through: bool = False) -> DataFrame:
@@ -273,16 +277,19 @@ def pop_bubbles(graph: AssemblyGraph, radius: int, max_removed: int = 0, protect
         if forks.isEmpty():
             return normalise(graph)
         ends, inside = sweeps(graph, forks, not protect_tips)
-        region = inside.select("src", segment_of("x").alias("seg_id")).unionByName(forks.select(F.col("v").alias("src"), segment_of("v").alias("seg_id"))).distinct()
-        first = region.groupBy("seg_id").agg(F.min("src").alias("first"))
-        late = region.join(first, "seg_id").where("src > first").select("src").distinct()
+        # A sink stays what it is, and so does a source: sweeps that only share these don't meet.
+        inner = inside.join(ends.select("src", "sink"), "src", "left").select("src", segment_of("x").alias("seg_id"), F.coalesce(F.col("x") != F.col("sink"), F.lit(True)).alias("inner"))
+        region = inner.unionByName(forks.select(F.col("v").alias("src"), segment_of("v").alias("seg_id"), F.lit(False).alias("inner"))).groupBy("src", "seg_id").agg(F.max("inner").alias("inner"))
+        first = region.groupBy("seg_id").agg(F.min("src").alias("first"), F.min(F.when(F.col("inner"), F.col("src"))).alias("first_inner"))
+        late = region.join(first, "seg_id").where("(inner AND src > first) OR src > first_inner").select("src").distinct()
         now, now_path = materialise(forks.select(F.col("v").alias("src")).join(late, "src", "left_anti"), "bubble-turn")
-        met = ends.where("sink IS NOT NULL AND cycle = 0").join(now, "src", "left_semi")
-        vertices = inside.join(met.select("src"), "src", "left_semi").select("src", "x").distinct()
-        kept = met.select("src", F.explode("path").alias("x")).where("x <> src")
+        met, met_path = materialise(ends.where("sink IS NOT NULL AND cycle = 0").join(now, "src", "left_semi"), "bubbles-met")
+        within_met = inside.join(met.select("src"), "src", "left_semi")
+        vertices = within_met.select("src", "x").distinct()
+        kept, kept_path = materialise(best_ways(met, within_met), "bubbles-kept")
         branch = kept.select("src", segment_of("x").alias("seg_id")).distinct()
         lost = vertices.select("src", segment_of("x").alias("seg_id")).distinct().join(branch, ["src", "seg_id"], "left_anti")
-        good = met.select("src", "sink", "path")
+        good = met.select("src", "sink")
         if max_removed:
             size = vertices.groupBy("src").agg(F.count(F.lit(1)).alias("n")).join(kept.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "src")
             good = good.join(size.where(F.col("n") <= F.col("k") + max_removed).select("src"), "src", "left_semi")
@@ -291,7 +298,7 @@ def pop_bubbles(graph: AssemblyGraph, radius: int, max_removed: int = 0, protect
         good, good_path = materialise(good, "bubbles")
         # Inside a bubble only the arcs along the kept branch stay.
         within = vertices.join(good.select("src", "sink"), "src").where("x <> sink").select("src", "x").unionByName(good.select("src", F.col("src").alias("x")))
-        stay = good.select("src", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("v"), F.slice("path", 2, F.size("path") - 1).alias("w"))).alias("s")).select("src", F.col("s.v").alias("v"), F.col("s.w").alias("w"))
+        stay = kept.join(good.select("src"), "src", "left_semi").select("src", F.col("up").alias("v"), F.col("x").alias("w"))
         cut = within.join(graph.arcs.select(F.col("v").alias("x"), "w"), "x").select("src", F.col("x").alias("v"), "w").join(stay, ["src", "v", "w"], "left_anti")
         cut = cut.select("v", "w").unionByName(cut.select(flip("w").alias("v"), flip("v").alias("w"))).distinct()
         gone = lost.join(good.select("src"), "src", "left_semi").select("seg_id").distinct()
@@ -299,7 +306,7 @@ def pop_bubbles(graph: AssemblyGraph, radius: int, max_removed: int = 0, protect
         graph = graph.with_arcs(materialise(less.arcs, "bubble-arcs")[0])
         graph = graph.with_segments(materialise(less.segments, "bubble-segments")[0])
         settled, _ = materialise(settled.unionByName(now), "settled")
-        for path in (forks_path, now_path, good_path):
+        for path in (forks_path, now_path, met_path, kept_path, good_path):
             drop_path(spark, path)
 
 

@@ -1,8 +1,7 @@
 """Components, reachability, strong components, sources and dominators.
 
 Reachability runs as a loop of joins from a frontier, each round written to the
-shared folder. Strong components and dominators are order-bound kernels: they
-run per connected component, one group of arcs each.
+shared folder. Strong components and dominators are in modules of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ids import flip, segment_of
+from skein.operators.dominators import dominating, dominator_tree
 from skein.operators.graph import AssemblyGraph, first_arcs
+from skein.operators.strong import strong_labels
 from skein.plans.components import connected_components
 from skein.plans.scratch import drop_path, materialise
 
@@ -124,57 +125,19 @@ def targets_by_vertex(arcs: pd.DataFrame) -> dict[int, list[int]]:
     return out
 
 
-def _scc_kernel(segments: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-    """Strong components by path-based depth-first search, numbered as they complete."""
-    out = targets_by_vertex(arcs)
-    index: dict[int, int] = {}
-    label: dict[int, int] = {}
-    open_, bounds, done = [], [], 0
-    for seg in segments["seg_id"].tolist():
-        for root in (2 * seg, 2 * seg + 1):
-            if root in index:
-                continue
-            work = [(root, iter(out.get(root, ())))]
-            index[root] = len(index)
-            open_.append(root)
-            bounds.append(index[root])
-            while work:
-                v, rest = work[-1]
-                for w in rest:
-                    if w not in index:
-                        index[w] = len(index)
-                        open_.append(w)
-                        bounds.append(index[w])
-                        work.append((w, iter(out.get(w, ()))))
-                        break
-                    if w not in label:
-                        while bounds[-1] > index[w]:
-                            bounds.pop()
-                else:
-                    work.pop()
-                    if bounds[-1] == index[v]:
-                        bounds.pop()
-                        while True:
-                            w = open_.pop()
-                            label[w] = done
-                            if w == v:
-                                break
-                        done += 1
-    rows = sorted(label.items())
-    return pd.DataFrame({"component": segments["component"].iloc[0] if len(segments) else 0, "v": [v for v, _ in rows], "scc": [c for _, c in rows]})
-
-
 def strong_components(graph: AssemblyGraph, labels: DataFrame) -> DataFrame:
-    """``component, v, scc`` of every oriented vertex; numbers are per component."""
-    return per_component(graph, labels, _scc_kernel, "component long, v long, scc long")
+    """``component, v, scc`` of every oriented vertex; ``scc`` is the least vertex of its strong component."""
+    found = strong_labels(graph.arcs.select("v", "w")).withColumnRenamed("x", "v")
+    vertices = labels.select("component", F.explode(F.array(F.shiftleft("seg_id", 1), F.shiftleft("seg_id", 1) + 1)).alias("v"))
+    return vertices.join(found, "v", "left").select("component", "v", F.coalesce("scc", "v").alias("scc"))
 
 
 def choose_sources(graph: AssemblyGraph, labels: DataFrame, by_scc: bool = True) -> DataFrame:
     """``component, seg_id``: where to start a search, on the forward strand.
 
     The strong component with the most bases times coverage (a segment counts once
-    for both strands; the earlier completed one wins ties), and in it the heaviest
-    segment (the lower id wins). Without ``by_scc``, the heaviest of all.
+    for both strands; the one with the lower least vertex wins ties), and in it the
+    heaviest segment (the lower id wins). Without ``by_scc``, the heaviest of all.
     """
     weight = (F.col("len") * F.col("cov")).alias("weight")
     weights = graph.segments.select("seg_id", weight).join(labels, "seg_id")
@@ -187,81 +150,32 @@ def choose_sources(graph: AssemblyGraph, labels: DataFrame, by_scc: bool = True)
     return weights.groupBy("component").agg(F.max_by("seg_id", F.struct("weight", (-F.col("seg_id")).alias("s"))).alias("seg_id"))
 
 
-def _dominator_kernel(source: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Dominators by iteration over reverse postorder, until nothing moves."""
-
-    def kernel(segments: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-        out = targets_by_vertex(arcs)
-        order, seen, work = [], {source}, [(source, iter(out.get(source, ())))]
-        while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w not in seen:
-                    seen.add(w)
-                    work.append((w, iter(out.get(w, ()))))
-                    break
-            else:
-                order.append(v)
-                work.pop()
-        order.reverse()
-        rank = {v: i for i, v in enumerate(order)}
-        before: dict[int, list[int]] = {}
-        for v in order:
-            for w in out.get(v, ()):
-                before.setdefault(w, []).append(v)
-        dom = {source: source}
-        moved = True
-        while moved:
-            moved = False
-            for v in order[1:]:
-                new = None
-                for u in before[v]:
-                    if u in dom:
-                        if new is None:
-                            new = u
-                        a, b = new, u
-                        while a != b:
-                            if rank[a] > rank[b]:
-                                a = dom[a]
-                            else:
-                                b = dom[b]
-                        new = a
-                if dom.get(v) != new:
-                    dom[v], moved = new, True
-        vertices = [x for s in segments["seg_id"].tolist() for x in (2 * s, 2 * s + 1)]
-        idom = [dom[v] if v in dom and v != source else None for v in vertices]
-        return pd.DataFrame({"v": vertices, "idom": pd.array(idom, dtype="Int64")})
-
-    return kernel
-
-
 def dominators(graph: AssemblyGraph, labels: DataFrame, source: int) -> DataFrame:
     """``v, idom`` in the component of ``source``; null for it and what it doesn't reach."""
     own = component_of(labels, source)
-    return per_component(restrict(graph, own), labels.join(own, "seg_id", "left_semi"), _dominator_kernel(source), "v long, idom long")
+    tree = dominator_tree(restrict(graph, own).arcs, source)
+    vertices = own.select(F.explode(F.array(F.shiftleft("seg_id", 1), F.shiftleft("seg_id", 1) + 1)).alias("v"))
+    return vertices.join(tree, "v", "left").select("v", "idom")
 
 
-def cut_points(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, source: int, target: int) -> list[int]:
-    """The vertices between which a search from ``source`` to ``target`` can be split.
+def cut_points(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, source: int, target: int) -> DataFrame:
+    """``place, v``: the vertices between which a search from ``source`` to ``target`` can be split.
 
-    From target to source: the ends, and the target's dominators with copy number 1
-    and one arc on either side. If the target cannot be reached, just the ends.
-    The chain of dominators is walked over the (one) component's table.
+    From the source (place 0) to the target: the ends, and the target's dominators with
+    copy number 1 and one arc on either side; places ascend. If the target cannot be
+    reached, just the ends.
     """
-    idom = {r["v"]: r["idom"] for r in dominators(graph, labels, source).where("idom is not null").collect()}
-    chain, at = [], idom.get(target)
-    while at is not None and at != source:
-        chain.append(at)
-        at = idom.get(at)
-    if at is None:
-        return [target, source]
     spark = graph.arcs.sparkSession
-    places = spark.createDataFrame([(i, v) for i, v in enumerate(chain)], "i long, v long")
+    chain, _ = materialise(dominating(dominators(graph, labels, source), target), "cut-points")
+    ends = spark.createDataFrame([(0, source), (1, target)], "place long, v long")
+    inner = chain.where(~F.col("v").isin(source, target)).select(F.col("depth").alias("place"), "v")
     single = graph.arcs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("v")
-    good = places.join(single, "v", "left_semi").withColumn("o", flip("v")).join(single.withColumnRenamed("v", "o"), "o", "left_semi")
-    good = good.withColumn("seg_id", segment_of("v")).join(copies.where("copy = 1").select("seg_id"), "seg_id", "left_semi")
-    kept = {r["v"] for r in good.select("v").collect()}
-    return [target, *[v for v in chain if v in kept], source]
+    good = inner.join(single, "v", "left_semi").withColumn("o", flip("v")).join(single.withColumnRenamed("v", "o"), "o", "left_semi")
+    good = good.withColumn("seg_id", segment_of("v")).join(copies.where("copy = 1").select("seg_id"), "seg_id", "left_semi").select("place", "v")
+    # The target is deeper than all its dominators.
+    last = chain.where(F.col("v") == target).select(F.col("depth").alias("_last"))
+    placed = ends.join(F.broadcast(last), F.col("v") == target, "left").select(F.coalesce(F.when(F.col("v") != source, F.col("_last")), "place").alias("place"), "v")
+    return placed.unionByName(good)
 
 
 def rank_paths(paths: DataFrame) -> DataFrame:

@@ -213,10 +213,11 @@ def find_paths(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, sourc
 def find_path_in_parts(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, source: int, target: int, max_paths: int = MAX_PATHS, min_fraction: float = 1.0) -> DataFrame:
     """Like ``find_paths`` from source to target, searched between cut points.
 
-    Every part is searched on the whole component. Without inner cut points, or if
+    Every part is searched on the whole component; the cut points, each of which takes
+    a search of its own, are listed on the driver. Without inner cut points, or if
     a part has no path, this is the plain search.
     """
-    points = cut_points(graph, labels, copies, source, target)[::-1]
+    points = [r["v"] for r in cut_points(graph, labels, copies, source, target).orderBy("place").collect()]
     spark = graph.arcs.sparkSession
     if len(points) > 2:
         parts: list[int] = []
