@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 from skein.config import Config
 from skein.plans.resolve import resolve
-from skein.sources.gfa import GfaOptions, read_gfa
+from skein.sources.fasta import read_any
+from skein.sources.gfa import GfaOptions
 from skein.sources.sinks import report_lines
 
 
@@ -55,17 +56,14 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = config_of(args)
     spark = SparkSession.builder.appName("skein").getOrCreate()
-    found = resolve(read_gfa(spark, args.file, config.gfa), config)
-    parts = [row["component"] for row in found.labels.select("component").distinct().orderBy("component").toLocalIterator()]
-    for number in parts:
-        paths = found.paths.where(found.paths["component"] == number).withColumnRenamed("path", "v")
-        copies = found.copies.where(found.copies["component"] == number)
-        lines = report_lines(number, copies, paths, found.graph, config.source, config.target)
-        if args.output:
-            lines.repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("line").write.mode("append").text(args.output)
-        else:
-            for row in lines.orderBy("part", "at").toLocalIterator():
-                print(row["line"])
+    found = resolve(read_any(spark, args.file, config.gfa), config)
+    lines = report_lines(found.copies, found.paths.withColumnRenamed("path", "v"), found.graph, config.source, config.target)
+    order = ["component", "part", "at"]
+    if args.output:
+        lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(args.output)
+    else:
+        for row in lines.orderBy(*order).toLocalIterator():
+            print(row["line"])
     return 0
 
 

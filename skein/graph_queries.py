@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import journey_queries
 from skein.functions.ids import flip, segment_of
 from skein.functions.sequences import overlap_length, overlap_query_length, reverse_complement
 from skein.operators import coverage, flow, simplify, traversal, walks
 from skein.operators import graph as g
+from skein.plans.dense import dense_index
 from skein.plans.derived import DUCK, GRAPHS, SPARK, derived_graph, table
 from skein.plans.scratch import materialise
 from skein.sources import sinks
+from skein.sources.gfa import typed_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,6 +193,13 @@ _STRONG = f"""
 , label AS (SELECT a AS seg_id, min(b) AS component FROM reach GROUP BY a)
 """
 
+# Labels spread by a hop a round; 60 rounds are far more than the widest of these graphs needs.
+_ALL_LABELS = """
+, beside AS (SELECT v // 2 AS a, w // 2 AS b FROM arc UNION SELECT seg_id, seg_id FROM seg)
+, lab AS (SELECT seg_id, seg_id AS component, 0 AS k FROM seg UNION ALL SELECT b.a, min(component), k + 1 FROM lab JOIN beside b ON b.b = seg_id WHERE k < 60 GROUP BY b.a, k + 1)
+, label AS (SELECT seg_id, component FROM lab WHERE k = 60)
+"""
+
 
 def _parts(spark, d) -> tuple[g.AssemblyGraph, DataFrame]:
     graph = _graph(spark, d, "P")
@@ -208,7 +218,7 @@ def _components(spark, d):
     return _strong_parts(spark, d)[1]
 
 
-@query("components_all_arcs")
+@query("components_all_arcs", "P", _ALL_LABELS + " SELECT seg_id, component FROM label", recursive=True)
 def _components_all(spark, d):
     return _parts(spark, d)[1]
 
@@ -265,7 +275,7 @@ def _dominators(spark, d):
 
 # Coverage
 
-_MASS = _STRONG + """
+_ESTIMATE = """
 , own AS (SELECT seg.*, component FROM seg JOIN label USING (seg_id))
 , total AS (SELECT component, sum(len) AS bases, sum(len * cov) AS mass, floor(sum(len) * 0.3) AS lim FROM own GROUP BY component)
 , hist AS (SELECT component, cov, sum(len) AS bases FROM own GROUP BY component, cov)
@@ -274,42 +284,43 @@ _MASS = _STRONG + """
 , near AS (SELECT h.component, h.cov, abs(CAST(t.mass AS DOUBLE) / h.cov / t.bases - 1.0) AS away FROM hist h JOIN total t USING (component) WHERE h.cov > 0 AND t.bases > 0)
 , rough AS (SELECT component, CAST(cov AS DOUBLE) AS rough FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY away, cov) AS turn FROM near) WHERE turn = 1)
 """
+_MASS, _ALL_MASS = _STRONG + _ESTIMATE, _ALL_LABELS + _ESTIMATE
+_AVERAGES = " SELECT t.component, coalesce(rough, 0) AS rough, lb, greatest(coalesce(rough, 0), lb, 0) AS avg FROM total t LEFT JOIN rough USING (component) JOIN low USING (component)"
+_COPY = "CAST(least(greatest(coalesce(round(own.cov / nullif(greatest(coalesce(rough, 0), lb), 0)), {0}), {0}), 10) AS INTEGER) AS copy FROM own LEFT JOIN rough USING (component) JOIN low USING (component)"
+_WEIGHTS = " SELECT component, CAST(sum(len * (1 + cov % 3)) AS BIGINT) AS bases, CAST(sum(len * cov) AS BIGINT) AS mass FROM seg JOIN label USING (seg_id) GROUP BY component"
 
 
-@query("average_coverage", "P", _MASS + " SELECT t.component, coalesce(rough, 0) AS rough, lb, greatest(coalesce(rough, 0), lb, 0) AS avg FROM total t LEFT JOIN rough USING (component) JOIN low USING (component)", recursive=True)
+@query("average_coverage", "P", _MASS + _AVERAGES, recursive=True)
 def _average_coverage(spark, d):
     graph, labels = _strong_parts(spark, d)
     return coverage.average_coverage(graph.segments.join(labels, "seg_id"))
 
 
-@query("average_coverage_all_arcs")
+@query("average_coverage_all_arcs", "P", _ALL_MASS + _AVERAGES, recursive=True)
 def _average_coverage_all(spark, d):
     graph, labels = _parts(spark, d)
     return coverage.average_coverage(graph.segments.join(labels, "seg_id"))
 
 
-@query("copy_numbers", "P", _MASS + """
-SELECT seg_id, own.component, CAST(least(greatest(coalesce(round(own.cov / nullif(greatest(coalesce(rough, 0), lb), 0)), 1), 1), 10) AS INTEGER) AS copy
-FROM own LEFT JOIN rough USING (component) JOIN low USING (component)
-""", recursive=True)
+@query("copy_numbers", "P", _MASS + " SELECT seg_id, own.component, " + _COPY.format(1), recursive=True)
 def _copy_numbers(spark, d):
     graph, labels = _strong_parts(spark, d)
     return coverage.copy_numbers(graph.segments.join(labels, "seg_id")).select("seg_id", "component", "copy")
 
 
-@query("copy_numbers_all_arcs")
+@query("copy_numbers_all_arcs", "P", _ALL_MASS + " SELECT seg_id, own.component, " + _COPY.format(1), recursive=True)
 def _copy_numbers_all(spark, d):
     graph, labels = _parts(spark, d)
     return coverage.copy_numbers(graph.segments.join(labels, "seg_id")).select("seg_id", "component", "copy")
 
 
-@query("total_weights", "P", _STRONG + " SELECT component, CAST(sum(len * (1 + cov % 3)) AS BIGINT) AS bases, CAST(sum(len * cov) AS BIGINT) AS mass FROM seg JOIN label USING (seg_id) GROUP BY component", recursive=True)
+@query("total_weights", "P", _STRONG + _WEIGHTS, recursive=True)
 def _total_weights(spark, d):
     graph, labels = _strong_parts(spark, d)
     return coverage.total_weights(graph.segments.join(labels, "seg_id"), graph.segments.select("seg_id", (1 + F.col("cov") % 3).alias("copy")))
 
 
-@query("total_weights_all_arcs")
+@query("total_weights_all_arcs", "P", _ALL_LABELS + _WEIGHTS, recursive=True)
 def _total_weights_all(spark, d):
     graph, labels = _parts(spark, d)
     return coverage.total_weights(graph.segments.join(labels, "seg_id"), graph.segments.select("seg_id", (1 + F.col("cov") % 3).alias("copy")))
@@ -322,25 +333,40 @@ def _nation_copies(spark, d):
     return graph, labels, copies
 
 
-@query("rescue_by_arcs")
+_NATION_COPIES = _ALL_MASS + ", copies0 AS (SELECT seg_id, " + _COPY.format(0) + ")"
+
+
+@query("rescue_by_arcs", "N", _NATION_COPIES + journey_queries.RESCUE, recursive=True)
 def _rescue(spark, d):
     return coverage.rescue_by_arcs(*_nation_copies(spark, d))
 
 
-@query("pick_bubbles")
+@query("pick_bubbles", "N", _NATION_COPIES + journey_queries.bubbles_sql("0"), recursive=True)
 def _bubbles(spark, d):
     return coverage.pick_bubbles(*_nation_copies(spark, d))
 
 
-@query("add_neighbours")
+@query("add_neighbours", "N", _NATION_COPIES + journey_queries.neighbours_sql(1500), recursive=True)
 def _neighbours(spark, d):
     return coverage.add_neighbours(*_nation_copies(spark, d), steps=2, below=1500)
 
 
-@query("clean_by_coverage")
+_FRACTION = 0.9
+
+
+@query("clean_by_coverage", "P", _ALL_MASS + f"""
+, tried AS (
+  SELECT c.component, c.cov AS c, sum(CASE WHEN h.cov / c.cov >= {_FRACTION} THEN h.bases ELSE 0 END) AS b, sum(CASE WHEN h.cov / c.cov >= {_FRACTION} THEN h.bases * h.cov ELSE 0 END) AS m, sum(h.bases) AS a
+  FROM hist c JOIN hist h USING (component) WHERE c.cov > 0 GROUP BY 1, 2
+)
+, allowed AS (SELECT * FROM (SELECT *, max(CASE WHEN (a - b) / a > 0.7 THEN 1 ELSE 0 END) OVER (PARTITION BY component ORDER BY c) AS stop FROM tried) WHERE stop = 0 AND b > 0)
+, found AS (SELECT component, CAST(c AS DOUBLE) AS c FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY abs(CAST(m AS DOUBLE) / c / b - 1.0), c) AS turn FROM allowed) WHERE turn = 1)
+, weak AS (SELECT seg_id FROM own JOIN low USING (component) LEFT JOIN found USING (component) WHERE own.cov / nullif(greatest(coalesce(found.c, 0), lb), 0) < {_FRACTION})
+SELECT v, w, cov FROM arc WHERE v // 2 NOT IN (SELECT seg_id FROM weak) AND w // 2 NOT IN (SELECT seg_id FROM weak)
+""", recursive=True)
 def _clean_by_coverage(spark, d):
     graph, labels = _parts(spark, d)
-    return coverage.clean_by_coverage(graph, labels, 0.9).arcs.select("v", "w", "cov")
+    return coverage.clean_by_coverage(graph, labels, _FRACTION).arcs.select("v", "w", "cov")
 
 
 # Flow
@@ -559,19 +585,73 @@ def _choose_sources(spark, d):
     return found.orderBy((F.col("len") * F.col("cov")).desc(), "seg_id").limit(1).select("seg_id")
 
 
-@query("find_paths")
+_FREE = f"NOT list_contains(path, arc.w) AND NOT list_contains(path, {DUCK.flip('arc.w')})"
+_BACK = f"list_reverse(list_transform(path, lambda x: {DUCK.flip('x')}))"
+_FIND = _ALL_LABELS + f"""
+, vertex AS (SELECT seg_id * 2 + k AS x FROM seg, (SELECT 0 AS k UNION ALL SELECT 1))
+, r AS (SELECT x AS a, x AS b FROM vertex UNION SELECT r.a, w FROM r JOIN arc ON r.b = v)
+, scc AS (SELECT p.a AS v, min(p.b) AS least FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY p.a)
+, member AS (SELECT DISTINCT component, least, seg.seg_id, len * cov AS mass FROM scc JOIN seg ON seg.seg_id = v // 2 JOIN label ON label.seg_id = seg.seg_id)
+, heavy AS (SELECT component, least FROM (SELECT component, least, row_number() OVER (PARTITION BY component ORDER BY sum(mass) DESC, least) AS turn FROM member GROUP BY component, least) WHERE turn = 1)
+, root AS (SELECT component, seg_id * 2 AS s FROM (SELECT component, seg_id, row_number() OVER (PARTITION BY component ORDER BY mass DESC, seg_id) AS turn FROM member JOIN heavy USING (component, least)) WHERE turn = 1)
+, w AS (SELECT component, [s] AS path FROM root UNION ALL SELECT component, list_append(path, arc.w) FROM w JOIN arc ON arc.v = path[-1] WHERE {_FREE})
+, back AS (
+  SELECT DISTINCT component, {_BACK} AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM arc WHERE arc.v = path[-1] AND {_FREE})
+  UNION ALL SELECT component, list_append(path, arc.w) FROM back JOIN arc ON arc.v = path[-1] WHERE {_FREE}
+)
+, both_ways AS (SELECT DISTINCT component, {_BACK} AS path FROM back WHERE NOT EXISTS (SELECT 1 FROM arc WHERE arc.v = path[-1] AND {_FREE}))
+, named AS (SELECT *, row_number() OVER (ORDER BY component, path) AS name FROM both_ways)
+, step AS (SELECT component, name, path, unnest(path) AS x, generate_subscripts(path, 1) AS pos FROM named)
+, hop AS (SELECT step.*, CASE WHEN pos = 1 THEN path[-1] ELSE path[pos - 1] END AS y FROM step)
+, gain AS (SELECT hop.component, hop.name, pos, seg.len - coalesce(arc.ls, 0) AS gain, seg.cov AS c, arc.cov AS ac FROM hop JOIN seg ON seg.seg_id = x // 2 LEFT JOIN arc ON arc.v = y AND arc.w = x)
+, measured AS (
+  SELECT component, CAST(count(*) AS INTEGER) AS nv, max(CASE WHEN pos = 1 THEN ac IS NOT NULL END) AS circ, CAST(sum(gain) AS BIGINT) AS len,
+         CAST(sum(gain * c) AS DOUBLE) AS wlen, CAST(sum(coalesce(ac, 0)) AS BIGINT) AS ec FROM gain GROUP BY component, name
+)
+, top AS (SELECT component, max(CASE WHEN circ THEN wlen END) AS c, max(CASE WHEN NOT circ THEN wlen END) AS l FROM measured GROUP BY component)
+, placed AS (SELECT measured.*, row_number() OVER (PARTITION BY component ORDER BY wlen DESC, len DESC, ec DESC, nv DESC) AS turn FROM measured JOIN top USING (component) WHERE circ = (c IS NOT NULL AND (l IS NULL OR c >= l)))
+SELECT component, nv, circ, len, wlen, ec, false AS exceeded FROM placed WHERE turn = 1
+"""
+
+
+@query("find_paths", "N", _FIND, recursive=True)
 def _find_paths(spark, d):
     graph, labels, copies = _nation_copies(spark, d)
     ones = copies.select("seg_id", F.lit(1).alias("copy"))
     return walks.find_paths(graph, labels, ones).select("component", "nv", "circ", "len", "wlen", "ec", "exceeded")
 
 
-@query("walks_over_clones")
-def _walks_over_clones(spark, d):
+# Segments 0 and 1 become two clones each, numbered behind all others.
+_CLONES = f"""
+, place AS (SELECT seg_id AS origin, i, (SELECT max(seg_id) FROM seg) + 1 + 2 * seg_id + i AS clone FROM seg, (SELECT 0 AS i UNION ALL SELECT 1) WHERE seg_id < 2
+  UNION ALL SELECT seg_id, 0, seg_id FROM seg WHERE seg_id >= 2)
+, move AS (
+  SELECT a.clone * 2 + v % 2 AS v, b.clone * 2 + w % 2 AS w, CASE WHEN b.origin < 2 THEN b.origin * 2 + w % 2 ELSE -1 - b.clone * 2 - w % 2 END AS kin
+  FROM arc JOIN place a ON v // 2 = a.origin JOIN place b ON w // 2 = b.origin
+  WHERE a.origin <> b.origin OR a.origin >= 2 OR (a.i <> b.i AND v % 2 = w % 2)
+)
+, w AS (
+  SELECT [CAST(8 AS BIGINT)] AS path
+  UNION ALL
+  SELECT list_append(path, next) FROM (
+    SELECT path, min(move.w) AS next FROM w JOIN move ON move.v = path[-1]
+    WHERE NOT list_contains(path, move.w) AND NOT list_contains(path, {DUCK.flip('move.w')}) GROUP BY path, kin
+  )
+)
+SELECT list_aggregate(list_transform(path, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS name
+FROM w WHERE NOT EXISTS (SELECT 1 FROM move WHERE move.v = path[-1] AND NOT list_contains(path, move.w) AND NOT list_contains(path, {DUCK.flip('move.w')}))
+"""
+
+
+def _cloned_types(spark, d):
     graph = _graph(spark, d, "E")
     new, origins = simplify.duplicate_by_copies(graph, graph.segments.select("seg_id", F.when(F.col("seg_id") < 2, 2).otherwise(1).alias("copy")))
-    new = g.AssemblyGraph(materialise(new.segments, "clones")[0], materialise(new.arcs, "arcs")[0])
-    return walks.walks_over_clones(new.arcs, materialise(origins, "origins")[0], 8, 50_000)
+    return g.AssemblyGraph(materialise(new.segments, "clones")[0], materialise(new.arcs, "arcs")[0]), materialise(origins, "origins")[0]
+
+
+@query("walks_over_clones", "E", _CLONES, recursive=True)
+def _walks_over_clones(spark, d):
+    return walks.walks_over_clones(*_cloned_types(spark, d), 8, max_paths=50_000).select(_name())
 
 
 # Rendering and sequences
@@ -602,6 +682,47 @@ def _overlaps(spark, d):
 ORACLE_SQL["overlap_lengths"] = "SELECT l_orderkey, l_quantity, CAST(l_quantity AS BIGINT) + l_suppkey AS own, CAST(l_quantity AS BIGINT) + l_linenumber AS other FROM lineitem"
 
 
+_TAGS = ("KC:i:%d", "XF:f:%.2f", "XA:A:%s", "XZ:Z:%s", "XB:B:i,%d,%d", "KC:i:-1", "no tag", "XN:i:%s")
+
+
+@query("typed_tags")
+def _typed_tags(spark, d):
+    """Tags of each order line, written as text and read again by their types."""
+    text = F.format_string("\t".join(_TAGS), "l_partkey", "l_extendedprice", F.substring("l_returnflag", 1, 1), "l_linestatus", F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long"), "l_returnflag")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", typed_tags(F.split(text, "\t")).alias("t"))
+    get = lambda tag, path, kind: F.try_variant_get(F.col("t")[tag], path, kind)
+    return rows.select(
+        "l_orderkey", "l_linenumber", get("KC", "$", "long").alias("kc"), get("XF", "$", "double").alias("xf"), get("XA", "$", "string").alias("xa"), get("XZ", "$", "string").alias("xz"),
+        get("XB", "$.subtype", "string").alias("subtype"), get("XB", "$.values[1]", "long").alias("second"), F.col("t")["XN"].isNull().alias("none"), F.size("t").alias("n"),
+    )
+
+
+ORACLE_SQL["typed_tags"] = """
+SELECT l_orderkey, l_linenumber, l_partkey AS kc, CAST(printf('%.2f', l_extendedprice) AS DOUBLE) AS xf, substr(l_returnflag, 1, 1) AS xa, l_linestatus AS xz,
+       'i' AS subtype, CAST(trunc(l_quantity) AS BIGINT) AS second, true AS none, 6 AS n FROM lineitem
+"""
+
+_BASES = "rpad(upper(seg.name), CAST(seg.len AS INTEGER), 'ACGT')"
+
+
+@query("path_pieces", "N", _WALKS + f"""
+, part AS (
+  SELECT hop.name, hop.pos, substr(CASE WHEN hop.x % 2 = 1 THEN reverse(translate({_BASES}, 'ACGTUBVDHKMRYSWN', 'TGCAAVBHDMKYRSWN')) ELSE {_BASES} END, CAST(coalesce(arc.ls, 0) AS INTEGER) + 1) AS bases
+  FROM hop JOIN seg ON seg.seg_id = x // 2 LEFT JOIN arc ON arc.v = y AND arc.w = x
+)
+, whole AS (SELECT name, string_agg(bases, '' ORDER BY pos) AS seq FROM part GROUP BY name)
+, cut AS (SELECT name, seq, unnest(generate_series(0, (length(seq) - 1) // 1000)) AS piece FROM whole)
+SELECT name, piece, piece * 1000 AS start, substr(seq, CAST(piece * 1000 + 1 AS INTEGER), 1000) AS seq FROM cut
+""", recursive=True)
+def _path_pieces(spark, d):
+    """The sequences along all walks in pieces of 1,000 bases; nations have their names, filled up."""
+    graph, found = _nation_walks(spark, d)
+    named = graph.with_segments(graph.segments.withColumn("seq", F.rpad(F.upper("name"), F.col("len").cast("int"), F.lit("ACGT"))))
+    paths, _ = materialise(dense_index(found.select("path", "circ"), ["path"], "path_id"), "paths")
+    pieces = sinks.path_pieces(paths.select("path_id", "circ", F.col("path").alias("v")), named, piece=1000)
+    return pieces.join(paths.select("path_id", _name()), "path_id").select("name", "piece", "start", "seq")
+
+
 @query("complement_arcs", "E", f" SELECT {FLIP_W} AS v, {FLIP_V} AS w, cov FROM arc")
 def _complement(spark, d):
     return g.complement(derived_graph(spark, d, "E").arcs).select("v", "w", "cov")
@@ -620,3 +741,7 @@ def _open_ends_all(spark, d):
 @query("flip_ids", "E", f" SELECT v, {FLIP_V} AS other, v // 2 AS seg_id FROM arc")
 def _flip_ids(spark, d):
     return derived_graph(spark, d, "E").arcs.select("v", flip("v").alias("other"), segment_of("v").alias("seg_id"))
+
+
+QUERIES |= journey_queries.QUERIES
+ORACLE_SQL |= journey_queries.ORACLE_SQL

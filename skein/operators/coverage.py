@@ -192,7 +192,7 @@ def total_weights(segments: DataFrame, copies: DataFrame) -> DataFrame:
     return rows.groupBy("component").agg(F.sum(F.col("len") * F.col("copy")).alias("bases"), F.sum(F.col("len") * F.col("cov")).alias("mass"))
 
 
-def clean_by_coverage(graph: AssemblyGraph, labels: DataFrame, min_fraction: float, max_copy: int = 10) -> AssemblyGraph:
+def clean_by_coverage(graph: AssemblyGraph, labels: DataFrame, min_fraction: float) -> AssemblyGraph:
     """Drop segments whose coverage is under ``min_fraction`` of their component's average."""
     segments = graph.segments.join(labels, "seg_id")
     averages = average_coverage(segments, min_fraction)

@@ -3,7 +3,8 @@
 Links that must carry equal flow form groups. A fit gives every group an integer
 so that what flows in and out of a segment agrees with its coverage. Small search
 spaces are gone through in full, in vectorised blocks; larger ones by annealing.
-A component is one group.
+A component is one group, unless it is large: then groups of links
+that share no segment move at once, by joins.
 """
 
 from __future__ import annotations
@@ -12,20 +13,24 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.ids import flip
+from skein.functions.ids import flip, segment_of
 from skein.operators.coverage import lower_bound
 from skein.operators.graph import AssemblyGraph
 from skein.operators.traversal import arcs_with_component, per_component
 from skein.plans.components import connected_components, least_roots
+from skein.plans.scratch import materialise
 
 ROUNDS = 10
 FULL_SEARCH = 100_000_000
 NEAR = 1.1920929e-07
 _BLOCK = 1 << 14
 SEED = 1234
+LINKS_IN_TASK = 20_000
+#: Costs are compared as whole millionths, so that sums don't depend on the order of rows.
+MILLIONTHS = 1_000_000
 
 
 def arc_groups(segments: pd.DataFrame, arcs: pd.DataFrame) -> dict[int, int]:
@@ -187,17 +192,108 @@ def _kernel(max_copy: int, rounds: int, full_search: int):
     return run
 
 
-def adjust_copies(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, max_copy: int = 10, rounds: int = ROUNDS, full_search: int = FULL_SEARCH) -> DataFrame:
+def _term(out: Column, into: Column) -> Column:
+    """A segment's part of the cost (see ``_Objective``) with these flows."""
+    expected = F.col("cov") / F.col("avg")
+    return F.col("weight") * (F.abs(expected - out) / 2 + F.abs(expected - into) / 2 + F.abs(out - into))
+
+
+def _moves(uses: DataFrame, segments: DataFrame, state: DataFrame) -> DataFrame:
+    """``grp, step``: steps of one that lower the cost most, of groups without a common segment.
+
+    Groups that share segments are coloured by their gains: one moves if none that it
+    shares a segment with gains more (of equal gains, the lower group goes). So moves of
+    a round don't touch each other, and the best of all is among them.
+    """
+    flows = uses.join(state, "grp").groupBy("seg_id").agg(F.sum(F.col("n_out") * F.col("value")).alias("out"), F.sum(F.col("n_in") * F.col("value")).alias("into"))
+    held = segments.join(flows, "seg_id", "left").na.fill(0, ["out", "into"])
+    rows = uses.join(state, "grp").join(held, "seg_id").withColumn("step", F.explode(F.array(F.lit(1), F.lit(-1))))
+    after = F.col("value") + F.col("step")
+    gain = _term(F.col("out") + F.col("step") * F.col("n_out"), F.col("into") + F.col("step") * F.col("n_in")) - _term(F.col("out"), F.col("into"))
+    sums = rows.where((after >= 0) & (after <= F.col("upper"))).groupBy("grp", "step").agg(F.sum(F.round(gain * MILLIONTHS).cast("long")).alias("gain"))
+    wanted = sums.where("gain < 0").groupBy("grp").agg(F.min(F.struct("gain", "step")).alias("m")).select("grp", F.struct("m.gain", "grp").alias("turn"), "m.step")
+    wanted, _ = materialise(wanted, "flow-moves")
+    near = uses.join(wanted, "grp")
+    first = near.groupBy("seg_id").agg(F.min("turn").alias("first"))
+    late = near.join(first, "seg_id").where("turn > first").select("grp").distinct()
+    return wanted.join(late, "grp", "left_anti").select("grp", "step")
+
+
+def fit_by_moves(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, max_copy: int = 10, rounds: int = ROUNDS) -> DataFrame:
+    """``seg_id, copy, avg`` like ``adjust_copies``, for components of any size.
+
+    Flows start at nothing, and in each step all groups that can lower the cost by one
+    up or down, and that share no segment, do so at once, until none can: joins over the
+    groups' segments, without a task that holds a component. It ends in a cost that no
+    single group can lower, which need not be the least of all.
+    """
+    bounds = lower_bound(graph.segments.join(labels, "seg_id"))
+    own = graph.segments.select("seg_id", "len", "cov").join(labels, "seg_id").join(copies.select("seg_id", "copy", "avg"), "seg_id").join(bounds, "component").where("avg > 0")
+    own, _ = materialise(own, "flow-segments")
+    groups = link_groups(graph, labels).select("link_id", "grp")
+    ends = graph.arcs.select("link_id", "v", "w", segment_of("v").alias("seg_id"), segment_of("w").alias("other")).join(groups, "link_id")
+    copy_of = lambda c: own.select(F.col("seg_id").alias(c), F.col("copy").alias(f"{c}_copy"))
+    most = ends.join(copy_of("seg_id"), "seg_id").join(copy_of("other"), "other")
+    upper = most.groupBy("grp").agg(F.max(F.least(F.floor(F.greatest("seg_id_copy", "other_copy") * 4 / 3).cast("int") + 1, F.lit(max_copy))).alias("upper"))
+    side = F.col("v").bitwiseAND(F.lit(1).cast("long"))
+    uses = ends.join(own.select("seg_id"), "seg_id", "left_semi").groupBy("grp", "seg_id").agg(F.count_if(side == 0).alias("n_out"), F.count_if(side == 1).alias("n_in")).join(upper, "grp")
+    uses, _ = materialise(uses, "flow-uses")
+    linked = uses.select("seg_id").distinct().withColumn("linked", F.lit(1))
+    weight = F.when(F.col("linked") == 1, F.log10(F.greatest(F.lit(1), "len").cast("double"))).otherwise(0.0).alias("weight")
+    segments = own.join(linked, "seg_id", "left").select("seg_id", "component", "len", "cov", "copy", "avg", "lb", weight)
+    segments, _ = materialise(segments, "flow-segments")
+    state, _ = materialise(uses.select("grp").distinct().withColumn("value", F.lit(0).cast("long")), "flow")
+    best = segments.groupBy("component").agg(F.sum(F.round(_term(F.lit(0), F.lit(0)) * MILLIONTHS).cast("long")).alias("best"))
+    live, _ = materialise(best, "flow-costs")
+    for _ in range(rounds):
+        going = segments.join(live.select("component"), "component", "left_semi")
+        while True:
+            moves, _ = materialise(_moves(uses.join(going.select("seg_id"), "seg_id", "left_semi"), going, state), "flow-moves")
+            if moves.isEmpty():
+                break
+            state, _ = materialise(state.join(moves, "grp", "left").select("grp", (F.col("value") + F.coalesce("step", F.lit(0))).alias("value")), "flow")
+        flows = uses.join(state, "grp").groupBy("seg_id").agg(F.sum(F.col("n_out") * F.col("value")).alias("out"), F.sum(F.col("n_in") * F.col("value")).alias("into"))
+        held = segments.join(flows, "seg_id", "left").na.fill(0, ["out", "into"])
+        through = F.col("out") + F.col("into")
+        sums = held.groupBy("component").agg(
+            F.sum(F.round(_term(F.col("out"), F.col("into")) * MILLIONTHS).cast("long")).alias("cost"), F.sum(F.col("len") * through / 2).alias("bases"),
+            F.sum(F.when(through > 0, F.col("len") * F.col("cov")).otherwise(0)).alias("mass"), F.first("lb").alias("lb"), F.first("avg").alias("was"),
+        )
+        new = F.greatest(F.col("mass") / F.col("bases"), "lb")
+        better = sums.join(live, "component").where("cost < best AND bases > 0").withColumn("new", new).where(F.abs(F.col("new") - F.col("was")) >= NEAR)
+        live, _ = materialise(better.select("component", F.col("cost").alias("best"), "new"), "flow-costs")
+        if live.isEmpty():
+            break
+        fitted = held.join(live.select("component", "new"), "component", "left")
+        agreed = F.col("new").isNotNull() & (F.col("out") == F.col("into"))
+        fitted = fitted.withColumn("copy", F.when(agreed, F.col("out").cast("int")).otherwise(F.col("copy"))).withColumn("avg", F.coalesce("new", "avg"))
+        segments, _ = materialise(fitted.select(segments.columns), "flow-segments")
+        live = live.select("component", "best")
+    fitted = segments.select("seg_id", F.col("copy").alias("_c"), F.col("avg").alias("_a"))
+    rest = copies.select("seg_id", "copy", "avg").join(labels.select("seg_id"), "seg_id").join(fitted, "seg_id", "left")
+    return rest.select("seg_id", F.coalesce("_c", "copy").cast("int").alias("copy"), F.coalesce("_a", "avg").alias("avg"))
+
+
+def adjust_copies(
+    graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, max_copy: int = 10, rounds: int = ROUNDS, full_search: int = FULL_SEARCH, links_in_task: int = LINKS_IN_TASK
+) -> DataFrame:
     """``seg_id, copy, avg``: copies (seg_id, copy, avg) refitted to the layout.
 
     A segment's copy number changes where in- and outflow agree. Rounds end when the
     cost no longer falls or the average has settled (that round is not applied).
-    Above ``full_search`` assignments the search is annealing, seeded, so repeated
-    runs agree.
+    Components of up to ``links_in_task`` links are gone through in a task each: in full,
+    or above ``full_search`` assignments by annealing, seeded, so that repeated runs
+    agree. Larger ones are fitted by moves over many tasks (``fit_by_moves``).
     """
-    bounds = lower_bound(graph.segments.join(labels, "seg_id"))
-    extra = copies.select("seg_id", "copy", "avg").join(labels, "seg_id").join(bounds, "component").select("seg_id", "copy", "avg", "lb")
-    return per_component(graph, labels, _kernel(max_copy, rounds, full_search), "seg_id long, copy int, avg double", extra)
+    sizes = arcs_with_component(graph, labels).groupBy("component").agg(F.countDistinct("link_id").alias("n"))
+    large, _ = materialise(labels.join(sizes.where(F.col("n") > links_in_task).select("component"), "component", "left_semi").select(labels.columns), "large-components")
+    small = labels.join(large.select("seg_id"), "seg_id", "left_anti")
+    bounds = lower_bound(graph.segments.join(small, "seg_id"))
+    extra = copies.select("seg_id", "copy", "avg").join(small, "seg_id").join(bounds, "component").select("seg_id", "copy", "avg", "lb")
+    fitted = per_component(graph, small, _kernel(max_copy, rounds, full_search), "seg_id long, copy int, avg double", extra)
+    if large.isEmpty():
+        return fitted
+    return fitted.unionByName(fit_by_moves(graph, large, copies, max_copy, rounds))
 
 
 def link_groups(graph: AssemblyGraph, labels: DataFrame) -> DataFrame:

@@ -311,9 +311,10 @@ def pop_bubbles(graph: AssemblyGraph, radius: int, max_removed: int = 0, protect
 
 
 def duplicate_by_copies(graph: AssemblyGraph, copies: DataFrame, drop_unused: bool = False) -> tuple[AssemblyGraph, DataFrame]:
-    """Replace every segment of copy number n > 1 by n clones; also ``seg_id, origin``.
+    """Replace every segment of copy number n > 1 by n clones; also ``seg_id, origin, vertex_cov``.
 
-    A clone is named ``<name>_copy<i>`` and keeps its coverage; arcs are cloned with
+    A clone is named ``<name>_copy<i>`` and keeps its segment's coverage; as a vertex, it has
+    its share of it, ``vertex_cov`` (rounded down); arcs are cloned with
     either end, and their coverage is divided by the copies (rounded down), at one
     end and then at the other. An arc from a segment to itself joins all ordered
     pairs of its different clones; a hairpin goes. With ``drop_unused`` segments of
@@ -338,7 +339,7 @@ def duplicate_by_copies(graph: AssemblyGraph, copies: DataFrame, drop_unused: bo
     looped = F.col("own") & (F.col("n_v") > 1)
     hairpin = F.col("v").bitwiseAND(F.lit(1).cast("long")) != F.col("w").bitwiseAND(F.lit(1).cast("long"))
     rows = rows.where(~looped | ((F.col("i_v") != F.col("i_w")) & ~hairpin))
-    origins = table.where("n > 1").select(F.col("clone").alias("seg_id"), F.col("seg_id").alias("origin"))
+    origins = table.where("n > 1").select(F.col("clone").alias("seg_id"), F.col("seg_id").alias("origin"), F.floor(F.col("cov") / F.col("n")).alias("vertex_cov"))
     return normalise(AssemblyGraph(segments, rows.select("v", "w", "ln", "ls", "cov"))), origins
 
 

@@ -3,27 +3,25 @@
 A walk may enter a segment, on either strand, as often as its copy number says;
 its start counts as entered once in any case. Maximal walks cannot be extended.
 
-``enumerate_walks`` grows all walks at once, a round of joins for each step: the
-form for large graphs and many sources. ``search_walks`` goes depth-first within
-a component, in the order of vertex ids, so that a limit cuts off the same walks
-every time.
+Walks grow all at once, a join for each step. ``search_walks`` has a limit, which cuts
+in the order of vertex ids as a depth-first search would: a walk behind as many others
+as the limit allows, each of which will end as a walk at least, can be left at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ids import flip, segment_of
 from skein.operators.graph import AssemblyGraph, first_arcs
-from skein.operators.traversal import arcs_with_component, choose_sources, component_of, cut_points, targets_by_vertex
+from skein.operators.traversal import choose_sources, component_of, cut_points
 from skein.plans.dense import dense_index
 from skein.plans.scratch import materialise
 
 MAX_PATHS = 10_000_000
+STEPS_AT_ONCE = 4
+FEW_WALKS = 100_000
 EPSILON = 2.220446049250313e-16
 
 
@@ -60,89 +58,129 @@ def enumerate_walks(arcs: DataFrame, copies: DataFrame, starts: DataFrame, targe
     return out
 
 
-def _depth_first(out: dict[int, list[int]], copy: dict[int, int], prefix: list[int], target: int | None, limit: int, count: int) -> Iterator[list[int]]:
-    """Maximal extensions of ``prefix`` in the order of ids, while fewer than ``limit`` have come."""
-    visits: dict[int, int] = {}
-    for v in prefix:
-        visits[v >> 1] = visits.get(v >> 1, 0) + 1
-    path = list(prefix)
-    work: list[tuple[Iterator[int], list[bool]]] = []
-
-    def choices(v: int) -> Iterator[int]:
-        if target is not None and v == target and visits.get(v >> 1, 0) >= copy.get(v >> 1, 0):
-            return iter(())
-        return iter(out.get(v, ()))
-
-    work.append((choices(path[-1]), [False]))
-    while work:
-        if count >= limit:
-            return
-        rest, grew = work[-1]
-        for w in rest:
-            if visits.get(w >> 1, 0) < copy.get(w >> 1, 0):
-                grew[0] = True
-                visits[w >> 1] = visits.get(w >> 1, 0) + 1
-                path.append(w)
-                work.append((choices(w), [False]))
-                break
-        else:
-            if not grew[0]:
-                count += 1
-                yield list(path)
-            work.pop()
-            if work:
-                visits[path.pop() >> 1] -= 1
+def _choices(arcs: DataFrame, copies: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """``v, on``: for each vertex its targets in order, with their copies and what they are clones of (``w, copy, kin``)."""
+    rows = arcs.select("v", "w").withColumn("seg_id", segment_of("w")).join(copies.select("seg_id", "copy"), "seg_id")
+    if alike is not None:
+        rows = rows.join(alike.select("seg_id", "origin"), "seg_id", "left")
+    else:
+        rows = rows.withColumn("origin", F.lit(None).cast("long"))
+    strand = F.col("w").bitwiseAND(F.lit(1).cast("long"))
+    kin = (2 * F.col("origin") + strand).alias("kin")
+    return rows.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("w", F.col("copy").cast("int").alias("copy"), kin))).alias("on"))
+
+
+def _step(rows: DataFrame, choices: DataFrame, target: int | None, own_copy: int | None) -> DataFrame:
+    """Every open walk with each vertex that it can enter next; one that can enter none is done."""
+    used = lambda seg: F.size(F.filter("path", lambda x: F.shiftright(x, 1) == seg))
+    free = F.filter("on", lambda c: used(F.shiftright(c["w"], 1)) < c["copy"])
+    # Of free clones of one segment, which are alike, only the first is entered.
+    own = F.filter("free", lambda c, i: c["kin"].isNull() | ~F.exists(F.slice("free", F.lit(1), i), lambda b: b["kin"].eqNullSafe(c["kin"])))
+    # Walks that are done find no choices; keys that no vertex has spread them over the join.
+    nowhere = -1 - F.pmod(F.xxhash64("path"), F.lit(1_000))
+    going = rows.withColumn("v", F.when(F.col("done"), nowhere).otherwise(F.element_at("path", -1))).join(choices, "v", "left").drop("v")
+    if target is not None and own_copy is not None:
+        full = (F.element_at("path", -1) == target) & (used(F.lit(target >> 1)) >= own_copy)
+        going = going.withColumn("on", F.when(~full, F.col("on")))
+    grown = going.withColumn("free", F.coalesce(free, F.array().cast("array<struct<w:bigint,copy:int,kin:bigint>>"))).withColumn("c", F.explode_outer(own))
+    ended = F.col("c").isNull()
+    return grown.select("component", "base", F.when(ended, F.col("path")).otherwise(F.concat("path", F.array("c.w"))).alias("path"), ended.alias("done"))
+
+
+def _first_of(walks: DataFrame, limits: DataFrame) -> DataFrame:
+    """The first ``limit`` walks of each component, by base and then by vertex ids."""
+    placed = dense_index(walks, ["component", "base", "path"], "_n")
+    placed, _ = materialise(placed, "walks")
+    starts = placed.groupBy("component").agg(F.min("_n").alias("_first"))
+    return placed.join(starts.join(limits, "component"), "component").where(F.col("_n") - F.col("_first") < F.col("limit")).select(walks.columns)
+
+
+def grow_walks(starts: DataFrame, choices: DataFrame, limits: DataFrame, target: int | None = None, own_copy: int | None = None) -> DataFrame:
+    """``component, base, path``: the maximal walks that go on from ``starts`` (the same columns), in no order.
+
+    Of each component's walks the first ``limit`` (``limits``: component, limit) by base and
+    then by vertex ids come back. Each open walk has at least one maximal walk
+    behind it, so one that stands behind ``limit`` others, open or done, can be left: all
+    that is kept at any time is a table of about as many rows, wherever the limit cuts.
+    """
+    spark = starts.sparkSession
+    least = limits.agg(F.min("limit").alias("n")).first()["n"] or 0
+    open_, path = materialise(starts.select("component", "base", "path", F.lit(False).alias("done")), "walks")
+    ended: list[DataFrame] = []
+    n_ended, n_open = 0, 1
+    while True:
+        rows = open_
+        # While there are few, several steps make one job.
+        for _ in range(STEPS_AT_ONCE if n_open <= FEW_WALKS else 1):
+            rows = _step(rows, choices, target, own_copy)
+        seen = Observation()
+        table, new_path = materialise(rows.observe(seen, F.count(F.when(F.col("done"), 1)).alias("done"), F.count(F.when(~F.col("done"), 1)).alias("open")), "walks")
+        ended.append(table.where("done"))
+        n_ended, n_open = n_ended + seen.get["done"], seen.get["open"]
+        open_, path = table.where("NOT done"), new_path
+        if n_ended + n_open > least:
+            every = ended[0]
+            for part in ended[1:]:
+                every = every.unionByName(part)
+            kept, path = materialise(_first_of(every.unionByName(open_), limits), "walks")
+            ended, open_ = [kept.where("done")], kept.where("NOT done")
+            n_open = open_.count()
+            n_ended = kept.count() - n_open
+        if not n_open:
+            break
+    every = ended[0]
+    for part in ended[1:]:
+        every = every.unionByName(part)
+    return every.select("component", "base", "path")
+
 
+def _by_weight(walks: DataFrame, graph: AssemblyGraph) -> DataFrame:
+    """``component, base, path``: walks numbered from the heaviest of each component, equal ones by vertex ids."""
+    numbered, _ = materialise(dense_index(walks.select("component", "path"), ["component", "path"], "_id"), "walks")
+    steps = numbered.select("_id", F.col("path").alias("_p"), F.posexplode("path").alias("at", "w")).withColumn("v", F.when(F.col("at") > 0, F.get("_p", F.col("at") - 1))).drop("_p")
+    steps = steps.join(first_arcs(graph.arcs).select("v", "w", "ls"), ["v", "w"], "left").withColumn("seg_id", segment_of("w")).join(graph.segments.select("seg_id", "len", "cov"), "seg_id")
+    weights = steps.groupBy("_id").agg(F.sum(F.col("cov") * (F.col("len") - F.coalesce("ls", F.lit(0)))).alias("_less"))
+    return dense_index(numbered.join(weights, "_id").withColumn("_less", -F.col("_less")), ["component", "_less", "path"], "base").select("component", "base", "path")
 
-def search_walks(graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, sources: DataFrame, target: int | None = None, max_paths: int = MAX_PATHS, both_ways: bool = True) -> DataFrame:
-    """``component, turn, path, exceeded``: depth-first walks from ``sources`` (component, v).
+
+def search_walks(
+    graph: AssemblyGraph, labels: DataFrame, copies: DataFrame, sources: DataFrame, target: int | None = None, max_paths: int = MAX_PATHS,
+    both_ways: bool = True, alike: DataFrame | None = None,
+) -> DataFrame:
+    """``component, turn, path, exceeded``: the walks from ``sources`` (component, v) in the order of vertex ids.
 
     With ``both_ways`` every walk is then read from its other end and extended
     there too, the heaviest first (equal ones in the order of ids), up to twice the
-    limit. Reaching a limit exactly counts as exceeding it; what was found by then
-    is returned.
+    limit. Reaching a limit exactly counts as exceeding it; what comes first up to
+    then is returned. Of segments that ``alike`` (seg_id, origin) names clones of one
+    origin, a walk enters the first free one only.
     """
-    table = graph.segments.select("seg_id", "len", "cov").join(labels, "seg_id").join(copies.select("seg_id", "copy"), "seg_id", "left")
-    table = table.join(sources.select("component", F.col("v").alias("source")), "component")
-    # A column of its own: both sides of a cogroup must not share one.
-    arcs = arcs_with_component(graph, labels).withColumn("component", F.col("component") + 0)
-
-    def kernel(s: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        columns = ["component", "turn", "path", "exceeded"]
-        if not len(s):
-            return pd.DataFrame(columns=columns)
-        a = a.sort_values(["v", "w", "ls", "cov", "link_id"], ignore_index=True)
-        out = targets_by_vertex(a)
-        overlap: dict[tuple[int, int], int] = {}
-        for v, w, ls in zip(a["v"].tolist(), a["w"].tolist(), a["ls"].tolist()):
-            overlap.setdefault((v, w), ls)
-        copy = dict(zip(s["seg_id"].tolist(), s["copy"].fillna(0).astype(int).tolist()))
-        size = dict(zip(s["seg_id"].tolist(), zip(s["len"].tolist(), s["cov"].tolist())))
-        found = list(_depth_first(out, copy, [int(s["source"].iloc[0])], target, max_paths, 0))
-        exceeded = len(found) >= max_paths
-        if both_ways and not exceeded:
-
-            def weight(path: list[int]) -> float:
-                total = float(size[path[0] >> 1][0] * size[path[0] >> 1][1])
-                for v, w in zip(path, path[1:]):
-                    total += float(size[w >> 1][1] * (size[w >> 1][0] - overlap[v, w]))
-                return total
-
-            again: list[list[int]] = []
-            # The first pass's walks count towards the limit.
-            start, limit = len(found), 2 * max_paths
-            back = None if target is None else target ^ 1
-            for path in sorted(found, key=lambda p: (-weight(p), p)):
-                flipped = [v ^ 1 for v in reversed(path)]
-                for longer in _depth_first(out, copy, flipped, back, limit, start + len(again)):
-                    again.append([v ^ 1 for v in reversed(longer)])
-                if start + len(again) >= limit:
-                    exceeded = True
-                    break
-            found = again
-        return pd.DataFrame({"component": int(s["component"].iloc[0]), "turn": range(len(found)), "path": found, "exceeded": exceeded}, columns=columns)
-
-    return table.groupBy("component").cogroup(arcs.groupBy("component")).applyInPandas(kernel, "component long, turn long, path array<long>, exceeded boolean")
+    inside = labels.join(sources.select("component").distinct(), "component", "left_semi")
+    arcs = graph.arcs.withColumn("seg_id", segment_of("v")).join(inside.select("seg_id"), "seg_id", "left_semi").select("v", "w")
+    choices, _ = materialise(_choices(arcs, copies, alike), "choices")
+    own = lambda v: None if v is None else (copies.where(F.col("seg_id") == v >> 1).select("copy").first() or [None])[0]
+    limits = sources.select("component", F.lit(max_paths).cast("long").alias("limit")).distinct()
+    starts = sources.select("component", F.lit(0).cast("long").alias("base"), F.array(F.col("v").cast("long")).alias("path"))
+    found, _ = materialise(grow_walks(starts, choices, limits, target, own(target)), "walks")
+    counts, _ = materialise(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "walk-counts")
+    over = counts.select("component", (F.col("n") >= max_paths).alias("exceeded"))
+    if both_ways:
+        # The first pass's walks count towards the limit.
+        rest = counts.where(F.col("n") < max_paths).select("component", (2 * max_paths - F.col("n")).alias("limit"))
+        again = _by_weight(found.join(rest.select("component"), "component", "left_semi"), graph)
+        back = None if target is None else target ^ 1
+        longer = grow_walks(flip_walks(again), choices, rest, back, own(back))
+        # The order is that of the walks as they were extended.
+        longer, _ = materialise(longer.select("component", "base", F.reverse(F.transform("path", flip)).alias("path"), F.col("path").alias("_read")), "walks")
+        full = longer.groupBy("component").agg(F.count(F.lit(1)).alias("m")).join(rest, "component").select("component", (F.col("m") >= F.col("limit")).alias("_full"))
+        kept = found.join(over.where("exceeded").select("component"), "component", "left_semi").select("component", "base", "path", F.col("path").alias("_read"))
+        found = longer.unionByName(kept)
+        over = over.join(full, "component", "left").select("component", (F.col("exceeded") | F.coalesce("_full", F.lit(False))).alias("exceeded"))
+    else:
+        found = found.withColumn("_read", F.col("path"))
+    turns, _ = materialise(dense_index(found, ["component", "base", "_read"], "_n"), "walks")
+    first = turns.groupBy("component").agg(F.min("_n").alias("_first"))
+    return turns.join(first, "component").join(over, "component").select("component", (F.col("_n") - F.col("_first")).alias("turn"), "path", "exceeded")
 
 
 def clip_to_target(walks: DataFrame, target: int) -> DataFrame:
@@ -233,36 +271,25 @@ def find_path_in_parts(graph: AssemblyGraph, labels: DataFrame, copies: DataFram
     return find_paths(graph, labels, copies, source, target, max_paths, min_fraction)
 
 
-def walks_over_clones(arcs: DataFrame, clones: DataFrame, start: int, max_paths: int = MAX_PATHS) -> DataFrame:
-    """``path``: maximal walks that use no segment twice, over a graph with clones.
+def walks_over_clones(graph: AssemblyGraph, clones: DataFrame, start: int, target: int | None = None, max_paths: int = MAX_PATHS, both_ways: bool = False) -> DataFrame:
+    """``turn, path, exceeded``: maximal walks that use no segment twice, over a graph with clones.
 
     ``clones`` (seg_id, origin) names what a clone was made from. Clones of one
-    segment are alike, so from a walk only the first free one is entered. Past
-    ``max_paths`` open walks there is no result.
+    segment are alike, so from a walk only the first free one is entered. With a
+    ``target``, walks end there and are cut to it. The limit cuts in the order of vertex ids.
     """
-    names = clones.select(F.shiftleft("seg_id", 1).alias("w"), "origin").unionByName(clones.select((F.shiftleft("seg_id", 1) + 1).alias("w"), (-F.col("origin") - 1).alias("origin")))
-    steps, _ = materialise(arcs.select("v", "w").distinct().join(names, "w", "left").select(F.col("v").alias("_v"), "w", F.coalesce("origin", F.lit(None).cast("long")).alias("origin")), "steps")
-    spark = arcs.sparkSession
-    open_, path = materialise(spark.range(1).select(F.array(F.lit(start).cast("long")).alias("path")), "walks")
-    ended: list[DataFrame] = []
-    while True:
-        tried = open_.withColumn("_last", F.element_at("path", -1)).join(steps, F.col("_last") == F.col("_v"), "left")
-        free = F.col("w").isNotNull() & ~F.exists("path", lambda x: F.shiftright(x, 1) == segment_of("w"))
-        tried = tried.withColumn("_ok", F.coalesce(free, F.lit(False)))
-        alike = Window.partitionBy("path", F.when(F.col("origin").isNull(), F.concat(F.lit("w"), "w")).otherwise(F.concat(F.lit("o"), "origin"))).orderBy("w")
-        first = tried.where("_ok").withColumn("_turn", F.row_number().over(alike)).where("_turn = 1")
-        ended.append(tried.groupBy("path").agg(F.max("_ok").alias("_any")).where("not _any").select("path"))
-        grown, path = materialise(first.select(F.concat("path", F.array("w")).alias("path")), "walks")
-        n = grown.count()
-        if n > max_paths:
-            return open_.limit(0)
-        if not n:
-            break
-        open_ = grown
-    out = ended[0]
-    for part in ended[1:]:
-        out = out.unionByName(part)
-    return out
+    labels = graph.segments.select("seg_id", F.lit(0).cast("long").alias("component"))
+    sources = graph.arcs.sparkSession.range(1).select(F.lit(0).cast("long").alias("component"), F.lit(start).cast("long").alias("v"))
+    ones = graph.segments.select("seg_id", F.lit(1).alias("copy"))
+    found = search_walks(graph, labels, ones, sources, target, max_paths, both_ways, clones)
+    found = found if target is None else clip_to_target(found, target)
+    return found.select("turn", "path", "exceeded")
+
+
+def best_over_clones(graph: AssemblyGraph, clones: DataFrame, start: int, target: int | None = None, max_paths: int = MAX_PATHS, min_fraction: float = 1.0) -> DataFrame:
+    """The best walk over clones, read both ways, with its measures (see ``choose_path``)."""
+    found, _ = materialise(walks_over_clones(graph, clones, start, target, max_paths, both_ways=True).withColumn("component", F.lit(0).cast("long")), "searched")
+    return choose_path(measure(found, graph, ["component", "turn"]), min_fraction)
 
 
 def paths_from_strings(strings: DataFrame, graph: AssemblyGraph) -> DataFrame:
@@ -289,10 +316,3 @@ def covered_share(paths: DataFrame, segments: DataFrame, total: int | None = Non
 def flip_walks(walks: DataFrame) -> DataFrame:
     """Every walk read from its other end."""
     return walks.withColumn("path", F.reverse(F.transform("path", flip)))
-
-
-def numbered(walks: DataFrame) -> DataFrame:
-    """Walks with ``turn``, their place in the order of vertex ids."""
-    return dense_index(walks, ["path"], "turn")
-
-

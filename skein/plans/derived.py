@@ -2,7 +2,9 @@
 
 ``N``: nations as segments; each nation's two strongest supplier-to-customer flows
 as links. ``P``: parts as segments; successive lines of an order as links. ``E``:
-event types as segments; a user's successive events as links. The dialects differ
+event types as segments; a user's successive events as links. ``J``: events as segments
+of their user's journey, which has chains, bubbles (an event behind a signup stands beside
+it) and dead ends (errors hang off the event before). The dialects differ
 in exclusive or and integer division, which ``Dialect`` spells.
 """
 
@@ -87,7 +89,33 @@ kind AS (
 )"""
 
 
-GRAPHS = {"N": nations, "P": parts, "E": event_types}
+def journeys(d: Dialect) -> str:
+    """CTEs seg, arc and link of graph J, and col: the column ``c`` of each event but errors in its user's journey.
+
+    Every event of a column leads to every one of the next. A column has one event, or a
+    signup and the one behind it; the first and the last have one.
+    """
+    order = "PARTITION BY u ORDER BY ts, id"
+    return f"""
+ev AS (
+  SELECT event_id AS id, user_id AS u, ts, event_type AS t, CAST(floor(coalesce(value, 0)) AS BIGINT) AS val
+  FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL
+), main AS (
+  SELECT *, lag(t) OVER ({order}) AS before, lag(id, 2) OVER ({order}) AS early, lead(id) OVER ({order}) AS late FROM ev WHERE t <> 'error'
+), col AS (
+  SELECT id, u, val, CAST(sum(CASE WHEN before = 'signup' AND t <> 'signup' AND early IS NOT NULL AND late IS NOT NULL THEN 0 ELSE 1 END)
+         OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS c FROM main
+), hang AS (
+  SELECT lag(id) OVER ({order}) AS a, id AS b, t, val FROM ev
+), link AS (
+  SELECT x.id * 2 AS v, y.id * 2 AS w, 3 + x.id % 4 AS ls, (x.val + y.val) % 5 AS cov FROM col x JOIN col y ON x.u = y.u AND x.c + 1 = y.c
+  UNION ALL SELECT a * 2, b * 2, 3 + a % 4, val % 5 FROM hang WHERE t = 'error' AND a IS NOT NULL
+), arc AS ({_symmetric('link', d)}), seg AS (
+  SELECT id AS seg_id, concat('e', CAST(id AS {'STRING' if d.spark else 'VARCHAR'})) AS name, 50 + id % 60 AS len, 1 + val % 50 AS cov FROM ev
+)"""
+
+
+GRAPHS = {"N": nations, "P": parts, "E": event_types, "J": journeys}
 
 
 def table(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
@@ -98,7 +126,7 @@ def table(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame
 
 
 def derived_graph(spark: SparkSession, sf_dir: str, kind: str) -> AssemblyGraph:
-    """Graph N, P or E as segments and bare arcs (v, w, ln, ls, cov, link_id null, comp)."""
+    """Graph N, P, E or J as segments and bare arcs (v, w, ln, ls, cov, link_id null, comp)."""
     ctes = GRAPHS[kind](SPARK)
     segments = table(spark, sf_dir, ctes, "SELECT seg_id, name, CAST(NULL AS STRING) AS seq, len, cov FROM seg")
     comp = "v > (w ^ 1) OR (v = (w ^ 1) AND w >= (v ^ 1))"

@@ -47,6 +47,11 @@ class GfaOptions:
                 raise ValueError(f"not a tag: {tag!r}")
 
 
+def _from(text: Column, place: int) -> Column:
+    """``text`` from a place (of 1, 2, ...) to its end."""
+    return F.substring(text, F.lit(place), F.length(text))
+
+
 def tag_value(fields: Column, tag: str) -> Column:
     """The first field ``TG:t:value`` with that name and type, as a double; else null.
 
@@ -54,7 +59,7 @@ def tag_value(fields: Column, tag: str) -> Column:
     """
     name = F.filter(fields, lambda f: f.startswith(tag[:2] + ":"))
     first = F.get(name, F.lit(0))
-    return F.when(F.substring(first, 1, 5) == tag + ":", F.substring(first, 6, 10_000).try_cast("double"))
+    return F.when(F.substring(first, 1, 5) == tag + ":", _from(first, 6).try_cast("double"))
 
 
 def all_tags(fields: Column) -> Column:
@@ -64,11 +69,34 @@ def all_tags(fields: Column) -> Column:
 
     def entry(name: Column) -> Column:
         field = F.get(F.filter(good, lambda f: F.substring(f, 1, 2) == name), F.lit(0))
-        return F.struct(name.alias("key"), F.struct(F.substring(field, 4, 1).alias("type"), F.substring(field, 6, 10_000).alias("value")).alias("value"))
+        return F.struct(name.alias("key"), F.struct(F.substring(field, 4, 1).alias("type"), _from(field, 6).alias("value")).alias("value"))
 
     return F.map_from_entries(F.transform(names, entry))
 
 
+def _typed(kind: Column, text: Column) -> Column:
+    """A tag's value as JSON text, by its type; null if it isn't of that type."""
+    quoted = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", "$1")
+    number = text.try_cast("double")
+    finite = ~(F.isnan(number) | (F.abs(number) == float("inf")))
+    real = F.when(number.isNotNull(), F.when(finite, number.cast("string")).otherwise(quoted(number.cast("string"))))
+    # B: a letter for the numbers' size, then the numbers; f are reals, all others whole.
+    items = F.split(_from(text, 3), ",")
+    sub = F.substring(text, 1, 1)
+    values = F.when(sub == "f", F.transform(items, lambda x: x.try_cast("double").cast("string"))).otherwise(F.transform(items, lambda x: x.try_cast("bigint").cast("string")))
+    whole = sub.isin(*"cCsSiIf") & ~F.exists(values, lambda x: x.isNull())
+    array = F.when(whole, F.concat(F.lit('{"subtype":"'), sub, F.lit('","values":['), F.array_join(values, ","), F.lit("]}")))
+    return F.when(kind == "i", text.try_cast("bigint").cast("string")).when(kind == "f", real).when(kind == "B", array).otherwise(quoted(text))
+
+
+def typed_tags(fields: Column) -> Column:
+    """A map of tag name to its value as a VARIANT, whole: integers, doubles, text, or for B ``{subtype, values}``.
+
+    Of repeated names the first counts; a value that its type doesn't allow is null.
+    """
+    return F.transform_values(all_tags(fields), lambda _, tag: F.parse_json(_typed(tag["type"], tag["value"])))
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``line`` (fields are split later) and its ``place``, gzip files included."""
     text = spark.read.text(paths).where("value <> ''")
@@ -155,8 +183,3 @@ def node_spec(graph: AssemblyGraph, name: str | None) -> tuple[int | None, str |
         if base in found:
             return found[base] * 2 + (strand == "-"), strand
     raise ValueError(f"no such segment: {name!r}")
-
-
-def duplicate_names(segments: DataFrame) -> DataFrame:
-    """Names that occur more than once, with how often."""
-    return segments.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")

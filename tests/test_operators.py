@@ -96,6 +96,10 @@ def test_dominators_and_cut_points(spark):
 
 
 def brute_walks(arcs, copy, start):
+    return brute_longer(arcs, copy, [start])
+
+
+def brute_longer(arcs, copy, begun):
     out = []
 
     def grow(path):
@@ -105,7 +109,7 @@ def brute_walks(arcs, copy, start):
         for w in sorted(more):
             grow([*path, w])
 
-    grow([start])
+    grow(list(begun))
     return out
 
 
@@ -125,6 +129,12 @@ def test_walks_by_brute_force(spark):
     assert [tuple(r.path) for r in some] == want[:3] and some[0].exceeded
     back = walks.search_walks(g, labels, copies, source).collect()
     assert all(sum(x >> 1 == s for x in r.path) <= max(copy[s], 1) for r in back for s in range(5)) and len(back) >= len(want)
+    weight = lambda p: sum((i + 1) * (10 + i - (k > 0)) for k, i in enumerate(x >> 1 for x in p))
+    flipped = lambda p: tuple(x ^ 1 for x in reversed(p))
+    longer = [flipped(q) for p in sorted(want, key=lambda p: (-weight(p), p)) for q in brute_longer(arcs, copy, flipped(p))]
+    assert [tuple(r.path) for r in sorted(back, key=lambda r: r.turn)] == longer
+    few = walks.search_walks(g, labels, copies, source, max_paths=len(want) + 1).orderBy("turn").collect()
+    assert [tuple(r.path) for r in few] == longer[: len(want) + 2] and few[0].exceeded == (len(longer) >= len(want) + 2)
     clipped = walks.clip_to_target(found, 6).collect()
     assert all(r.path[-1] == 6 for r in clipped) and len(clipped) == sum(6 in p for p in want)
 
@@ -181,14 +191,14 @@ def test_clones_and_walks_over_them(spark):
     g = graph(spark, [(10, 8), (10, 4)], [("0+", "1+", 1, 6), ("1+", "0+", 1, 6), ("0+", "0+", 1, 4)])
     new, origins = simplify.duplicate_by_copies(g, copies_of(spark, [2, 1]))
     names = {r.seg_id: r["name"] for r in new.segments.collect()}
-    assert sorted(names.values()) == ["s0_copy0", "s0_copy1", "s1"] and origins.count() == 2
+    assert sorted(names.values()) == ["s0_copy0", "s0_copy1", "s1"] and {r.vertex_cov for r in origins.collect()} == {4} and origins.count() == 2
     arcs = {(names[r.v >> 1], r.v & 1, names[r.w >> 1], r.w & 1): r.cov for r in new.arcs.collect()}
     assert arcs["s0_copy0", 0, "s1", 0] == 3 and arcs["s0_copy0", 0, "s0_copy1", 0] == 2 and arcs["s0_copy1", 0, "s0_copy0", 0] == 2
     assert ("s0_copy0", 0, "s0_copy0", 0) not in arcs
     start = next(i for i, n in names.items() if n == "s1") * 2
-    found = [r.path for r in walks.walks_over_clones(new.arcs, origins, start).collect()]
+    found = [r.path for r in walks.walks_over_clones(new, origins, start).collect()]
     assert len(found) == 1 and len(found[0]) == 3
-    assert walks.walks_over_clones(new.arcs, origins, start, max_paths=0).collect() == []
+    assert [(r.nv, r.circ) for r in walks.best_over_clones(new, origins, start).collect()] == [(3, True)]
 
 
 def test_flow(spark):
@@ -197,6 +207,8 @@ def test_flow(spark):
     start = coverage.copy_numbers(g.segments.join(labels, "seg_id")).cache()
     got = {r.seg_id: r.copy for r in flow.adjust_copies(g, labels, start).collect()}
     assert got == {0: 1, 1: 2, 2: 1}
+    moved = {r.seg_id: r.copy for r in flow.adjust_copies(g, labels, start, links_in_task=0).collect()}
+    assert moved == got
     again = flow.adjust_copies(g, labels, start, full_search=1)
     assert sorted(again.collect()) == sorted(again.collect())
     groups = {r.link_id: r.grp for r in flow.link_groups(g, labels).collect()}

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from skein.functions.sequences import overlap_length, overlap_query_length, reverse_complement, wrap
 from skein.operators import graph as g
-from skein.sources.fasta import read_sequences, sequences_as_graph
-from skein.sources.gfa import GfaOptions, all_tags, is_valid_tag, node_spec, read_gfa
-from skein.sources.sinks import fasta_lines, gfa_lines, path_fasta_lines, path_sequences, path_stats_lines, report_lines, write_lines
+from skein.sources.fasta import ordered_lines, read_any, read_sequences, sequences_as_graph
+from skein.sources.gfa import GfaOptions, all_tags, is_valid_tag, node_spec, read_gfa, typed_tags
+from skein.sources.sinks import fasta_lines, gfa_lines, path_fasta_lines, path_pieces, path_sequences, path_stats_lines, report_lines, write_lines
 from skein.streaming.gfa_stream import name_counts, stream_lines
 
 GFA = "H\tVN:Z:1.0\nS\ta\tACGTACGTAC\tLN:i:10\tKC:i:205\nS\tb\t*\tLN:i:8\tKC:i:80\nL\ta\t+\tb\t-\t3M\tEC:i:7\nL\tb\t+\ta\t-\t3M\tEC:i:9\nL\tb\t+\tc\t+\t*\nS\tc\tGGG\nL\tc\t+\tc\t+\t1M\tEC:i:4\n"
@@ -89,6 +89,36 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert [(r.seg_id, r.name, r.len) for r in graph.segments.orderBy("seg_id").collect()] == [(0, "a", 4), (1, "b", 2)]
 
 
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    records = [(f"r{k}", "ACGTTGCA" * (1 + k % 5)) for k in range(400)]
+    fasta = put(tmp_path, "".join(f">{n} c\td\n" + "\n".join(q[i : i + 7] for i in range(0, len(q), 7)) + "\n" for n, q in records), "big.fa")
+    fastq = put(tmp_path, "".join(f"@{n}\tc d\n{q}\n+\n{'@' * len(q)}\n" for n, q in records), "big.fq")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert ordered_lines(spark, fasta).select("block").distinct().count() > 10
+        for path, mark, comment in ((fasta, None, "c\td"), (fastq, "@", "c d")):
+            rows = sorted(read_sequences(spark, path).collect(), key=lambda r: r.record)
+            assert [(r.name, r.seq) for r in rows] == records and [r.record for r in rows] == list(range(400))
+            assert {r.comment for r in rows} == {comment} and all(r.qual == (mark and mark * len(r.seq)) for r in rows)
+        assert read_any(spark, [fasta, fastq]).segments.count() == 800
+        assert read_any(spark, put(tmp_path, GFA)).arcs.count() > 0
+        with pytest.raises(ValueError):
+            read_any(spark, [fasta, put(tmp_path, GFA, "x.gfa")])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_typed_tags(spark):
+    long = "x" * 20_000
+    row = spark.createDataFrame([(["KC:i:+7", "KC:i:8", "XF:f:-1.5e3", "XN:f:NaN", f"XZ:Z:{long}\"\\", "XA:A:c", "XB:B:c,1,-2", "XR:B:f,1.5,2", "XX:i:no", "XY:B:q,1", "XE:Z:", "bad"],)], "f array<string>").select(typed_tags(F.col("f")).alias("t")).first()
+    got = {k: v and v.toPython() for k, v in row.t.items()}
+    assert got.pop("XZ") == long + '"\\'
+    assert {k: (v if k in ("XB", "XX", "XY", "XE", "XN", "XA") else float(v)) for k, v in got.items() if k != "XR"} == {"KC": 7.0, "XF": -1500.0, "XN": "NaN", "XA": "c", "XB": {"subtype": "c", "values": [1, -2]}, "XX": None, "XY": None, "XE": ""}
+    assert got["XR"]["subtype"] == "f" and [float(x) for x in got["XR"]["values"]] == [1.5, 2.0]
+
+
 def test_sinks(spark, tmp_path):
     graph = read_gfa(spark, put(tmp_path, GFA))
     text = [r.line for r in gfa_lines(graph).orderBy("part", "a", "b").collect()]
@@ -100,12 +130,18 @@ def test_sinks(spark, tmp_path):
     paths = spark.createDataFrame([(0, None, [0, 3], False, 2, 15, 270.0, 7, True), (1, "p", [4], True, 1, 2, 3.0, 4, False), (2, None, [1, 4], False, 2, 13, 9.0, 0, False)], "path_id int, sid string, v array<long>, circ boolean, nv int, len long, wlen double, ec long, best boolean")
     seqs = {r.path_id: r.seq for r in path_sequences(paths, graph, gap=2).collect()}
     assert seqs == {0: "ACGTACGTAC" + "N" * 5, 1: "GG", 2: "GTACGTACGT" + "NN" + "GGG"}
-    heads = {r.path_id: r.line.split("\n")[0] for r in path_fasta_lines(paths, graph).collect()}
+    records = path_fasta_lines(paths, graph).collect()
+    heads = {r.path_id: r.line for r in records if r.piece < 0}
+    assert {r.path_id: r.line for r in records if r.piece == 0}[2] == seqs[2].replace("NN", "N" * 100)[:60] + "\n" + seqs[2].replace("NN", "N" * 100)[60:]
+    assert {r.path_id for r in path_fasta_lines(paths, graph, best_only=True).collect()} == {0}
+    pieces = sorted((r.path_id, r.start, r.seq) for r in path_pieces(paths, graph, gap=2, piece=4).collect())
+    assert all(len(x[2]) == 4 or x[1] + 4 > len(seqs[x[0]]) for x in pieces)
+    assert {p: "".join(x[2] for x in pieces if x[0] == p) for p in seqs} == seqs
     assert heads[0] == ">ctg000001l length=15 wlength=270 nv=2 ec=7 circular=false path=a+,b-" and heads[1].startswith(">p ")
     lines = {r.path_id: r.line for r in path_stats_lines(paths).collect()}
     assert lines[0] == "path 0 nv=2 len=15 wlen=270 ec=7 linear *" and lines[1] == "path 1 nv=1 len= 2 wlen=  3 ec=4 circular"
-    copies = spark.createDataFrame([(0, 1), (1, 2)], "seg_id long, copy int")
-    report = [r.line for r in report_lines(0, copies, paths.where("path_id = 0"), graph, "a", None).orderBy("part", "at").collect()]
+    copies = spark.createDataFrame([(0, 0, 1), (1, 0, 2), (2, 0, None)], "seg_id long, component long, copy int")
+    report = [r.line for r in report_lines(copies, paths.where("path_id = 0").withColumn("component", F.lit(0).cast("long")), graph, "a", None).orderBy("component", "part", "at").collect()]
     assert report[0].startswith("SUBGRAPH") and report[1].split() == ["[", "0]", "a", "10", "20", "1", "1", "0"] and report[2].split()[-1] == "-1"
     assert "source=a target=NULL nv=2" in report[4] and report[5].endswith("a+") and report[6].endswith("b-")
 
