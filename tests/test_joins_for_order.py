@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import types
 from collections import defaultdict
 
 import pytest
@@ -50,7 +51,7 @@ def some_graphs():
         yield [*arcs, *[(100 + k, 101 + k) for k in range(9)], (arcs[3][1], 100), (109, arcs[5][0])]
 
 
-@pytest.mark.parametrize("arcs", some_graphs())
+@pytest.mark.parametrize("arcs", list(some_graphs()))
 def test_strong_components_and_dominators(spark, arcs):
     df = spark.createDataFrame([*arcs, arcs[0], (7, 7), (None, 1)], "v long, w long")
     assert {r.x: r.scc for r in strong_labels(df).collect()} == strong(arcs)
@@ -145,6 +146,10 @@ def test_bubbles_one_by_one(spark):
 
 def test_components_over_star_rounds(spark, monkeypatch):
     """With lots and batches of a few edges, contraction within tasks can't finish, so star rounds must."""
+    # Workers import the module anew, so the function takes its small lots along.
+    small = types.FunctionType(components._contract.__code__, {**vars(components), "EDGES_AT_ONCE": 20})
+    small.__module__ = "__main__"
+    monkeypatch.setattr(components, "_contract", small)
     monkeypatch.setattr(components, "EDGES_AT_ONCE", 20)
     seen = []
     star = components._small_star
