@@ -39,8 +39,9 @@ def _breadth_first(arcs: DataFrame, source: int) -> DataFrame:
         new = arcs.join(front.select(F.col("x").alias("v")), "v").groupBy(F.col("w").alias("x")).agg(F.min("v").alias("up"))
         for part in parts:
             new = new.join(part.select("x"), "x", "left_anti")
-        front, _ = materialise(new, "tree")
-        if front.isEmpty():
+        seen = Observation()
+        front, _ = materialise(new.observe(seen, F.count(F.lit(1)).alias("n")), "tree")
+        if not seen.get["n"]:
             break
         parts.append(front)
         if len(parts) > 8:

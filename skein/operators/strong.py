@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from skein.plans.pointers import Followed, all_ahead, follow
 from skein.plans.scratch import drop_path, materialise
 
+#: Paths among fewer vertices than these are short enough for colouring.
+LEAST_SINGLE = 32
+
 
 @dataclass(frozen=True)
 class _Drawn:
@@ -54,7 +57,7 @@ def _draw_in(arcs: DataFrame, turned: bool) -> tuple[DataFrame, DataFrame, _Draw
     """Draw in the vertices with one arc out: what is left, labels of the rings among them, and how to undo it."""
     single = arcs.groupBy(F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("to")).where("n = 1").select("x", "to")
     single, path, n = _counted(single, "single")
-    if not n:
+    if n < LEAST_SINGLE:
         drop_path(arcs.sparkSession, path)
         return None
     found = follow(single, keep_jumps=True)

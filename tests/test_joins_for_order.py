@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import coverage
+from skein.operators import strong as strong_module
 from skein.operators.dominators import dominating, dominator_tree
 from skein.operators.graph import AssemblyGraph
 from skein.operators.strong import strong_labels
@@ -46,15 +47,18 @@ def immediate_dominators(arcs, source):
 
 def some_graphs():
     rng = random.Random(6)
-    for n, m in ((12, 14), (9, 30), (30, 34)):
+    for n, m in ((12, 14), (20, 40)):
         arcs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
         yield [*arcs, *[(100 + k, 101 + k) for k in range(9)], (arcs[3][1], 100), (109, arcs[5][0])]
 
 
 @pytest.mark.parametrize("arcs", list(some_graphs()))
-def test_strong_components_and_dominators(spark, arcs):
+def test_strong_components_and_dominators(spark, arcs, monkeypatch):
+    monkeypatch.setattr(strong_module, "LEAST_SINGLE", 1)
     df = spark.createDataFrame([*arcs, arcs[0], (7, 7), (None, 1)], "v long, w long")
     assert {r.x: r.scc for r in strong_labels(df).collect()} == strong(arcs)
+    monkeypatch.setattr(strong_module, "LEAST_SINGLE", 1000)
+    assert {r.x: r.scc for r in strong_labels(df).collect()} == strong(arcs)
     source = arcs[0][0]
     want, above = immediate_dominators(arcs, source)
     tree = dominator_tree(df.where("v IS NOT NULL"), source).cache()
