@@ -73,6 +73,31 @@ def _link_ids(spark, d):
     return g.with_link_ids(derived_graph(spark, d, "P").arcs).select("v", "w", "link_id")
 
 
+@query("max_link_id", "P", f"""
+, pair AS (SELECT CASE WHEN {COMP} THEN {FLIP_W} ELSE v END AS v0, CASE WHEN {COMP} THEN {FLIP_V} ELSE w END AS w0 FROM arc)
+SELECT count(*) - 1 AS link_id FROM (SELECT DISTINCT v0, w0 FROM pair)
+""")
+def _max_link_id(spark, d):
+    return g.max_link_id(g.with_link_ids(derived_graph(spark, d, "P").arcs))
+
+
+@query("first_arcs", "P", """
+, low AS (SELECT v, w, ls, cov FROM arc), twice AS (SELECT * FROM low UNION ALL SELECT v, w, ls + 1, cov + 1 FROM low)
+SELECT v, w, min(ls) AS ls, arg_min(cov, ls) AS cov FROM twice GROUP BY v, w
+""")
+def _first_arcs(spark, d):
+    """Every arc stands twice, with a longer overlap behind it; the first of each pair is found."""
+    arcs = derived_graph(spark, d, "P").arcs
+    return g.first_arcs(arcs.unionByName(arcs.withColumn("ls", F.col("ls") + 1).withColumn("cov", F.col("cov") + 1))).select("v", "w", "ls", "cov")
+
+
+@query("drop_sequences", "P", " SELECT v, w, CAST(0 AS BIGINT) AS ls, cov, a.n AS n, a.total AS total FROM arc, (SELECT count(*) AS n, CAST(0 AS BIGINT) AS total FROM seg) a")
+def _drop_sequences(spark, d):
+    bare = g.drop_sequences(derived_graph(spark, d, "P"))
+    size = bare.segments.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
+    return bare.arcs.select("v", "w", "ls", "cov").join(F.broadcast(size))
+
+
 @query("degree", "P", " SELECT v, count(*) AS degree FROM arc GROUP BY v")
 def _degree(spark, d):
     return g.degree(derived_graph(spark, d, "P").arcs)
@@ -218,6 +243,12 @@ def _components(spark, d):
     return _strong_parts(spark, d)[1]
 
 
+@query("component_of_the_first", "P", _ALL_LABELS + " SELECT seg_id FROM label WHERE component = (SELECT component FROM label ORDER BY seg_id LIMIT 1)", recursive=True)
+def _component_of(spark, d):
+    labels = _parts(spark, d)[1]
+    return traversal.component_of(labels, 2 * labels.agg(F.min("seg_id").alias("s")).first()["s"])
+
+
 @query("components_all_arcs", "P", _ALL_LABELS + " SELECT seg_id, component FROM label", recursive=True)
 def _components_all(spark, d):
     return _parts(spark, d)[1]
@@ -657,6 +688,21 @@ def _walks_over_clones(spark, d):
 # Rendering and sequences
 
 
+@query("vertex_names", "N", " SELECT seg_id, name FROM seg")
+def _vertex_names(spark, d):
+    return sinks.vertex_names(derived_graph(spark, d, "N"))
+
+
+@query("path_stats", "N", _WALKS + """
+, wide AS (SELECT CAST(max(length(CAST(nv AS VARCHAR))) AS INTEGER) AS a, CAST(max(length(CAST(len AS VARCHAR))) AS INTEGER) AS b, CAST(max(length(printf('%.0f', wlen))) AS INTEGER) AS c, CAST(max(length(CAST(ec AS VARCHAR))) AS INTEGER) AS d FROM measured)
+SELECT concat_ws(' ', 'path 0', 'nv=' || lpad(CAST(nv AS VARCHAR), a, ' '), 'len=' || lpad(CAST(len AS VARCHAR), b, ' '), 'wlen=' || lpad(printf('%.0f', wlen), c, ' '),
+  'ec=' || lpad(CAST(ec AS VARCHAR), d, ' '), CASE WHEN circ THEN 'circular' ELSE 'linear' END) AS line FROM measured, wide
+""", recursive=True)
+def _path_stats(spark, d):
+    found = _nation_walks(spark, d)[1].select(F.lit(0).alias("path_id"), "nv", "len", "wlen", "ec", "circ", F.lit(False).alias("best"))
+    return sinks.path_stats_lines(found).select("line")
+
+
 @query("gfa_lines", "N", """
 , text AS (SELECT 0 AS part, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, 'H' || chr(9) || 'VN:Z:1.0' AS line
 UNION ALL SELECT 1, seg_id, 0, concat_ws(chr(9), 'S', name, '*', 'LN:i:' || len, 'KC:i:' || (len * cov), 'SC:f:' || cov || '.000') FROM seg

@@ -112,6 +112,11 @@ def arc_ids(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("arc_id", own).withColumn("comp_arc_id", F.when(hairpin, own).otherwise(flip(own)))
 
 
+def max_link_id(arcs: DataFrame) -> DataFrame:
+    """One row ``link_id``: the largest; null without arcs."""
+    return arcs.agg(F.max("link_id").alias("link_id"))
+
+
 def add_arcs(graph: AssemblyGraph, arcs: DataFrame, both: bool = True) -> AssemblyGraph:
     """Append arcs (v, w, ln, ls, cov), with their complements unless hairpins, and normalise."""
     new = arcs.select("v", "w", "ln", "ls", "cov")
