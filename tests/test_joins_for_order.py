@@ -168,3 +168,25 @@ def test_components_over_star_rounds(spark, monkeypatch):
         assert seen and got == {x: min(behind(both, x)) for x in itertools.chain(*edges)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_components_of_near_numbers_need_no_star_rounds(spark, monkeypatch):
+    """Where near nodes have near numbers, ranges of nodes and the links between their stars are enough."""
+    small = types.FunctionType(components._contract.__code__, {**vars(components), "EDGES_AT_ONCE": 120})
+    small.__module__ = "__main__"
+    monkeypatch.setattr(components, "_contract", small)
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", 120)
+    seen = []
+    star = components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda *a: seen.append(1) or star(*a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rng = random.Random(2)
+        edges = [(k, k + 1) for k in range(900) if k % 23] + [(k, k + 2) for k in range(0, 900, 5)] + [(5000, 5000)]
+        rng.shuffle(edges)
+        both = edges + [(b, a) for a, b in edges]
+        rows = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), "a", "b").collect()
+        assert not seen and len(rows) == len({r.node for r in rows})
+        assert {r.node: r.component for r in rows} == {x: min(behind(both, x)) for x in itertools.chain(*edges)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
