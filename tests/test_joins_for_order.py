@@ -190,3 +190,25 @@ def test_components_of_near_numbers_need_no_star_rounds(spark, monkeypatch):
         assert {r.node: r.component for r in rows} == {x: min(behind(both, x)) for x in itertools.chain(*edges)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_passes_in_tasks_and_by_rounds_agree(spark, monkeypatch):
+    """Small components are passed in tasks, without a round for each hop, and give what rounds of joins give."""
+    rng = random.Random(5)
+    n = 90
+    links = [(2 * k, 2 * k + 2, 1) for k in range(1, 40)] + [(2 * rng.randrange(45, 80) + rng.randrange(2), 2 * rng.randrange(45, 80) + rng.randrange(2), rng.randrange(3)) for _ in range(60)]
+    graph, _, _ = bare_graph(spark, n, links, rng)
+    labels = graph.segments.select("seg_id", F.when(F.col("seg_id") < 45, F.lit(0)).otherwise(F.when(F.col("seg_id") < 80, F.lit(45)).otherwise(F.col("seg_id"))).cast("long").alias("component"))
+    table = spark.createDataFrame([(s, int(s % 9 == 1)) for s in range(n)], "seg_id long, copy int")
+    rounds = []
+    by_joins = coverage._arrivals
+    monkeypatch.setattr(coverage, "_arrivals", lambda *a: rounds.append(1) or by_joins(*a))
+    results = []
+    for in_task, used in ((1000, 0), (60, 1 + 2), (0, 1 + 2)):
+        monkeypatch.setattr(coverage, "ARCS_IN_TASK", in_task)
+        found = [{r.seg_id: r.copy for r in rows.collect()} for rows in (coverage.rescue_by_arcs(graph, labels, table), coverage.add_neighbours(graph, labels, table, 2, 12))]
+        assert len(rounds) == used
+        assert all(len(f) == n for f in found)
+        rounds.clear()
+        results.append(found)
+    assert results[0] == results[1] == results[2] and sum(results[0][0].values()) > 10
