@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.config import Config
 from skein.operators import coverage, flow, simplify, traversal, walks
-from skein.operators.graph import AssemblyGraph, end_members, normalise
+from skein.operators.graph import AssemblyGraph, end_members, is_complement, normalise, with_link_ids
 from skein.plans.resolve import resolve
 
 
@@ -297,3 +297,24 @@ def test_long_and_protected_tips(spark):
     assert kept(simplify.drop_tips(g, 2, 5)) == [0, 1, 2, 3, 4, 5]
     strong = graph(spark, [(100, 9)] * 4 + [(900, 90)], [*chain(4), ("4+", "2+", 1, 1)])
     assert kept(simplify.drop_tips(strong, 2, 1000, protect=True)) == [2, 3, 4] and 4 not in kept(simplify.drop_tips(strong, 2, 1000))
+
+
+def test_arcs_are_worked_out_once(spark):
+    """Neither numbering links nor removing weak crosslinks repeats what its arcs come from."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    links = [(0, 2, 9), (0, 4, 1), (6, 4, 9)]
+    arcs = [(v, w, 0, 0, c) for a, b, c in links for v, w in ((a, b), (b ^ 1, a ^ 1))]
+    bare = spark.createDataFrame(arcs, "v long, w long, ln long, ls long, cov long").withColumn("comp", is_complement())
+    slow = bare.mapInArrow(counted, bare.schema).withColumn("link_id", F.lit(None).cast("long"))
+    assert {(r.v, r.w): r.link_id for r in with_link_ids(slow).collect()} == {(0, 2): 0, (3, 1): 0, (0, 4): 1, (5, 1): 1, (5, 7): 2, (6, 4): 2}
+    assert rows.value == len(arcs)
+    segments = spark.createDataFrame([(s, 10, 5) for s in range(4)], "seg_id long, len long, cov long")
+    left = simplify.remove_weak_crosslinks(AssemblyGraph(segments, slow), 0.7).arcs.select("v", "w").collect()
+    assert {(r.v, r.w) for r in left} == {(0, 2), (3, 1), (6, 4), (5, 7)}
+    assert rows.value == 2 * len(arcs)
