@@ -1,10 +1,11 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators import coverage, flow, simplify, traversal
 from skein.operators import graph as g
-from skein.operators import simplify
 from skein.plans import dense
 from skein.plans.derived import derived_graph
 
@@ -48,3 +49,45 @@ def test_open_ends_read_each_vertex_once(spark):
     segments = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "seg_id long, name string")
     found = simplify.open_ends(g.normalise(g.AssemblyGraph(segments, arcs)))
     assert sorted(r.v for r in found.collect()) == [1, 2, 4]
+
+
+def _random_graph(spark, seed, n=40, links=120, chains=5):
+    """Mostly links of their own, some from a segment to itself, chains, hairpins and segments of one base."""
+    rng = random.Random(seed)
+    arcs = {(rng.randrange(2 * n), rng.randrange(2 * n)) for _ in range(links)} | {(2 * k, 2 * k) for k in range(0, n, 7)} | {(3, 2)}
+    arcs |= {(2 * k, 2 * k + 2) for k in range(n, n + chains)} | {(0, 2 * n), (2 * (n + chains), 0)}
+    segments = spark.createDataFrame([(k, f"s{k}", None, rng.choice([1, 2, 50, 900]), rng.randrange(1, 40)) for k in range(n + chains + 1)], "seg_id long, name string, seq string, len long, cov long")
+    made = g.normalise(g.AssemblyGraph(segments, spark.createDataFrame([(v, w, 0, 0, 1) for v, w in sorted(arcs)], "v long, w long, ln long, ls long, cov long")))
+    return g.AssemblyGraph(made.segments.cache(), made.arcs.cache())
+
+
+def test_moves_look_at_the_groups_that_may_lower_the_cost(spark, monkeypatch):
+    woken, real = [], flow.materialise
+    monkeypatch.setattr(flow, "materialise", lambda df, what, *a: (lambda t: (woken.append(t[0].count()) if what == "flow-uses" else None, t)[1])(real(df, what, *a)))
+    graph = _random_graph(spark, 1)
+    labels = traversal.components(graph).cache()
+    copies = coverage.copy_numbers(graph.segments.join(labels, "seg_id")).cache()
+    fit = lambda: sorted(map(tuple, flow.adjust_copies(graph, labels, copies, rounds=2, links_in_task=0).collect()))
+    found, few = fit(), (max(woken), woken.clear())[0]
+    with monkeypatch.context() as all_awake:
+        all_awake.setattr(flow, "_eager", lambda ends, *_: ends.select("grp"))
+        assert fit() == found
+    assert found != sorted((r.seg_id, r.copy, r.avg) for r in copies.collect())
+    assert few < max(woken)
+    woken.clear()
+    # None of these links can lower the cost, so none is looked at.
+    arcs = spark.createDataFrame([(2 * a, 2 * b, 0, 0, 1) for a in range(6) for b in range(a + 1, 6)], "v long, w long, ln long, ls long, cov long")
+    still = g.normalise(g.AssemblyGraph(graph.segments.where("seg_id < 6").withColumn("len", F.lit(9).cast("long")), arcs))
+    assert flow.fit_by_moves(still, labels.where("seg_id < 6"), copies).count() == 6
+    assert woken == [0]
+
+
+def test_links_are_told_apart_only_where_arcs_leave_it_open(spark):
+    segments = spark.createDataFrame([(k, f"s{k}") for k in range(8)], "seg_id long, name string")
+    arcs = spark.createDataFrame([(0, 2, 0, 0, 1), (2, 0, 0, 0, 1), (4, 5, 0, 0, 1), (6, 7, 0, 0, 1), (4, 6, 0, 0, 1), (8, 10, 0, 0, 1)], "v long, w long, ln long, ls long, cov long")
+    graph = g.normalise(g.AssemblyGraph(segments, arcs))
+    for most in range(5):
+        large, small = flow._by_links(graph, traversal.components(graph), most)
+        links = {0: 2, 1: 2, 2: 3, 3: 3, 4: 1, 5: 1, 6: 0, 7: 0}
+        assert {r.seg_id for r in large.collect()} == {k for k, n in links.items() if n > most}
+        assert {r.seg_id for r in small.collect()} == {k for k, n in links.items() if n <= most}
