@@ -51,6 +51,19 @@ def test_open_ends_read_each_vertex_once(spark):
     assert sorted(r.v for r in found.collect()) == [1, 2, 4]
 
 
+def test_mergeable_arcs_do_not_sort_arcs_for_joins(spark):
+    arcs = spark.createDataFrame([(0, 2, 1), (2, 4, 7), (2, 6, 2), (6, 8, 3), (8, 8, 1), (10, 11, 4), (12, 14, None)], "v long, w long, ls long")
+    graph = g.normalise(g.AssemblyGraph(spark.createDataFrame([(0, "a")], "seg_id long, name string"), arcs.selectExpr("v", "w", "0L AS ln", "ls", "1L AS cov")))
+    rows, out = graph.arcs.select("v", "w", "ls").collect(), {}
+    for v, w, ls in rows:
+        out.setdefault(v, []).append((w, ls))
+    expected = {(v, *x[0]) for v, x in out.items() if len(x) == 1 and len(out.get(x[0][0] ^ 1, [])) == 1}
+    found = simplify.mergeable_arcs(spark.createDataFrame(rows, "v long, w long, ls long"))
+    assert {tuple(r) for r in found.collect()} == expected and (0, 2, 1) in expected and (12, 14, None) in expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def _random_graph(spark, seed, n=40, links=120, chains=5):
     """Mostly links of their own, some from a segment to itself, chains, hairpins and segments of one base."""
     rng = random.Random(seed)
