@@ -8,6 +8,7 @@ line's place is the pair of its file and its row number in reading order.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,31 +63,45 @@ def tag_value(fields: Column, tag: str) -> Column:
     return F.when(F.substring(first, 1, 5) == tag + ":", _from(first, 6).try_cast("double"))
 
 
-def all_tags(fields: Column) -> Column:
-    """A map of tag name to ``type, value``; of repeated names the first counts."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: in a lambda, Spark works out an expression again wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_tags(fields: Column) -> Column:
+    """The fields that are tags, of repeated names the first ones only."""
+
+    def first(good: Column, names: Column) -> Column:
+        return F.transform(F.array_distinct(names), lambda name: F.get(good, (F.array_position(names, name) - 1).cast("int")))
+
     good = F.filter(fields, lambda f: f.rlike(r"^[A-Za-z][A-Za-z0-9]:[AifZB]:"))
-    names = F.array_distinct(F.transform(good, lambda f: F.substring(f, 1, 2)))
+    return _once(good, lambda good: _once(F.transform(good, lambda f: F.substring(f, 1, 2)), lambda names: first(good, names)))
+
+
+def _tag_map(fields: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """A map of tag name to ``value`` of its type and text."""
+    entry = lambda f: F.struct(F.substring(f, 1, 2).alias("key"), value(F.substring(f, 4, 1), _from(f, 6)).alias("value"))
+    return F.map_from_entries(F.transform(_first_tags(fields), entry))
 
-    def entry(name: Column) -> Column:
-        field = F.get(F.filter(good, lambda f: F.substring(f, 1, 2) == name), F.lit(0))
-        return F.struct(name.alias("key"), F.struct(F.substring(field, 4, 1).alias("type"), _from(field, 6).alias("value")).alias("value"))
 
-    return F.map_from_entries(F.transform(names, entry))
+def all_tags(fields: Column) -> Column:
+    """A map of tag name to ``type, value``; of repeated names the first counts."""
+    return _tag_map(fields, lambda kind, text: F.struct(kind.alias("type"), text.alias("value")))
 
 
 def _typed(kind: Column, text: Column) -> Column:
-    """A tag's value as JSON text, by its type; null if it isn't of that type."""
-    quoted = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", "$1")
-    number = text.try_cast("double")
-    finite = ~(F.isnan(number) | (F.abs(number) == float("inf")))
-    real = F.when(number.isNotNull(), F.when(finite, number.cast("string")).otherwise(quoted(number.cast("string"))))
+    """A tag's value as a VARIANT, by its type; null if it isn't of that type."""
+    # JSON has no numbers for NaN and infinities: they are text.
+    finite = lambda x: ~(F.isnan(x) | (F.abs(x) == float("inf")))
+    real = lambda t: _once(t.try_cast("double"), lambda x: F.when(finite(x), x.cast("variant")).otherwise(x.cast("string").cast("variant")))
+    # No number starts with ":" to "~"; a cast that fails is an exception inside, which takes long.
+    whole = lambda t: F.when((t < ":") | (t > "~"), t.try_cast("bigint")).cast("variant")
     # B: a letter for the numbers' size, then the numbers; f are reals, all others whole.
     items = F.split(_from(text, 3), ",")
     sub = F.substring(text, 1, 1)
-    values = F.when(sub == "f", F.transform(items, lambda x: x.try_cast("double").cast("string"))).otherwise(F.transform(items, lambda x: x.try_cast("bigint").cast("string")))
-    whole = sub.isin(*"cCsSiIf") & ~F.exists(values, lambda x: x.isNull())
-    array = F.when(whole, F.concat(F.lit('{"subtype":"'), sub, F.lit('","values":['), F.array_join(values, ","), F.lit("]}")))
-    return F.when(kind == "i", text.try_cast("bigint").cast("string")).when(kind == "f", real).when(kind == "B", array).otherwise(quoted(text))
+    values = F.when(sub == "f", F.transform(items, real)).when(sub.isin(*"cCsSiI"), F.transform(items, whole))
+    array = _once(values, lambda v: F.when(~F.exists(v, lambda x: x.isNull()), F.to_variant_object(F.struct(sub.alias("subtype"), v.alias("values")))))
+    return F.when(kind == "i", whole(text)).when(kind == "f", real(text)).when(kind == "B", array).otherwise(text.cast("variant"))
 
 
 def typed_tags(fields: Column) -> Column:
@@ -94,7 +109,7 @@ def typed_tags(fields: Column) -> Column:
 
     Of repeated names the first counts; a value that its type doesn't allow is null.
     """
-    return F.transform_values(all_tags(fields), lambda _, tag: F.parse_json(_typed(tag["type"], tag["value"])))
+    return _tag_map(fields, _typed)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -119,6 +119,21 @@ def test_typed_tags(spark):
     assert got["XR"]["subtype"] == "f" and [float(x) for x in got["XR"]["values"]] == [1.5, 2.0]
 
 
+def test_tags_are_taken_from_a_line_once(spark):
+    """Fields are worked out once a line, not again for each name; doubles stay doubles, and text where they are no JSON numbers."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def fields(line):
+        calls.add(1)
+        return line.split("\t")
+
+    lines = spark.createDataFrame([("KC:i:7\tno tag\tXP:f:0.1\tKC:f:8\tXR:B:f,1.5,NaN,-inf",), ("XX:i:no\tXX:i:1",)], "line string")
+    rows = lines.select(typed_tags(F.udf(fields, "array<string>")("line")).alias("t")).collect()
+    got = [{k: v and v.toPython() for k, v in r.t.items()} for r in rows]
+    assert got == [{"KC": 7, "XP": 0.1, "XR": {"subtype": "f", "values": [1.5, "NaN", "-Infinity"]}}, {"XX": None}]
+    assert calls.value == 2
+
+
 def test_sinks(spark, tmp_path):
     graph = read_gfa(spark, put(tmp_path, GFA))
     text = [r.line for r in gfa_lines(graph).orderBy("part", "a", "b").collect()]
